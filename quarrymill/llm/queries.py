@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash, token_files, toxicity, vectors, word_pieces
+from . import byte_bpe, chat, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat.read(*chat.tree(rows.union(more), *words), *words)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(_documents(spark, sf_dir), word_pieces.maker(public_tokenizers.path("word_bpe_49k.json")), end_id=1)
     return token_files.read(files)
@@ -37,12 +45,54 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_documents(spark, sf_dir))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = mixing.mix(docs.select("doc_id", "source", mixing.words("text").alias("size")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS er,
+         regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS et
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<s>[INST]' || er || '[/INST]' || et || '</s>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    out = rf"regexp_replace(lower({text}), '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+    for a, b in licenses.EQUIVALENT:
+        out = f"replace({out}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, texts in licenses.KNOWN.items() for text in texts)
+OP10_SQL = f"""
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical_sql("text")}) AS digest, license FROM (VALUES {_KNOWN}) t(license, text)) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
+h AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(*) AS n FROM l JOIN known ON sha256({_canonical_sql("line")}) = digest GROUP BY row)
+SELECT doc_id, known.license AS text_license, coalesce(names, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
+FROM d LEFT JOIN known ON sha256({_canonical_sql("d.text")}) = digest LEFT JOIN h USING (row)
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -69,9 +119,12 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_chat_tree": op3_chat_tree,
     "op4_token_files": op4_token_files,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_imatch": op8_imatch,
     "op9_source_mix": op9_source_mix,
+    "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op9_source_mix": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_tree": OP3_SQL, "op9_source_mix": OP9_SQL, "op10_licenses": OP10_SQL}
