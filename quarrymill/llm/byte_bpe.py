@@ -224,8 +224,8 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Ids of every text and their decoding: (key, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]).
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """Ids of every text and their decoding: (key, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]).
 
     ids is binary, little-endian unsigned 32-bit; decoded is the text that the ids give back. A null
     text counts as empty: no tokens, digests of the empty string. Equal texts give equal rows; keys
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     gives an empty one. One pass over the input, without a shuffle.
     """
     kind = docs.schema[key].dataType
-    schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+    schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
@@ -247,10 +247,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 text_digest.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
+                if with_text:
                     all_texts.append(back.decode())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
+            names, columns = [key, "n_tokens", "ids_sha256", "decoded_sha256"], [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
             if with_ids:
-                columns += [pa.array(all_ids, pa.binary()), pa.array(all_texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+                names, columns = [*names, "ids"], [*columns, pa.array(all_ids, pa.binary())]
+            if with_text:
+                names, columns = [*names, "decoded"], [*columns, pa.array(all_texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)

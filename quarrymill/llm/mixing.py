@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -48,23 +48,16 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, limit:
     return out
 
 
-def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken) for every row of sized.
+def _hash(key: Column, seed: str) -> Column:
+    """48 bits, the same for equal keys; a null key counts as empty text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
 
-    Sources in order of code points, null last, have the weights in turn. A row's hash is that of its key,
-    so rows with the same key (or a null key) are taken together and reruns agree. A source whose sizes
-    sum to 0 has target 0 and takes nothing; rows of size 0 take 0. A null size counts as 0. An empty
-    table gives an empty one. Two passes over (key, source, size); the input itself is read once.
+
+def thresholds(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """(own, source_size, target, whole, threshold), one row for each source, from rows (source, size, hash).
+
+    rows should be a written table: it is read once for the sources' sizes and once for each level.
     """
-    rows = scratch.save(
-        sized.select(
-            F.col(key).alias("key"),
-            F.col(source).alias("source"),
-            F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long").alias("hash"),
-        ),
-        "mix",
-    )
     spark = rows.sparkSession
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"))
     found = sorted(((r["source"], r["size"]) for r in sums.limit(MOST_SOURCES + 1).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -76,24 +69,45 @@ def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str
     state = [(i, name, 0, float(t - q * s)) for i, ((name, s), t, q) in enumerate(zip(found, goal, whole, strict=True))]
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        now = spark.createDataFrame(state, "place int, source string, prefix long, budget double")
-        bucket = F.shiftright("hash", shift)
-        inside = rows.join(F.broadcast(now.withColumnRenamed("source", "own")), F.col("source").eqNullSafe(F.col("own")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
-        sums = inside.groupBy("place", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"))
+        now = spark.createDataFrame(state, "place int, own string, prefix long, budget double")
+        inside = rows.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("own")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
+        sums = inside.groupBy("place", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"))
         run = sums.withColumn("sum", F.sum("size").over(Window.partitionBy("place").orderBy("bucket")))
         passed = run.where(F.col("sum") > F.col("budget")).groupBy("place").agg(F.min_by(F.struct("bucket", (F.col("budget") - F.col("sum") + F.col("size")).alias("rest")), "bucket").alias("x"))
-        next_state = {r["place"]: (r["x"]["bucket"], r["x"]["rest"]) for r in passed.collect()}
-        state = [(i, name, *next_state[i]) for i, name, _, _ in state if i in next_state]
+        refined = {r["place"]: (r["x"]["bucket"], r["x"]["rest"]) for r in passed.collect()}
+        state = [(i, name, *refined[i]) for i, name, _, _ in state if i in refined]
         if not state:
             break
     threshold = {i: prefix for i, _, prefix, _ in state}
-    table = spark.createDataFrame(
+    return spark.createDataFrame(
         [(name, s, t, q, threshold.get(i, 1 << BITS * LEVELS)) for i, ((name, s), t, q) in enumerate(zip(found, goal, whole, strict=True))],
         "own string, source_size long, target double, whole int, threshold long",
     )
-    copies = F.when(F.col("source_size") == 0, 0).otherwise(F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int"))
-    return (
-        rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("own")))
-        .withColumn("copies", copies)
-        .select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+
+
+def _copies(rows: DataFrame, table: DataFrame, hash_: Column, source: str) -> DataFrame:
+    """rows with their source's row of the table and copies: how often each is taken."""
+    copies = F.when(F.col("source_size") == 0, 0).otherwise(F.col("whole") + (hash_ < F.col("threshold")).cast("int"))
+    return rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("own"))).withColumn("copies", copies)
+
+
+def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken) for every row of sized.
+
+    Sources in order of code points, null last, have the weights in turn. A row's hash is that of its key,
+    so rows with the same key (or a null key) are taken together and reruns agree. A source whose sizes
+    sum to 0 has target 0 and takes nothing; rows of size 0 take 0. A null size counts as 0. An empty
+    table gives an empty one. Only (key, source, size, hash) are written and read again; the input is read once.
+    """
+    rows = scratch.save(sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), _hash(F.col(key), seed).alias("hash")), "mix")
+    out = _copies(rows, thresholds(rows, weights, share, limit), F.col("hash"), "source")
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of docs, with all their columns, each as often as it is taken. The texts aren't shuffled."""
+    rows = scratch.save(docs.select(F.col(source).alias("source"), words(text).alias("size"), _hash(F.col(key), seed).alias("hash")), "mix")
+    table = thresholds(rows, weights, share, limit).select(*(F.col(c).alias(f"_mix_{c}") for c in ("own", "source_size", "whole", "threshold")))
+    copies = F.when(F.col("_mix_source_size") == 0, 0).otherwise(F.col("_mix_whole") + (_hash(F.col(key), seed) < F.col("_mix_threshold")).cast("int"))
+    met = docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_mix_own")))
+    return met.where(copies > 0).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
+from . import byte_bpe, chat, hmm, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_tree": op3_chat_tree,
     "op4_token_files": op4_token_files,
+    "op5_hmm": op5_hmm,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_imatch": op8_imatch,

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components as cc
+from . import scratch
 
 DISTANCE, GROUPS = 3, 6
 _LOW = 0x5555555555555555
@@ -106,11 +107,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     never name one; a component of null keys only has component_id null. Fingerprints are collapsed first, so copies
     cost one row however many there are. An empty table gives an empty one.
     """
-    from . import scratch
-
     prints = scratch.save(fingerprints(docs, key, text, width), "simhash")
     least = prints.groupBy("bits").agg(F.min(key).alias("least"))
     found = cc.components(links(least.select("bits"))).withColumnRenamed("node", "bits")
     roots = scratch.save(least.join(found, "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "roots")
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
     return prints.join(named, "bits").select(key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest key, of rows with equal keys any one; a null key only if there is no other.
+
+    docs must be a table of files, so that its rows have the same numbers whenever they are read.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    found = near_duplicates(numbered.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", width)
+    kept = scratch.save(found.select(F.col("component_id.row").alias(row)).distinct(), "kept")
+    return numbered.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
