@@ -31,6 +31,8 @@ from .chunk_table import ChunkTable
 
 _NONE = np.int64(1 << 40)
 _SHIFT = 20
+#: Rows of a batch of results.
+_ROWS = 2500
 
 
 class RankQueue:
@@ -184,7 +186,7 @@ class Encoder:
     batch adds go through one queue.
     """
 
-    def __init__(self, path: str, pattern: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, cached: int = 200_000) -> None:
         self.file, self.find, self.cached = RankFile(path), regex.compile(pattern).findall, cached
         self.pieces: dict[str, bytes] = {}
         self.encode = ChunkTable(self._learn, strict=True).encode
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n, ids_digest, text_digest, all_ids, all_texts = [], [], [], [], []
             for ids in own.encode(texts):

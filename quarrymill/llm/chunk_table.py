@@ -14,6 +14,7 @@ import numpy as np
 import xxhash
 
 LONG = 64
+BATCH = 1 << 23
 _STEP = 1 << 21
 _POWERS = np.ones(LONG + 1, np.uint64)
 for _i in range(1, LONG + 1):
@@ -33,7 +34,7 @@ class ChunkTable:
     beyond ASCII then goes to learn whole.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], strict: bool, cached: int = 1_500_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], strict: bool, cached: int = 600_000) -> None:
         self.learn, self.strict, self.cached = learn, strict, cached
         self._clear()
 
@@ -66,7 +67,15 @@ class ChunkTable:
         return text, starts, hashes, counts
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text, as little-endian unsigned 32-bit integers. Works on about BATCH characters at a time."""
+        a = size = 0
+        for b, x in enumerate(texts, 1):
+            size += len(x)
+            if size >= BATCH or b == len(texts):
+                yield from self._encode(texts[a:b])
+                a, size = b, 0
+
+    def _encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         odd = {i for i, x in enumerate(texts) if not x.isascii() and _ODD(x)} if self.strict else set()
         parts, held, size = [], [], 0
         for i, x in enumerate(texts):

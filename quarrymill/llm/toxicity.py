@@ -28,7 +28,7 @@ _SHIFT = np.uint64(64 - BITS)
 class _Words(dict):
     """Numbers of words; hashes and single-word features are kept by number. Bounded by `most`."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self) -> None:
         self.reset()
