@@ -14,8 +14,8 @@ import numpy as np
 import xxhash
 
 LONG = 64
-BATCH = 1 << 23
-_STEP = 1 << 21
+BATCH = 1 << 21
+_STEP = 1 << 19
 _POWERS = np.ones(LONG + 1, np.uint64)
 for _i in range(1, LONG + 1):
     _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * 0x9E3779B97F4A7C13) % (1 << 64))
