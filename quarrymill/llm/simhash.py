@@ -10,6 +10,7 @@ The counts of all segments stay packed in one long; every step is long arithmeti
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +24,8 @@ from . import components as cc
 from . import scratch
 
 DISTANCE, GROUPS = 3, 6
+#: Fingerprints of a text in the search for similar texts, and rows that a worker holds as Python objects at a time.
+SEEDS, _ROWS = 4, 1000
 _LOW = 0x5555555555555555
 
 
@@ -115,16 +118,128 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(named, "bits").select(key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest key, of rows with equal keys any one; a null key only if there is no other.
+class _Hashes(dict):
+    """64-bit hashes of words, kept between texts. Bounded by `most`."""
 
-    docs must be a table of files, so that its rows have the same numbers whenever they are read.
+    most = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hashes = _Hashes()
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _seeded(h: np.ndarray, seed: int) -> np.ndarray:
+    """The hashes dealt anew, for one of several independent fingerprints."""
+    x = h * np.uint64(2 * seed + 1) + np.uint64(seed * _MIX % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _words(text: str | None) -> np.ndarray:
+    words = (text or "").encode().lower().split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of the word sequences of a text, ascending; of fewer words the whole sequence, of none nothing."""
+    if not words.size:
+        return words
+    n = max(1, words.size - width + 1)
+    out = np.full(n, words.size if n == 1 else width, np.uint64)
+    for j in range(min(width, words.size)):
+        out = _seeded(out ^ words[j : j + n], j + 1)
+    return np.unique(out)
+
+
+def _marks(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
+    """(digest of the word sequence, SEEDS fingerprints of the words, SEEDS least shingle hashes)."""
+    words = _words(text)
+    digest = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+    if not words.size:
+        return digest, [0] * SEEDS, [0] * SEEDS
+    own, times = np.unique(words, return_counts=True)
+    parts, prints, least = shingles(words, width), [], []
+    for seed in range(SEEDS):
+        bits = np.unpackbits(_seeded(own, seed).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        prints.append(_signed(int.from_bytes(np.packbits(2 * (times.astype(np.float32) @ bits) > words.size).tobytes(), "big")))
+        least.append(_signed(int(_seeded(parts, seed + 100).min())))
+    return digest, prints, least
+
+
+def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(row, root) for each row of texts (row long, text) with another of its group: root is the group's smallest row.
+
+    Rows are linked where their sets of width-word shingles have a Jaccard similarity of at least `least`; every link is
+    verified, rows with the same words in the same order are linked at once. Candidates come from SEEDS
+    SimHash fingerprints of the words: pairs within DISTANCE bits by the grid join of links(), whose texts also share the least
+    shingle hash of that seed, so a fingerprint that many unlike texts have makes no candidates of them.
+    Texts of one fingerprint and least hash are compared with the first of them, and the first ones of two such classes with one another,
+    so candidates grow with the texts, not with the square of a group. An approximate search: recall is measured in the tests.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(i, _ROWS)
+                made = [_marks(x, width) for x in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in made], pa.binary()), *(pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (1, 2))], names=["row", "digest", "prints", "least"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(i, _ROWS)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(_words(x), width).tobytes() for x in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                use.append(both >= least * (x.size + y.size - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(use, pa.bool_()))
+
+    marked = scratch.save(texts.select("row", "text").mapInArrow(mark, "row bigint, digest binary, prints array<bigint>, least array<bigint>"), "marks")
+    distinct = scratch.save(marked.groupBy("digest").agg(F.min("row").alias("first"), F.any_value("prints").alias("prints"), F.any_value("least").alias("least")), "distinct")
+    pairs = None
+    for seed in range(SEEDS):
+        own = distinct.select("first", F.col("prints")[seed].alias("bits"), F.col("least")[seed].alias("least"))
+        classes = own.groupBy("bits", "least").agg(F.min("first").alias("rep"))
+        same = own.join(classes, ["bits", "least"]).where("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+        near = links(classes.select("bits").distinct())
+        a = classes.select(F.col("bits").alias("u"), "least", F.col("rep").alias("a"))
+        b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
+        found = same.union(near.join(a, "u").join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = scratch.save(texts.select("row", "text").join(nodes, "row", "left_semi").mapInArrow(shingled, "row bigint, set binary"), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("y")), "v")
+    good = both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint")
+    roots = cc.components(good)
+    named = distinct.join(roots, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("root", "first").alias("root"))
+    return marked.select("row", "digest").join(named, "digest").select("row", "root")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of similar(), with all its columns: that of the smallest key, of rows with equal keys any one; a null key only if there is no other.
+
+    Texts without words (null, empty, white space) are one group. docs must be a table of files, so that its rows have the
+    same numbers whenever they are read. An empty table gives an empty one.
     """
     row = "_row"
     while row in docs.columns:
         row += "_"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = similar(numbered.select(F.col(row).alias("row"), F.col(text).alias("text")), width, least)
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
-    found = near_duplicates(numbered.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", width)
-    kept = scratch.save(found.select(F.col("component_id.row").alias(row)).distinct(), "kept")
+    kept = numbered.select(F.col(row).alias("_own"), order.alias("_order")).join(found, F.col("_own") == F.col("row")).groupBy("root").agg(F.min("_order").alias("o"))
+    kept = scratch.save(kept.select(F.col("o.row").alias(row)), "kept")
     return numbered.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

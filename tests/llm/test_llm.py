@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrymill.llm import byte_bpe, chat, components, hmm, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
+from quarrymill.llm import byte_bpe, chat, components, hmm, imatch, licenses, mixing, scratch, simhash, token_files, toxicity, vectors, word_pieces
 
 BPE, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 # extra columns whose names the operators use inside
@@ -288,6 +288,53 @@ def test_op3(spark):
         assert chat.unescape(chat.escape(x)) == x and not any(c in chat.escape(x) for c in chat.CONTROLS)
 
 
+def jaccard_groups(texts, width=5, least=0.8):
+    """Group number of each text, by all pairs."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one(spark, docs, rows, none):
+    """One row of each group of the brute force stays: the smallest key, a null key only if there is no other."""
+
+    def least(table):
+        groups = {}
+        for g, r in zip(jaccard_groups([r[1] for r in table]), table, strict=True):
+            groups.setdefault(g, []).append(r[0])
+        return Counter(min((x for x in ids if x is not None), default=None) for ids in groups.values())
+
+    assert Counter(r["doc_id"] for r in simhash.keep_one(scratch.save(docs, "docs")).collect()) == least(rows)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(800)]
+    table = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([30, 80, 400]))), None, None, None) for i in range(80)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    table += [(100 + i, f"{passage} {' '.join(rng.choices(vocabulary, k=60))}", None, None, None) for i in range(30)]
+    for i in range(240):
+        words = table[rng.randrange(80)][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            words[rng.randrange(len(words))] = "edit"
+        table.append((1000 + i, " ".join(words).upper() if i % 5 == 0 else " ".join(words), None, None, None))
+    rng.shuffle(table)
+    df = scratch.save(spark.createDataFrame([r[:2] for r in table], "doc_id long, text string"), "docs")
+    got, want = Counter(r["doc_id"] for r in simhash.keep_one(df).collect()), least(table)
+    assert not want - got  # no group is lost
+    assert sum((got - want).values()) <= 0.04 * (len(table) - sum(want.values()))  # copies that the search misses
+    assert simhash.keep_one(scratch.save(none, "docs")).collect() == []
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
@@ -295,10 +342,8 @@ def test_pipeline(spark, tmp_path, docs):
     plain.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     read = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = simhash.keep_one(read)
-    ids = [r["doc_id"] for r in kept.collect()]
-    found = simhash.near_duplicates(read).where("component_id is not null").select("component_id").distinct()
-    assert kept.columns == read.columns and Counter(i for i in ids if i is not None) == Counter(r[0] for r in found.collect())
+    ids = [r["doc_id"] for r in simhash.keep_one(read).collect()]
+    assert simhash.keep_one(read).columns == read.columns
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} <= set(ids)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "mix", "bpe"]
