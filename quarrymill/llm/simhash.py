@@ -77,12 +77,16 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v), u < v: all pairs of distinct fingerprints (column bits) that differ in 1 to DISTANCE bits, each once."""
+def links(distinct: DataFrame, within: str | None = None) -> DataFrame:
+    """(u, v), u < v: all pairs of distinct fingerprints (column bits) that differ in 1 to DISTANCE bits, each once.
+
+    within: a column that both rows of a pair must share, a part of the join key; it is returned too.
+    """
+    also = [within] if within else []
     masks = _masks()
     choices = list(combinations(range(GROUPS), GROUPS - DISTANCE))
     cells = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("counts").bitwiseAND(F.lit(_signed(sum(masks[g] for g in c)))).alias("cell")) for k, c in enumerate(choices)))
-    rows = distinct.select("bits", _counts(F.col("bits")).alias("counts")).select("bits", "counts", F.explode(cells).alias("x")).select("bits", "counts", "x.*")
+    rows = distinct.select("bits", *also, _counts(F.col("bits")).alias("counts")).select("bits", *also, "counts", F.explode(cells).alias("x")).select("bits", *also, "counts", "x.*")
     a, b = rows.alias("a"), rows.alias("b")
     # groups before the last of a choice that aren't in it: a pair that agrees on one of them counts elsewhere
     earlier = [[g for g in range(c[-1]) if g not in c] for c in choices]
@@ -100,7 +104,9 @@ def links(distinct: DataFrame) -> DataFrame:
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= DISTANCE)
         & first
     )
-    return a.join(b, near).select(F.col("a.bits").alias("u"), F.col("b.bits").alias("v"))
+    for c in also:
+        near = (F.col(f"a.{c}") == F.col(f"b.{c}")) & near
+    return a.join(b, near).select(F.col("a.bits").alias("u"), F.col("b.bits").alias("v"), *(F.col(f"a.{c}") for c in also))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -121,7 +127,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 class _Hashes(dict):
     """64-bit hashes of words, kept between texts. Bounded by `most`."""
 
-    most = 200_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -167,8 +173,11 @@ def _marks(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
     own, times = np.unique(words, return_counts=True)
     parts, prints, least = shingles(words, width), [], []
     for seed in range(SEEDS):
-        bits = np.unpackbits(_seeded(own, seed).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        prints.append(_signed(int.from_bytes(np.packbits(2 * (times.astype(np.float32) @ bits) > words.size).tobytes(), "big")))
+        ones = np.zeros(64, np.int64)
+        for i in range(0, own.size, 8192):
+            bits = np.unpackbits(_seeded(own[i : i + 8192], seed).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones += np.rint(times[i : i + 8192].astype(np.float64) @ bits).astype(np.int64)
+        prints.append(_signed(int.from_bytes(np.packbits(2 * ones > words.size).tobytes(), "big")))
         least.append(_signed(int(_seeded(parts, seed + 100).min())))
     return digest, prints, least
 
@@ -198,7 +207,7 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(_words(x), width).tobytes() for x in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             use = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -213,10 +222,12 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         own = distinct.select("first", F.col("prints")[seed].alias("bits"), F.col("least")[seed].alias("least"))
         classes = own.groupBy("bits", "least").agg(F.min("first").alias("rep"))
         same = own.join(classes, ["bits", "least"]).where("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-        near = links(classes.select("bits").distinct())
+        # most least hashes have one class only, which has no partner
+        shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+        near = links(classes.join(shared, "least", "left_semi").select("bits", "least"), "least")
         a = classes.select(F.col("bits").alias("u"), "least", F.col("rep").alias("a"))
         b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
-        found = same.union(near.join(a, "u").join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
+        found = same.union(near.join(a, ["u", "least"]).join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
         pairs = found if pairs is None else pairs.union(found)
     pairs = scratch.save(pairs.distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
