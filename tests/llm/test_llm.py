@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -335,6 +336,47 @@ def test_keep_one(spark, docs, rows, none):
     assert simhash.keep_one(scratch.save(none, "docs")).collect() == []
 
 
+def test_keep_one_of_many_edited_copies(spark, monkeypatch):
+    """Copies of one text that are like it, but not like one another, are one group; the text itself isn't the first row. Whole classes and classes in blocks."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    table = []
+    for _ in range(2):
+        words = rng.choices(vocabulary, k=250)
+        copies = [list(words) for _ in range(150)]
+        for copy in copies:
+            for place in rng.sample(range(250), 4):
+                copy[place] = rng.choice(vocabulary)
+        table += [" ".join(x) for x in [*copies, words]]
+    want = sorted(set(jaccard_groups(table)))
+    assert len(want) < 10
+    df = scratch.save(spark.createDataFrame(list(enumerate(table)), "doc_id long, text string"), "docs")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == want
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == want
+
+
+def test_classes_are_compared_in_full():
+    """Chains and pairs that the first comparisons leave out, in one block and between two."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 100).astype(np.uint64)) for _ in range(4)]
+    chain = [np.concatenate([sets[0][5 * i :], sets[1][: 5 * i]]) for i in range(12)]
+    rows = [*chain, sets[2], sets[3]]
+    block = [i % 2 for i in range(len(rows))]
+
+    def linked(one, two):
+        use = [i for i in range(len(rows)) if block[i] in (one, two)]
+        table = {"root": use, "block": [block[i] for i in use], "one": [one] * len(use), "two": [two] * len(use), "set": [rows[i].tobytes() for i in use]}
+        return {tuple(sorted(x.values())) for x in simhash._join_within(pa.table(table), 0.8).to_pylist()}
+
+    found = linked(0, 0) | linked(0, 1) | linked(1, 1)
+    root = list(range(len(rows)))
+    for _ in root:
+        for u, v in found:
+            root[u] = root[v] = min(root[u], root[v])
+    assert root == [0] * 12 + [12, 13]
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
