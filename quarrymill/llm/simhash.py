@@ -175,8 +175,8 @@ _FACTORS = _FACTORS | np.uint64(1)
 def bands(parts: np.ndarray) -> list[int]:
     """The keys of a set of shingle hashes, one for each band: equal where all least hashes of the band are."""
     least = np.full(_FACTORS.size, (1 << 64) - 1, np.uint64)
-    for i in range(0, parts.size, 1024):
-        np.minimum(least, (parts[i : i + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    for i in range(0, parts.size, 256):
+        np.minimum(least, (parts[i : i + 256, None] * _FACTORS + _TERMS).min(axis=0), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for j in range(BAND_ROWS):
         keys = _seeded(keys ^ least[j::BAND_ROWS], j + 1)
@@ -272,17 +272,16 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     central = members.groupBy("first").agg(F.sum("n").alias("central"))
     middle = members.join(central, "first").groupBy("class").agg(F.max_by("first", F.struct("central", -F.col("first"))).alias("middle"))
     pairs = members.join(middle, "class").where("first <> middle").select(F.least("first", "middle").alias("u"), F.greatest("first", "middle").alias("v")).distinct()
-    for seed in range(SEEDS):
-        own = distinct.select("first", F.col("prints")[seed].alias("bits"), F.col("least")[seed].alias("least"))
-        classes = own.groupBy("bits", "least").agg(F.min("first").alias("rep"))
-        same = own.join(classes, ["bits", "least"]).where("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-        # most least hashes have one class only, which has no partner
-        shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
-        near = links(classes.join(shared, "least", "left_semi").select("bits", "least"), "least")
-        a = classes.select(F.col("bits").alias("u"), "least", F.col("rep").alias("a"))
-        b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
-        found = same.union(near.join(a, ["u", "least"]).join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
-        pairs = pairs.union(found)
+    # the fingerprints of all seeds in one plan: a seed's least hash is told from the others' by the seed
+    own = distinct.select("first", F.explode(F.arrays_zip("prints", "least", F.array(*map(F.lit, range(SEEDS))).alias("seed"))).alias("x")).select("first", F.col("x.prints").alias("bits"), F.xxhash64("x.least", "x.seed").alias("least"))
+    classes = scratch.save(own.groupBy("bits", "least").agg(F.min("first").alias("rep")), "classes")
+    same = own.join(classes, ["bits", "least"]).where("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    # most least hashes have one class only, which has no partner
+    shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+    near = links(classes.join(shared, "least", "left_semi").select("bits", "least"), "least")
+    a = classes.select(F.col("bits").alias("u"), "least", F.col("rep").alias("a"))
+    b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
+    pairs = pairs.union(same).union(near.join(a, ["u", "least"]).join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
     pairs = scratch.save(pairs.distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     sets = scratch.save(texts.select("row", "text").join(nodes, "row", "left_semi").mapInArrow(shingled, "row bigint, set binary"), "sets")

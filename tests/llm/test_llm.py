@@ -356,6 +356,33 @@ def test_keep_one_of_many_edited_copies(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == want
 
 
+def test_keep_one_whatever_the_edit(spark):
+    """Copies with one stretch cut, appended or replaced are found as those with scattered edits are."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    edits = {
+        "scattered": lambda w, n: [rng.choice(vocabulary) if i % 60 == n % 60 else x for i, x in enumerate(w)],
+        "end cut": lambda w, n: w[: len(w) - len(w) // 7],
+        "start cut": lambda w, n: w[len(w) // 8 :],
+        "middle cut": lambda w, n: w[:90] + w[90 + len(w) // 8 :],
+        "replaced": lambda w, n: w[:70] + rng.choices(vocabulary, k=len(w) // 13) + w[70 + len(w) // 13 :],
+        "appended": lambda w, n: w + rng.choices(vocabulary, k=len(w) // 6),
+    }
+    table = []
+    for edit in edits.values():
+        for n in range(40):
+            words = rng.choices(vocabulary, k=rng.choice([150, 250, 400]))
+            table += [" ".join(words), " ".join(edit(words, n))]
+    groups = jaccard_groups(table)
+    df = scratch.save(spark.createDataFrame(list(enumerate(table)), "doc_id long, text string"), "docs")
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert set(groups) <= kept
+    for k, name in enumerate(edits):
+        copies = [i for i in range(80 * k + 1, 80 * k + 80, 2) if groups[i] != i]
+        assert len(copies) >= 30, name
+        assert sum(i not in kept for i in copies) >= 0.99 * len(copies), name
+
+
 def test_classes_are_compared_in_full():
     """Chains and pairs that the first comparisons leave out, in one block and between two."""
     rng = np.random.default_rng(3)
