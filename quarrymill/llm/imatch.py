@@ -1,8 +1,9 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
-Terms are runs of letters and digits, lower case. A term's document frequency is counted in 2 ** 20 hash buckets over all documents; the
-buckets within the band of inverse document frequencies are one bit each of a bitmap of constant size (128 KB), which goes into the plan as a
-literal. A document keeps its distinct terms within the band, sorted; without any, it keeps all its terms. Then it hashes several randomised
+Terms are runs of letters and digits, lower case. A term's document frequency is counted exactly, by its 64-bit hash, over all documents. A document
+keeps its distinct terms within the band of inverse document frequencies, sorted; without any, it keeps all its terms. The terms above the band
+are few (at most a document's mean number of terms / most_share) and dropped by a broadcast; the others are joined to the band, so no term has more rows
+than that share of the documents. Then a document hashes several randomised
 lexicon subsets: the whole lexicon, 4 disjoint subsets of an eighth each, 8 of a 32nd, and 16 each of a 128th, a 512th and a 2048th, each smaller one
 inside a larger one. A signature is the hash of the document's sorted terms within a subset, 0 if it has none there. Two documents are alike by the share of
 equal signatures among those that either has: edits leave most of the small subsets untouched.
@@ -16,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
+#: Bits of a term's hash that no level uses.
 _BITS = 20
 #: For each level: bits of a term's hash that choose its subsets, and how many subsets of each subset of the level before are used.
 LEVELS = ((3, 4), (2, 2), (2, 2), (2, 1), (2, 1))
@@ -26,42 +30,28 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least_df: int = 2, most_share: float = 0.02) -> Column:
-    """The bitmap of buckets within the band: found in at least least_df documents and in at most most_share of them.
-
-    Bounded: 2 ** 20 counts are shuffled (summed before), 2 ** 14 longs reach the driver.
-    """
-    most = most_share * docs.count()
-    mask = (1 << _BITS) - 1
-    counts = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col(text)), lambda h: h.bitwiseAND(F.lit(mask))))).alias("bucket")).groupBy("bucket").count()
-    kept = counts.where((F.col("count") >= least_df) & (F.col("count") <= most))
-    words = kept.groupBy(F.shiftright("bucket", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 as int))")).alias("bits")).collect()
-    table = ["0"] * (1 << (_BITS - 6))
-    for r in words:
-        table[r["word"]] = str(r["bits"])
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
-
-
-def _kept(all_terms: Column, band: Column) -> Column:
-    """Sorted terms within the band."""
-    words = (1 << (_BITS - 6)) - 1
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): how many documents have the term."""
+    return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
-    def inside(h: Column) -> Column:
-        word = F.shiftright(h, 6).bitwiseAND(F.lit(words)).cast("int")
-        return F.call_function("getbit", F.element_at(band, word + 1), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    return F.sort_array(F.filter(all_terms, inside))
+def kept_terms(texts: DataFrame, counts: DataFrame, least: float, most: float) -> DataFrame:
+    """(digest, kept) for each digest of texts (digest, text): its sorted terms that at least `least` and at most `most` documents have, all its terms if there are none."""
+    common = counts.where(F.col("n") > most).select("term")
+    band = counts.where((F.col("n") >= least) & (F.col("n") <= most)).select("term")
+    rows = texts.select("digest", F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(common), "term", "left_anti").join(band, "term", "left_semi")
+    kept = scratch.save(rows.groupBy("digest").agg(F.sort_array(F.collect_set("term")).alias("kept")), "kept-terms")
+    without = texts.join(kept, "digest", "left_anti").select("digest", F.sort_array(terms(F.col("text"))).alias("kept")).distinct()
+    return kept.union(without)
 
 
 def _subset(source: str, shift: int, mask: int, value: int) -> Column:
     return F.filter(source, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(mask)) == value)
 
 
-def signatures(df: DataFrame, text: Column, band: Column, name: str) -> DataFrame:
-    """df with the column name: array<int> of the signatures of text, one for each subset."""
-    df = df.withColumn("_terms", terms(text))
-    df = df.withColumn("_kept", _kept(F.col("_terms"), band))
-    df = df.withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.sort_array("_terms"))).drop("_terms")
+def signatures(df: DataFrame, kept: str, name: str) -> DataFrame:
+    """df with the column name, array<int> of the signatures of the terms in the column kept, one for each subset, in place of kept."""
+    df = df.withColumnRenamed(kept, "_kept")
     columns, last, shift = ["_kept"], ["_kept"], _BITS
     for bits, used in LEVELS:
         made = {f"{source}_{v}": _subset(source, shift, (1 << bits) - 1, v) for source in last for v in range(used)}
@@ -100,7 +90,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document in
     descending order of keys, after the last one the first; equal keys order by text, null keys come last. A null text counts as empty; texts without terms have
-    signatures 0 throughout and are alike. Equal texts have equal fingerprints. An empty table gives an empty one. One shuffle of the texts.
+    signatures 0 throughout and are alike. Equal texts have equal fingerprints. An empty table gives an empty one. The texts are shuffled once, terms within the band or below it are
+    for texts and edited texts. Texts are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -114,14 +105,19 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     heads = rows.join(F.broadcast(tops), ["range"]).where(F.col("key").eqNullSafe(F.col("top"))).groupBy("range").agg(F.min("text").alias("text"))
     around = Window.orderBy("range")  # one row for each range
     ghosts = heads.select(F.coalesce(F.lead("range").over(around), F.min("range").over(Window.partitionBy())).alias("range"), "text").select(F.lit(None).cast("long").alias("key"), "text", "range", F.lit(True).alias("ghost"))
-    band = lexicon(rows, "text", least_df, most_share)
-    all_rows = signatures(rows.select("key", "text", "range", F.lit(False).alias("ghost")).union(ghosts), F.col("text"), band, "signs")
+    counts = scratch.save(frequencies(rows), "terms")
+    all_rows = rows.select("key", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
     order = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("key"), "text")
-    placed = all_rows.withColumns({"next_text": F.lead("text").over(order), "next_signs": F.lead("signs").over(order)}).where(~F.col("ghost"))
-    size = F.length("text")
-    edited = placed.select("key", size.cast("long").alias("n_chars"), "signs", "next_signs", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))")).alias("edited"))
-    edited = signatures(edited, F.col("edited"), band, "edited_signs")
-    return edited.select(
-        F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("signs")).alias("fingerprint"), shown(F.col("edited_signs")).alias("edited_fingerprint"),
+    placed = all_rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost"))
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
+    placed = placed.select("key", "text", edited.alias("edited"), F.xxhash64("text").alias("digest"), F.xxhash64("next_text").alias("next"))
+    placed = scratch.save(placed.withColumn("edited_digest", F.xxhash64("edited")), "placed")
+    texts = placed.select("digest", "text").union(placed.select("edited_digest", "edited"))
+    signs = scratch.save(signatures(kept_terms(texts, counts, least_df, most_share * docs.count()), "kept", "signs"), "signatures")
+    out = placed.select("key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digest", "next", "edited_digest")
+    for digest, name in (("digest", "signs"), ("edited_digest", "edited_signs"), ("next", "next_signs")):
+        out = out.join(signs.select(F.col("digest").alias(digest), F.col("signs").alias(name)), digest)
+    return out.select(
+        F.col("key").alias(key), "n_chars", "edited_sha256", shown(F.col("signs")).alias("fingerprint"), shown(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )

@@ -256,6 +256,16 @@ def test_op8(docs, rows, none):
     assert imatch.fingerprints(none).collect() == []
 
 
+def test_op8_counts_terms_exactly(spark):
+    """Terms of one document each stay out of the fingerprint, also if their hashes agree in the last 20 bits."""
+    words = spark.range(6000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("h", F.xxhash64("w").bitwiseAND(F.lit((1 << 20) - 1)))
+    x, y = words.groupBy("h").agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1").orderBy("h").first()["w"][:2]
+    shared = "one two three four five"
+    table = [(0, f"{shared} {x}"), (1, shared), (2, f"six seven {y}"), (3, "six seven"), (4, "eight"), (5, "eight nine"), (6, "ten"), (7, "ten eleven")]
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(spark.createDataFrame(table, "doc_id long, text string"), most_share=0.5).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 4
+
+
 def test_op10(spark, docs, none):
     by = {r["doc_id"]: r for r in licenses.scan(docs.where("doc_id >= 40")).collect()}
     assert (by[53]["text_license"], by[53]["line_licenses"]) == ("MIT", "MIT")
