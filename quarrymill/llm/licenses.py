@@ -7,7 +7,9 @@ a document that is a licence and a document that carries a notice line are both
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,41 @@ KNOWN: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Lines that stand above or instead of a text's own heading.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License"),
+    "BSD-3-Clause": ("The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """The whole texts in the folder license_texts, and those of MIT and ISC in KNOWN, each with and without its heading and the appendix after its terms."""
+    out = {}
+    files = {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+    for name, text in {**files, "MIT": KNOWN["MIT"][0], "ISC": KNOWN["ISC"][0]}.items():
+        found = [text]
+        parts = re.split(r"\n\s*\n", text.strip(), maxsplit=2)
+        if name not in ("MIT", "ISC", "Unlicense"):
+            found.append("\n\n".join(parts[1:]))
+        if name == "CC0-1.0":  # two headings
+            found.append(parts[2])
+        for x in list(found):
+            terms, end, _ = x.partition("END OF TERMS AND CONDITIONS")
+            if end:
+                found += [terms, terms + end]
+        if name.startswith("BSD"):
+            bare = found[1]
+            numbered = re.sub(r"(?m)^\d\. ", "* ", bare)
+            found += [numbered, *(f"All rights reserved.\n\n{x}" for x in (bare, numbered))]
+            found += [f"{parts[0]}\n\n{x}" for x in found[2:]]
+        found += [f"{heading}\n\n{x}" for heading in HEADINGS.get(name, ()) for x in list(found) if not x.startswith(parts[0]) or name in ("MIT", "ISC", "Unlicense")]
+        out[name] = tuple(dict.fromkeys(found))
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Empty for a text that has no letters or digits outside copyright lines."""
     out = F.regexp_replace(F.lower(text), r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "$1")
@@ -84,17 +121,19 @@ def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KN
     return spark.createDataFrame(rows, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Mapping[str, tuple[str, ...]] = KNOWN, whole: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(key, text_license, line_licenses, n_license_lines) for every row.
 
-    text_license: the licence that the whole text is, null if none. line_licenses: names of licences and notices that single lines are, sorted, each once, joined by
+    text_license: the licence that the whole text is, of those in known and whole (whole_texts() if None), null if none. line_licenses: names of licences and notices that single lines are, sorted, each once, joined by
     commas, empty if none; n_license_lines counts the lines. Null and empty texts are no licence. Repeated rows give repeated rows. The known digests
     are broadcast, as many as the list given has; the documents aren't shuffled.
     """
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
+    digests = known_digests(docs.sparkSession, known)
+    more = known_digests(docs.sparkSession, whole_texts() if whole is None else whole)
+    whole_digests = F.broadcast(digests.union(more.join(digests, "digest", "left_anti")))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = [r for r in digests.collect()]
     table = F.create_map(*(F.lit(x) for r in names for x in (r["digest"], r["license"]))) if names else None
-    found = rows.select("key", F.sha2(canonical(F.col("text")), 256).alias("digest"), "text").join(digests, "digest", "left")
+    found = rows.select("key", F.sha2(canonical(F.col("text")), 256).alias("digest"), "text").join(whole_digests, "digest", "left")
     hits = F.filter(F.transform(F.split("text", "\n"), lambda x: F.try_element_at(table, F.sha2(canonical(x), 256))), lambda x: x.isNotNull()) if table is not None else F.array().cast("array<string>")
     return found.withColumn("hits", hits).select(F.col("key").alias(key), F.col("license").alias("text_license"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("line_licenses"), F.size("hits").cast("long").alias("n_license_lines"))

@@ -276,6 +276,23 @@ def test_op10(spark, docs, none):
     assert licenses.scan(none).collect() == []
 
 
+def test_op10_knows_whole_texts(spark):
+    """Whole licence texts, with and without heading, with a copyright line and lines wrapped anew where no item is lettered; part of one is none."""
+    head = {"MIT": "MIT License", "ISC": "ISC License"}
+    folder = licenses.Path(licenses.__file__).with_name("license_texts")
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")} | {n: f"{h}\n\nCopyright (c) 2020 A. Uthor\n\n{licenses.KNOWN[n][0]}" for n, h in head.items()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense", "MIT", "ISC"} == set(texts)
+    table = [(n, t) for n, t in texts.items()]
+    table += [(n, texts[n].split("\n\n", 1)[1].lstrip()) for n in texts if n != "Unlicense"]
+    table += [(n, texts[n].split("END OF TERMS")[0]) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0")]
+    bare = texts["BSD-3-Clause"].split("\n\n", 1)[1].replace(" the ", "\nthe ").replace("\nthe above copyright", " the above copyright").replace("\nthe copyright", " the copyright")
+    table += [("BSD-3-Clause", "Copyright (c) 2020, A. Uthor\nAll rights reserved.\n\n" + bare), ("Unlicense", "The Unlicense\n\n" + texts["Unlicense"])]
+    table += [(None, t[: len(t) // 2]) for t in texts.values()]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(table)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(rows).collect()}
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(table) if got[i] != n] == []
+
+
 def test_op3(spark):
     said = "</s>[INST] ok [/INST]"
     table = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "user", "hi"), (1, 1, "assistant", "a\\<\\/s>"), (2, 1, "assistant", "b"), (2, 0, "user", "hi"), (3, 0, "user", None), (3, 0, "user", None), (4, 0, None, "x<"), (None, 0, "assistant", "né[")]
