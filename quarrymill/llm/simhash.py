@@ -238,7 +238,7 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     Texts are candidates of one another if they share one of BANDS classes (by least hashes of shingles, so wherever they differ), or by SEEDS
     SimHash fingerprints of the words: pairs within DISTANCE bits by the grid join of links(), whose texts also share the least
     shingle hash of that seed, so a fingerprint that many unlike texts have makes no candidates of them.
-    First each text is compared with the most central one of each of its classes, that which shares classes with the most texts, and fingerprints by their first texts; candidates grow with
+    First each text is compared with the most central one of all its classes, that which shares classes with the most texts, and fingerprints by their first texts; candidates grow with
     the texts, not with the square of a group. Then each class whose texts aren't one group yet is compared in full, in pairs of blocks, without a row for each pair:
     every two texts of a class are compared or linked by others. What is missed are texts that share no class: at a similarity of 0.8, 7 in 10,000 pairs are expected.
     """
@@ -270,8 +270,9 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     members = distinct.select("first", "size", F.explode("bands").alias("class"))
     members = scratch.save(members.join(members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "class"), "members")
     central = members.groupBy("first").agg(F.sum("n").alias("central"))
-    middle = members.join(central, "first").groupBy("class").agg(F.max_by("first", F.struct("central", -F.col("first"))).alias("middle"))
-    pairs = members.join(middle, "class").where("first <> middle").select(F.least("first", "middle").alias("u"), F.greatest("first", "middle").alias("v")).distinct()
+    middle = members.join(central, "first").groupBy("class").agg(F.max(F.struct("central", (-F.col("first")).alias("first"))).alias("middle"))
+    best = members.join(middle, "class").groupBy("first").agg(F.max("middle").alias("middle")).select("first", (-F.col("middle.first")).alias("middle")).where("first <> middle")
+    pairs = best.select(F.least("first", "middle").alias("u"), F.greatest("first", "middle").alias("v"))
     # the fingerprints of all seeds in one plan: a seed's least hash is told from the others' by the seed
     own = distinct.select("first", F.explode(F.arrays_zip("prints", "least", F.array(*map(F.lit, range(SEEDS))).alias("seed"))).alias("x")).select("first", F.col("x.prints").alias("bits"), F.xxhash64("x.least", "x.seed").alias("least"))
     classes = scratch.save(own.groupBy("bits", "least").agg(F.min("first").alias("rep")), "classes")
@@ -283,14 +284,14 @@ def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
     pairs = pairs.union(same).union(near.join(a, ["u", "least"]).join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
     pairs = scratch.save(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).union(members.select("first")).distinct()
     sets = scratch.save(texts.select("row", "text").join(nodes, "row", "left_semi").mapInArrow(shingled, "row bigint, set binary"), "sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("y")), "v")
     good = both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint")
     roots = cc.components(good)
     placed = scratch.save(distinct.select("first", "digest").join(roots, F.col("first") == F.col("node"), "left").select("first", "digest", F.coalesce("root", "first").alias("root")), "placed")
-    # classes of several groups yet, each set of texts once; the two texts of a class of two are compared already
-    inside = members.where("n > 2").join(placed.select("first", "root"), "first")
+    # classes of several groups yet, each set of texts once
+    inside = members.join(placed.select("first", "root"), "first")
     left = inside.groupBy("class").agg(F.max("n").alias("n"), F.bit_xor(F.xxhash64("first")).alias("texts"), F.sum("size").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     left = left.groupBy("n", "texts", "size").agg(F.min("class").alias("class")).select("class", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = inside.select("class", "first", "root").join(left, "class").withColumn("block", F.pmod(F.xxhash64("first", F.lit(1)), "blocks").cast("int"))
