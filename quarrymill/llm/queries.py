@@ -28,7 +28,7 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return chat.read(*chat.tree(rows.union(more), *words), *words)
+    return chat.read(chat.tree(rows.union(more), *words), *words)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,8 +297,8 @@ def test_op3(spark):
     said = "</s>[INST] ok [/INST]"
     table = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "user", "hi"), (1, 1, "assistant", "a\\<\\/s>"), (2, 1, "assistant", "b"), (2, 0, "user", "hi"), (3, 0, "user", None), (3, 0, "user", None), (4, 0, None, "x<"), (None, 0, "assistant", "né[")]
     df = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").withColumn("name", F.lit(1))
-    nodes, leaves = chat.tree(df, BPE, P.PATTERN)
-    got = {r["conv_id"]: r for r in chat.read(nodes, leaves, BPE, P.PATTERN).collect()}
+    shards = chat.tree(df, BPE, P.PATTERN)
+    got = {r["conv_id"]: r for r in chat.read(shards, BPE, P.PATTERN).collect()}
     by = {}
     for c, t, r, x in table:
         by.setdefault(c, []).append((t, r or "", x or ""))
@@ -308,14 +308,42 @@ def test_op3(spark):
         assert got[c]["n_turns"] == len(turns) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[c]["formatted_chars"] == sum(len(f"<s>[INST]{chat.escape(r)}[/INST]{chat.escape(x)}</s>") for _, r, x in turns)
-    ns = nodes.orderBy("start").collect()
+    ns = chat.nodes(shards, BPE, P.PATTERN).orderBy("start").collect()
     assert len(ns) == 9  # "hi" is shared
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ns, ns[1:]))
-    assert chat.read(*chat.tree(df.where("false"), BPE, P.PATTERN), BPE, P.PATTERN).collect() == []
+    assert chat.read(chat.tree(df.where("false"), BPE, P.PATTERN), BPE, P.PATTERN).collect() == []
     for x in ("<s>", "\\", "<\\s>", "[/INST]\\\\", said):
         assert chat.unescape(chat.escape(x)) == x and not any(c in chat.escape(x) for c in chat.CONTROLS)
 
 
+def test_op3_is_the_tree_of_the_turns(spark, monkeypatch):
+    """Nodes, positions and attended stretches against a tree of dicts; one very long conversation, one very long text, conversations that many ids have, shards of a few turns."""
+    rng = random.Random(14)
+    said = ["a", "b", "long " * 3000]
+    convs = [[rng.choice(said[:2] + said[:2] + said) for _ in range(rng.randint(1, 6))] for _ in range(150)] + [["a", "b", "a"]] * 40 + [["b"] * 300, ["b"] * 300 + ["a"], ["x" * 100_000]]
+    table = [(c, i, ("user", "assistant")[i % 2], t) for c, ts in enumerate(convs) for i, t in enumerate(ts)]
+    rng.shuffle(table)
+    monkeypatch.setattr(chat, "SHARD", 2000)
+    shards = chat.tree(spark.createDataFrame(table, "conv_id long, turn int, role string, text string").repartition(5), BPE, P.PATTERN)
+    assert shards.count() > 10
+    ns, words = chat.nodes(shards, BPE, P.PATTERN).orderBy("start").collect(), chat.vocabulary(BPE, P.PATTERN)
+    stack, seen, end = [], set(), 0
+    for n in ns:
+        assert n["start"] == end and n["n_tokens"] == len(n["ids"]) == len(n["loss"])
+        end += n["n_tokens"]
+        del stack[n["depth"] :]
+        assert len(stack) == n["depth"] and n["position"] == sum(m["n_tokens"] for m in stack)
+        cover = [i for x in n["attends"] for i in range(x["begin"], x["end"])]
+        assert cover == [i for m in stack for i in range(m["start"], m["start"] + m["n_tokens"])]
+        assert all(a["end"] < b["begin"] for a, b in zip(n["attends"], n["attends"][1:]))
+        stack.append(n)
+        seen.add(tuple(words.text(m["ids"]) for m in stack))
+    want = {tuple(f"<s>[INST]{('user', 'assistant')[j % 2]}[/INST]{t}</s>" for j, t in enumerate(ts[: i + 1])) for ts in convs for i in range(len(ts))}
+    assert len(seen) == len(ns) and seen == want
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read(shards, BPE, P.PATTERN).collect()}
+    assert got == {c: (len(ts), sum(map(len, ts[1::2]))) for c, ts in enumerate(convs)}
+
+
 def jaccard_groups(texts, width=5, least=0.8):
     """Group number of each text, by all pairs."""
     words = [(t or "").encode().lower().split() for t in texts]
