@@ -1,12 +1,17 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
-Terms are runs of letters and digits, lower case. A term's document frequency is counted exactly, by its 64-bit hash, over all documents. A document
-keeps its distinct terms within the band of inverse document frequencies, sorted; without any, it keeps all its terms. The terms above the band
-are few (at most a document's mean number of terms / most_share) and dropped by a broadcast; the others are joined to the band, so no term has more rows
-than that share of the documents. Then a document hashes several randomised
-lexicon subsets: the whole lexicon, 4 disjoint subsets of an eighth each, 8 of a 32nd, and 16 each of a 128th, a 512th and a 2048th, each smaller one
-inside a larger one. A signature is the hash of the document's sorted terms within a subset, 0 if it has none there. Two documents are alike by the share of
-equal signatures among those that either has: edits leave most of the small subsets untouched.
+Terms are runs of letters and digits, lower case, told apart by 62 bits of their hash. A term's document frequency is counted exactly, over all documents. A document
+keeps its distinct terms within a band of inverse document frequencies: those that at least two documents have and at most a given share of all. Without any, it
+keeps those below the band too; without these too, all its terms.
+
+The kept terms, sorted, are hashed whole and within randomised lexicon subsets. On level l the lexicon falls into 64 * 4 ** l parts at random, of which 64 are subsets that
+are hashed. A document is on the level at which a subset has about one of its terms, and has the hashes of the subsets of its level and of the next finer one: so
+documents whose numbers of terms are within a factor of four have a level in common. Two documents are alike by the share of equal hashes among the subsets of that
+level in which either has a term.
+
+No term is sent to the documents that have it. Terms above the band are few (fewer than a document's mean number of terms / most_share) and part of the plan; a
+term below it is in one document, which the count names, so a document gets the list of its own; all others are in the band. Only words that the edit of a text makes
+at its seams are looked up.
 
 The next document in order of ids is found within ranges of ids, so neither a global sort in one task nor a second shuffle of
 the texts is needed: each range gets, as a last row, the first document of the range that follows.
@@ -19,57 +24,50 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Bits of a term's hash that no level uses.
-_BITS = 20
-#: For each level: bits of a term's hash that choose its subsets, and how many subsets of each subset of the level before are used.
-LEVELS = ((3, 4), (2, 2), (2, 2), (2, 1), (2, 1))
+#: Bits of a term's hash, subsets of a level, levels.
+BITS, SUBSETS, LEVELS = 62, 64, 5
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
-
-
-def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): how many documents have the term."""
-    return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-def kept_terms(texts: DataFrame, counts: DataFrame, least: float, most: float) -> DataFrame:
-    """(digest, kept) for each digest of texts (digest, text): its sorted terms that at least `least` and at most `most` documents have, all its terms if there are none."""
-    common = counts.where(F.col("n") > most).select("term")
-    band = counts.where((F.col("n") >= least) & (F.col("n") <= most)).select("term")
-    rows = texts.select("digest", F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(common), "term", "left_anti").join(band, "term", "left_semi")
-    kept = scratch.save(rows.groupBy("digest").agg(F.sort_array(F.collect_set("term")).alias("kept")), "kept-terms")
-    without = texts.join(kept, "digest", "left_anti").select("digest", F.sort_array(terms(F.col("text"))).alias("kept")).distinct()
-    return kept.union(without)
+    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)))
 
 
-def _subset(source: str, shift: int, mask: int, value: int) -> Column:
-    return F.filter(source, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(mask)) == value)
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(term, n, one): how many rows of (digest, text) have the term, and the digest of one of them."""
+    return rows.select("digest", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.min("digest").alias("one"))
 
 
 def signatures(df: DataFrame, kept: str, name: str) -> DataFrame:
-    """df with the column name, array<int> of the signatures of the terms in the column kept, one for each subset, in place of kept."""
-    df = df.withColumnRenamed(kept, "_kept")
-    columns, last, shift = ["_kept"], ["_kept"], _BITS
-    for bits, used in LEVELS:
-        made = {f"{source}_{v}": _subset(source, shift, (1 << bits) - 1, v) for source in last for v in range(used)}
-        df = df.withColumns(made)
-        columns, last, shift = [*columns, *made], list(made), shift + bits
-    signs = F.array(*(F.when(F.size(c) > 0, F.hash(c)).otherwise(F.lit(0)) for c in columns))
-    return df.withColumn(name, signs).drop(*columns)
+    """df with the column name, struct<level, whole, coarse, fine> of the sorted terms in the column kept, in place of kept. 0 in coarse and fine: no term there."""
+    level = F.coalesce(*(F.when(F.size(kept) <= SUBSETS << 2 * i, i) for i in range(LEVELS - 1)), F.lit(LEVELS - 1))
+    df = df.withColumn("_level", level).withColumn("_whole", F.xxhash64(kept))
+    for part in ("coarse", "fine"):
+        shift = f"({BITS - 6 - 2 * (part == 'fine')} - 2 * _level)"
+        # the subsets' lower bounds among their terms: a subset is what lies between two of them
+        df = df.withColumn("_bounds", F.expr(f"transform(sequence(0L, {SUBSETS}L), v -> shiftleft(v, {shift}))"))
+        df = df.withColumn("_all", F.expr(f"array_sort(concat(filter({kept}, h -> h < shiftleft({SUBSETS}L, {shift})), _bounds))"))
+        df = df.withColumn("_places", F.expr("transform(_bounds, b -> int(array_position(_all, b)))"))
+        hashes = f"transform(sequence(0, {SUBSETS - 1}), v -> if(_places[v + 1] > _places[v] + 1, pmod(hash(slice(_all, _places[v] + 1, _places[v + 1] - _places[v] - 1)), 65535) + 1, 0))"
+        df = df.withColumn(f"_{part}", F.expr(hashes))
+    made = F.struct(F.col("_level").alias("level"), F.col("_whole").alias("whole"), F.col("_coarse").alias("coarse"), F.col("_fine").alias("fine"))
+    return df.withColumn(name, made).drop(kept, "_level", "_whole", "_bounds", "_all", "_places", "_coarse", "_fine")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal signatures among those that either has; 1 where neither has any."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda x: x))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda x: x))
-    return F.when(some == 0, 1.0).otherwise(same / some)
+    """1 for equal sets of terms; else equal hashes among those that either has on the finer of the two levels, 0 without any."""
+    top = F.greatest(a["level"], b["level"])
+    x, y = (F.when(s["level"] == top, s["coarse"]).when(s["level"] == top - 1, s["fine"]) for s in (a, b))
+    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != 0)), lambda z: z))
+    some = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != 0) | (q != 0)), lambda z: z))
+    return F.when(a["whole"] == b["whole"], 1.0).otherwise(F.when(x.isNotNull() & y.isNotNull() & (some > 0), same / some).otherwise(0.0))
 
 
 def shown(signs: Column) -> Column:
-    return F.concat_ws("", F.transform(signs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
+    """Level, the hash of the whole in 16 hex digits, those of the subsets in 4 each."""
+    parts = F.transform(F.concat(signs["coarse"], signs["fine"]), lambda x: F.lpad(F.hex(x.cast("long")), 4, "0"))
+    return F.lower(F.concat(signs["level"].cast("string"), F.lpad(F.hex(signs["whole"]), 16, "0"), F.array_join(parts, "")))
 
 
 def _range(key: Column, bounds: list[int]) -> Column:
@@ -85,38 +83,63 @@ def _range(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(blocks * step + F.size(F.filter(F.slice(listed, blocks * step + 1, F.lit(step)), lambda b: b < key)), F.lit(0))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least_df: int = 2, most_share: float = 0.02) -> DataFrame:
-    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
-
-    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document in
-    descending order of keys, after the last one the first; equal keys order by text, null keys come last. A null text counts as empty; texts without terms have
-    signatures 0 throughout and are alike. Equal texts have equal fingerprints. An empty table gives an empty one. The texts are shuffled once, terms within the band or below it are
-    for texts and edited texts. Texts are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (key, text, digest) with next_text: the text of the next row in descending order of keys, nulls last, equal ones by text; of the first row for the last."""
+    spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / n for i in range(1, n)]
     found = rows.agg(F.percentile_approx("key", shares, 100_000).alias("b")).first()["b"] if shares else None
-    bounds = sorted(set(found or []))
-    rows = rows.withColumn("range", _range(F.col("key"), bounds))
+    rows = rows.withColumn("range", _range(F.col("key"), sorted(set(found or []))))
     # the first document of each range, a copy of which ends the range before it in descending order
     tops = rows.groupBy("range").agg(F.max("key").alias("top"))
     heads = rows.join(F.broadcast(tops), ["range"]).where(F.col("key").eqNullSafe(F.col("top"))).groupBy("range").agg(F.min("text").alias("text"))
     around = Window.orderBy("range")  # one row for each range
     ghosts = heads.select(F.coalesce(F.lead("range").over(around), F.min("range").over(Window.partitionBy())).alias("range"), "text").select(F.lit(None).cast("long").alias("key"), "text", "range", F.lit(True).alias("ghost"))
-    counts = scratch.save(frequencies(rows), "terms")
     all_rows = rows.select("key", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
     order = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("key"), "text")
-    placed = all_rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost"))
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
-    placed = placed.select("key", "text", edited.alias("edited"), F.xxhash64("text").alias("digest"), F.xxhash64("next_text").alias("next"))
-    placed = scratch.save(placed.withColumn("edited_digest", F.xxhash64("edited")), "placed")
-    texts = placed.select("digest", "text").union(placed.select("edited_digest", "edited"))
-    signs = scratch.save(signatures(kept_terms(texts, counts, least_df, most_share * docs.count()), "kept", "signs"), "signatures")
-    out = placed.select("key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "digest", "next", "edited_digest")
-    for digest, name in (("digest", "signs"), ("edited_digest", "edited_signs"), ("next", "next_signs")):
-        out = out.join(signs.select(F.col("digest").alias(digest), F.col("signs").alias(name)), digest)
+    return all_rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost"))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", most_share: float = 0.02) -> DataFrame:
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+
+    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document in
+    descending order of keys, after the last one the first; equal keys order by text, null keys come last. A null text counts as empty; texts without terms have
+    no hashes and are alike. Equal texts have equal fingerprints. Other columns are ignored, whatever their names. Very long texts are cut into terms whole. An empty table gives an empty one.
+    The texts are shuffled once, then their terms' hashes once. Texts are told apart by 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    counts = scratch.save(frequencies(rows), "terms")
+    most = most_share * docs.count()
+    common = [r["term"] for r in counts.where(F.col("n") > most).select("term").collect()]
+    in_band = lambda found: F.filter(found, lambda h: ~h.isin(common)) if common else found
+    kept = F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))")
+    edited = F.concat(kept, F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
+    placed = _placed(rows).withColumn("edited", edited)
+    for name, of in (("t", "text"), ("e", "edited"), ("n", "next_text")):
+        placed = placed.withColumn(f"{name}_all", terms(F.col(of)))
+    placed = placed.select(
+        "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("digest"), F.xxhash64("next_text").alias("next"), "t_all", "e_all",
+        in_band(F.col("t_all")).alias("t"), in_band(F.col("e_all")).alias("e"), F.array_except("e_all", F.array_union("t_all", "n_all")).alias("seam"),
+    )
+    some = lambda a: F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(f"{a}_all")).alias(a)
+    placed = scratch.save(placed.select("key", "n_chars", "edited_sha256", "digest", "next", some("t"), some("e"), "seam"), "placed")
+    scratch.release(spark)
+    # what lies below the band: words that one document alone has, and those at the seams that aren't in two
+    pairs = placed.select("digest", "next").distinct()
+    rare = counts.where("n = 1").select(F.col("one").alias("of"), "term")
+    rare = pairs.join(rare, F.col("digest") == F.col("of")).select("digest", "next", "term").union(pairs.join(rare, F.col("next") == F.col("of")).select("digest", "next", "term"))
+    seams = placed.select("digest", "next", F.explode("seam").alias("term")).distinct().join(counts.where("n > 1").select("term"), "term", "left_anti")
+    gone = rare.union(seams.select("digest", "next", "term")).groupBy("digest", "next").agg(F.collect_list("term").alias("gone"))
+    met = placed.drop("seam").join(gone, ["digest", "next"], "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
+    for name in ("t", "e"):
+        met = met.withColumn(f"{name}_in", F.array_sort(F.array_except(name, "gone"))).withColumn(name, F.when(F.size(f"{name}_in") > 0, F.col(f"{name}_in")).otherwise(F.array_sort(name))).drop(f"{name}_in")
+    met = signatures(signatures(met.drop("gone"), "t", "signs"), "e", "edited_signs")
+    signed = scratch.save(met, "signatures")
+    scratch.drop(placed, counts)
+    of_next = signed.groupBy(F.col("digest").alias("next")).agg(F.first("signs").alias("next_signs"))
+    out = signed.join(of_next, "next")
     return out.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", shown(F.col("signs")).alias("fingerprint"), shown(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),

@@ -256,14 +256,71 @@ def test_op8(docs, rows, none):
     assert imatch.fingerprints(none).collect() == []
 
 
-def test_op8_counts_terms_exactly(spark):
-    """Terms of one document each stay out of the fingerprint, also if their hashes agree in the last 20 bits."""
-    words = spark.range(6000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("h", F.xxhash64("w").bitwiseAND(F.lit((1 << 20) - 1)))
-    x, y = words.groupBy("h").agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1").orderBy("h").first()["w"][:2]
-    shared = "one two three four five"
-    table = [(0, f"{shared} {x}"), (1, shared), (2, f"six seven {y}"), (3, "six seven"), (4, "eight"), (5, "eight nine"), (6, "ten"), (7, "ten eleven")]
-    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(spark.createDataFrame(table, "doc_id long, text string"), most_share=0.5).collect()}
-    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 4
+def plain_imatch(spark, texts, most_share=0.02):
+    """(fingerprint, edited fingerprint, near_edited, near_next) of each text, the next one being its successor, in plain Python but for the hash functions."""
+    import re
+
+    cut = lambda t: list(dict.fromkeys(w for w in re.split(r"[\W_]+", t.lower()) if w))
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, [*texts[1:], texts[0]], strict=True)]
+    words = sorted({w for t in [*texts, *edited] for w in cut(t)})
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.shiftrightunsigned(F.xxhash64("w"), 2).alias("h")).collect()}
+    df = Counter(hashed[w] for t in texts for w in cut(t))
+
+    def keep(t):
+        own = [hashed[w] for w in cut(t)]
+        low = [h for h in own if df[h] <= most_share * len(texts)] or own
+        return sorted([h for h in low if df[h] > 1] or low)
+
+    sets = [keep(t) for t in [*texts, *edited]]
+    rows, at = [], {}
+    for i, s in enumerate(sets):
+        level = next((k for k in range(4) if len(s) <= 64 * 4**k), 4)
+        for half in (0, 1):
+            parts = [[h for h in s if h >> 62 - 6 - 2 * (level + half) == v] for v in range(64)]
+            at[i, half] = len(rows)
+            rows += parts
+        at[i] = level
+    n = len(rows)
+    made = spark.createDataFrame([(i, r) for i, r in enumerate([*rows, *sets])], "i int, r array<bigint>").select("i", (F.pmod(F.hash("r"), F.lit(65535)) + 1).alias("h"), F.xxhash64("r").alias("x")).collect()
+    value = {r["i"]: (r["h"], r["x"]) for r in made}
+    prints = [(at[i], value[n + i][1], *([value[at[i, half] + v][0] if rows[at[i, half] + v] else 0 for v in range(64)] for half in (0, 1))) for i in range(len(sets))]
+
+    def like(a, b):
+        if a[1] == b[1]:
+            return 1.0
+        top = max(a[0], b[0])
+        x, y = (p[2] if p[0] == top else p[3] if p[0] == top - 1 else None for p in (a, b))
+        some = [(p, q) for p, q in zip(x or [], y or [], strict=False) if p or q]
+        return sum(p == q for p, q in some) / len(some) if some else 0.0
+
+    show = lambda p: f"{p[0]}{p[1] & (1 << 64) - 1:016x}" + "".join(f"{v:04x}" for v in p[2] + p[3])
+    k = len(texts)
+    return [(show(prints[i]), show(prints[k + i]), like(prints[i], prints[k + i]), like(prints[i], prints[(i + 1) % k])) for i in range(k)]
+
+
+def test_op8_equals_plain_python(spark):
+    """Bands, subsets, fingerprints and likenesses; texts of 0 to 3000 words, copies, words at the seams that other documents have."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(3000)], k=rng.choice([1, 5, 40, 200, 3000]))) for _ in range(60)] + ["", "  ", "the the", "only"]
+    texts += [texts[3], texts[3], texts[5]]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(len(texts) - i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, digest int").repartition(4)
+    for share in (0.1, 0.5):
+        got = sorted(imatch.fingerprints(df, most_share=share).collect(), key=lambda r: -r["doc_id"])
+        want = plain_imatch(spark, texts, share)
+        for r, w in zip(got, want, strict=True):
+            assert (r["fingerprint"], r["edited_fingerprint"]) == w[:2]
+            assert (r["near_edited"], r["near_next"]) == pytest.approx(w[2:])
+
+
+def test_op8_likeness_tells_edits_from_others(spark):
+    """Half a text is nearer to it than the next text, of whatever length."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    table = [(i, " ".join(rng.choices(words, k=rng.choice([30, 100, 400, 1500])))) for i in range(600)]
+    got = imatch.fingerprints(spark.createDataFrame(table, "doc_id long, text string"), most_share=0.5).collect()
+    assert sum(r["near_edited"] > r["near_next"] for r in got) >= 0.99 * len(got)
 
 
 def test_op10(spark, docs, none):
