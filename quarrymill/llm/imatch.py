@@ -4,10 +4,10 @@ Terms are runs of letters and digits, lower case, told apart by 62 bits of their
 keeps its distinct terms within a band of inverse document frequencies: those that at least two documents have and at most a given share of all. Without any, it
 keeps those below the band too; without these too, all its terms.
 
-The kept terms, sorted, are hashed whole and within randomised lexicon subsets. On level l the lexicon falls into 64 * 4 ** l parts at random, of which 64 are subsets that
+The kept terms, sorted, are hashed within randomised lexicon subsets. On level l the lexicon falls into 64 * 4 ** l parts at random, of which 64 are subsets that
 are hashed. A document is on the level at which a subset has about one of its terms, and has the hashes of the subsets of its level and of the next finer one: so
 documents whose numbers of terms are within a factor of four have a level in common. Two documents are alike by the share of equal hashes among the subsets of that
-level in which either has a term.
+level in which either has a term. Only terms within a document's subsets, about 64 at most, are kept from step to step.
 
 No term is sent to the documents that have it. Terms above the band are few (fewer than a document's mean number of terms / most_share) and part of the plan; a
 term below it is in one document, which the count names, so a document gets the list of its own; all others are in the band. Only words that the edit of a text makes
@@ -39,35 +39,43 @@ def frequencies(rows: DataFrame) -> DataFrame:
     return rows.select("digest", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.min("digest").alias("one"))
 
 
-def signatures(df: DataFrame, kept: str, name: str) -> DataFrame:
-    """df with the column name, struct<level, whole, coarse, fine> of the sorted terms in the column kept, in place of kept. 0 in coarse and fine: no term there."""
-    level = F.coalesce(*(F.when(F.size(kept) <= SUBSETS << 2 * i, i) for i in range(LEVELS - 1)), F.lit(LEVELS - 1))
-    df = df.withColumn("_level", level).withColumn("_whole", F.xxhash64(kept))
+def level_of(found: Column) -> Column:
+    """The first level at which a subset has no more than one of found on average, or the last."""
+    return F.coalesce(*(F.when(F.size(found) <= SUBSETS << 2 * i, i) for i in range(LEVELS - 1)), F.lit(LEVELS - 1))
+
+
+def within(level: str, found: str) -> Column:
+    """found without the terms that are in none of the level's subsets."""
+    return F.expr(f"filter({found}, h -> h < shiftleft({SUBSETS}L, {BITS - 6} - 2 * {level}))")
+
+
+def signatures(df: DataFrame, level: str, kept: str, name: str) -> DataFrame:
+    """df with the column name, struct<level, coarse, fine> of the terms within the level's subsets in the column kept, in place of both. 0 in coarse and fine: no term there."""
     for part in ("coarse", "fine"):
-        shift = f"({BITS - 6 - 2 * (part == 'fine')} - 2 * _level)"
+        shift = f"({BITS - 6 - 2 * (part == 'fine')} - 2 * {level})"
         # the subsets' lower bounds among their terms: a subset is what lies between two of them
         df = df.withColumn("_bounds", F.expr(f"transform(sequence(0L, {SUBSETS}L), v -> shiftleft(v, {shift}))"))
         df = df.withColumn("_all", F.expr(f"array_sort(concat(filter({kept}, h -> h < shiftleft({SUBSETS}L, {shift})), _bounds))"))
         df = df.withColumn("_places", F.expr("transform(_bounds, b -> int(array_position(_all, b)))"))
         hashes = f"transform(sequence(0, {SUBSETS - 1}), v -> if(_places[v + 1] > _places[v] + 1, pmod(hash(slice(_all, _places[v] + 1, _places[v + 1] - _places[v] - 1)), 65535) + 1, 0))"
         df = df.withColumn(f"_{part}", F.expr(hashes))
-    made = F.struct(F.col("_level").alias("level"), F.col("_whole").alias("whole"), F.col("_coarse").alias("coarse"), F.col("_fine").alias("fine"))
-    return df.withColumn(name, made).drop(kept, "_level", "_whole", "_bounds", "_all", "_places", "_coarse", "_fine")
+    made = F.struct(F.col(level).alias("level"), F.col("_coarse").alias("coarse"), F.col("_fine").alias("fine"))
+    return df.withColumn(name, made).drop(kept, level, "_bounds", "_all", "_places", "_coarse", "_fine")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal sets of terms; else equal hashes among those that either has on the finer of the two levels, 0 without any."""
+    """1 for equal hashes throughout; else the equal ones among those that either has on the finer of the two levels, 0 without any."""
     top = F.greatest(a["level"], b["level"])
     x, y = (F.when(s["level"] == top, s["coarse"]).when(s["level"] == top - 1, s["fine"]) for s in (a, b))
     same = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != 0)), lambda z: z))
     some = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != 0) | (q != 0)), lambda z: z))
-    return F.when(a["whole"] == b["whole"], 1.0).otherwise(F.when(x.isNotNull() & y.isNotNull() & (some > 0), same / some).otherwise(0.0))
+    return F.when(a == b, 1.0).otherwise(F.when(x.isNotNull() & y.isNotNull() & (some > 0), same / some).otherwise(0.0))
 
 
 def shown(signs: Column) -> Column:
-    """Level, the hash of the whole in 16 hex digits, those of the subsets in 4 each."""
+    """The level, then the hashes of the subsets in 4 hex digits each."""
     parts = F.transform(F.concat(signs["coarse"], signs["fine"]), lambda x: F.lpad(F.hex(x.cast("long")), 4, "0"))
-    return F.lower(F.concat(signs["level"].cast("string"), F.lpad(F.hex(signs["whole"]), 16, "0"), F.array_join(parts, "")))
+    return F.lower(F.concat(signs["level"].cast("string"), F.array_join(parts, "")))
 
 
 def _range(key: Column, bounds: list[int]) -> Column:
@@ -119,12 +127,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", most_
     placed = _placed(rows).withColumn("edited", edited)
     for name, of in (("t", "text"), ("e", "edited"), ("n", "next_text")):
         placed = placed.withColumn(f"{name}_all", terms(F.col(of)))
+    placed = placed.select("key", "text", "edited", "next_text", "t_all", "e_all", "n_all", in_band(F.col("t_all")).alias("t"), in_band(F.col("e_all")).alias("e"))
+    for name in ("t", "e"):
+        placed = placed.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(F.col(f"{name}_all"))).withColumn(f"{name}_level", level_of(F.col(name)))
     placed = placed.select(
-        "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("digest"), F.xxhash64("next_text").alias("next"), "t_all", "e_all",
-        in_band(F.col("t_all")).alias("t"), in_band(F.col("e_all")).alias("e"), F.array_except("e_all", F.array_union("t_all", "n_all")).alias("seam"),
+        "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("digest"), F.xxhash64("next_text").alias("next"), "t_level", "e_level",
+        within("t_level", "t").alias("t"), within("e_level", "e").alias("e"), F.array_except(within("e_level", "e"), F.array_union("t_all", "n_all")).alias("seam"),
     )
-    some = lambda a: F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(f"{a}_all")).alias(a)
-    placed = scratch.save(placed.select("key", "n_chars", "edited_sha256", "digest", "next", some("t"), some("e"), "seam"), "placed")
+    placed = scratch.save(placed, "placed")
     scratch.release(spark)
     # what lies below the band: words that one document alone has, and those at the seams that aren't in two
     pairs = placed.select("digest", "next").distinct()
@@ -134,8 +144,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", most_
     gone = rare.union(seams.select("digest", "next", "term")).groupBy("digest", "next").agg(F.collect_list("term").alias("gone"))
     met = placed.drop("seam").join(gone, ["digest", "next"], "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
     for name in ("t", "e"):
-        met = met.withColumn(f"{name}_in", F.array_sort(F.array_except(name, "gone"))).withColumn(name, F.when(F.size(f"{name}_in") > 0, F.col(f"{name}_in")).otherwise(F.array_sort(name))).drop(f"{name}_in")
-    met = signatures(signatures(met.drop("gone"), "t", "signs"), "e", "edited_signs")
+        met = met.withColumn(f"{name}_in", F.array_except(name, "gone")).withColumn(name, F.when(F.size(f"{name}_in") > 0, F.col(f"{name}_in")).otherwise(F.col(name))).drop(f"{name}_in")
+    met = signatures(signatures(met.drop("gone"), "t_level", "t", "signs"), "e_level", "e", "edited_signs")
     signed = scratch.save(met, "signatures")
     scratch.drop(placed, counts)
     of_next = signed.groupBy(F.col("digest").alias("next")).agg(F.first("signs").alias("next_signs"))

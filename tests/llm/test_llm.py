@@ -269,31 +269,26 @@ def plain_imatch(spark, texts, most_share=0.02):
     def keep(t):
         own = [hashed[w] for w in cut(t)]
         low = [h for h in own if df[h] <= most_share * len(texts)] or own
-        return sorted([h for h in low if df[h] > 1] or low)
-
-    sets = [keep(t) for t in [*texts, *edited]]
-    rows, at = [], {}
-    for i, s in enumerate(sets):
-        level = next((k for k in range(4) if len(s) <= 64 * 4**k), 4)
-        for half in (0, 1):
-            parts = [[h for h in s if h >> 62 - 6 - 2 * (level + half) == v] for v in range(64)]
-            at[i, half] = len(rows)
-            rows += parts
-        at[i] = level
-    n = len(rows)
-    made = spark.createDataFrame([(i, r) for i, r in enumerate([*rows, *sets])], "i int, r array<bigint>").select("i", (F.pmod(F.hash("r"), F.lit(65535)) + 1).alias("h"), F.xxhash64("r").alias("x")).collect()
-    value = {r["i"]: (r["h"], r["x"]) for r in made}
-    prints = [(at[i], value[n + i][1], *([value[at[i, half] + v][0] if rows[at[i, half] + v] else 0 for v in range(64)] for half in (0, 1))) for i in range(len(sets))]
+        level = next((k for k in range(4) if len(low) <= 64 * 4**k), 4)
+        low = [h for h in low if h < 64 << 56 - 2 * level]
+        return level, sorted([h for h in low if df[h] > 1] or low)
+
+    kept = [keep(t) for t in [*texts, *edited]]
+    rows = [[h for h in s if h >> 56 - 2 * (level + half) == v] for level, s in kept for half in (0, 1) for v in range(64)]
+    made = spark.createDataFrame(list(enumerate(rows)), "i int, r array<bigint>").select("i", (F.pmod(F.hash("r"), F.lit(65535)) + 1).alias("h")).collect()
+    value = {r["i"]: r["h"] for r in made}
+    hashes = [value[i] if r else 0 for i, r in enumerate(rows)]
+    prints = [(level, hashes[128 * i : 128 * i + 64], hashes[128 * i + 64 : 128 * i + 128]) for i, (level, _) in enumerate(kept)]
 
     def like(a, b):
-        if a[1] == b[1]:
+        if a == b:
             return 1.0
         top = max(a[0], b[0])
-        x, y = (p[2] if p[0] == top else p[3] if p[0] == top - 1 else None for p in (a, b))
+        x, y = (p[1] if p[0] == top else p[2] if p[0] == top - 1 else None for p in (a, b))
         some = [(p, q) for p, q in zip(x or [], y or [], strict=False) if p or q]
         return sum(p == q for p, q in some) / len(some) if some else 0.0
 
-    show = lambda p: f"{p[0]}{p[1] & (1 << 64) - 1:016x}" + "".join(f"{v:04x}" for v in p[2] + p[3])
+    show = lambda p: str(p[0]) + "".join(f"{v:04x}" for v in p[1] + p[2])
     k = len(texts)
     return [(show(prints[i]), show(prints[k + i]), like(prints[i], prints[k + i]), like(prints[i], prints[(i + 1) % k])) for i in range(k)]
 
