@@ -17,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,16 @@ from . import components as cc
 from . import scratch
 
 DISTANCE, GROUPS = 3, 6
-#: Fingerprints of a text in the search for similar texts, and rows that a worker holds as Python objects at a time.
-SEEDS, _ROWS = 4, 1000
+#: Rows that a worker holds as Python objects at a time.
+_ROWS = 1000
 #: Classes of similar texts: BANDS keys of BAND_ROWS least shingle hashes each. Two texts of similarity s share a class with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS.
-BANDS, BAND_ROWS = 24, 6
-#: Texts, and shingles of all texts, of a block of a class that is compared in full.
+BANDS, BAND_ROWS = 16, 5
+#: Texts, and shingles of all texts, of a block that is compared in full.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Bits in which the fingerprints of similar texts may differ: at a similarity of 0.8, 9.7 of 64 do, with a deviation of 2.9. Texts of fewer than SMALL shingles aren't told apart by them.
+APART, SMALL = 24, 32
+#: Rows that are broadcast at most; a larger side is joined by a shuffle.
+BROADCAST = 500_000
 _LOW = 0x5555555555555555
 
 
@@ -81,16 +86,12 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def links(distinct: DataFrame, within: str | None = None) -> DataFrame:
-    """(u, v), u < v: all pairs of distinct fingerprints (column bits) that differ in 1 to DISTANCE bits, each once.
-
-    within: a column that both rows of a pair must share, a part of the join key; it is returned too.
-    """
-    also = [within] if within else []
+def links(distinct: DataFrame) -> DataFrame:
+    """(u, v), u < v: all pairs of distinct fingerprints (column bits) that differ in 1 to DISTANCE bits, each once."""
     masks = _masks()
     choices = list(combinations(range(GROUPS), GROUPS - DISTANCE))
     cells = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("counts").bitwiseAND(F.lit(_signed(sum(masks[g] for g in c)))).alias("cell")) for k, c in enumerate(choices)))
-    rows = distinct.select("bits", *also, _counts(F.col("bits")).alias("counts")).select("bits", *also, "counts", F.explode(cells).alias("x")).select("bits", *also, "counts", "x.*")
+    rows = distinct.select("bits", _counts(F.col("bits")).alias("counts")).select("bits", "counts", F.explode(cells).alias("x")).select("bits", "counts", "x.*")
     a, b = rows.alias("a"), rows.alias("b")
     # groups before the last of a choice that aren't in it: a pair that agrees on one of them counts elsewhere
     earlier = [[g for g in range(c[-1]) if g not in c] for c in choices]
@@ -108,9 +109,7 @@ def links(distinct: DataFrame, within: str | None = None) -> DataFrame:
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= DISTANCE)
         & first
     )
-    for c in also:
-        near = (F.col(f"a.{c}") == F.col(f"b.{c}")) & near
-    return a.join(b, near).select(F.col("a.bits").alias("u"), F.col("b.bits").alias("v"), *(F.col(f"a.{c}") for c in also))
+    return a.join(b, near).select(F.col("a.bits").alias("u"), F.col("b.bits").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -183,45 +182,62 @@ def bands(parts: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def _marks(text: str | None, width: int) -> tuple[bytes, list[int], list[int], list[int], int]:
-    """(digest of the word sequence, SEEDS fingerprints of the words, SEEDS least shingle hashes, BANDS keys, number of shingles)."""
+def _print(parts: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes, signed."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, parts.size, 8192):
+        ones += np.unpackbits(parts[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(2 * ones > parts.size).tobytes(), "big"))
+
+
+def _marks(text: str | None, width: int) -> tuple[int, int, int, list[int]]:
+    """(64 bits of the digest of the word sequence, number of shingles, fingerprint of the shingles, BANDS keys)."""
     words = _words(text)
-    digest = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+    digest = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
     if not words.size:
-        return digest, [0] * SEEDS, [0] * SEEDS, [], 0
-    own, times = np.unique(words, return_counts=True)
-    parts, prints, least = shingles(words, width), [], []
-    for seed in range(SEEDS):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, own.size, 8192):
-            bits = np.unpackbits(_seeded(own[i : i + 8192], seed).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones += np.rint(times[i : i + 8192].astype(np.float64) @ bits).astype(np.int64)
-        prints.append(_signed(int.from_bytes(np.packbits(2 * ones > words.size).tobytes(), "big")))
-        least.append(_signed(int(_seeded(parts, seed + 100).min())))
-    return digest, prints, least, bands(parts), parts.size
+        return digest, 0, 0, []
+    parts = shingles(words, width)
+    return digest, parts.size, _print(parts), bands(parts)
+
+
+_SEGMENT = np.array([bin(i).count("1") for i in range(256)], np.int8)
+
+
+def _near(prints: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Which texts may be similar to text k: by their numbers of shingles; by the Manhattan distance of the popcounts of the fingerprints' eight segments, which is
+    no more than that of the bits; then by the bits."""
+    use = np.minimum(sizes, sizes[k]) >= least * np.maximum(sizes, sizes[k])
+    tested = use & (sizes >= SMALL) if sizes[k] >= SMALL else np.zeros(use.size, bool)
+    at = np.flatnonzero(tested)
+    far = np.abs(counts[at] - counts[k]).sum(axis=1) > APART
+    use[at[far]] = False
+    at = at[~far]
+    use[at[np.bitwise_count(prints[at] ^ prints[k]) > APART]] = False
+    return use
 
 
 def _join_within(table: pa.Table, least: float) -> pa.Table:
     """(u, v): links between the groups (column root) of a block, or of two blocks of a class, that verified pairs of texts make.
 
-    Every pair is compared, but those of one block of two and those whose groups are linked already.
+    Every pair is looked at, but those of one block of two and those whose groups are linked already; the sets of those that _near leaves are compared.
     """
     label = table.column("root").to_numpy().copy()
     block, (one, two) = table.column("block").to_numpy(), (table.column(c)[0].as_py() for c in ("one", "two"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+    prints = table.column("print").to_numpy().view(np.uint64)
+    counts = _SEGMENT[prints.view(np.uint8).reshape(-1, 8)]
     size = np.array([x.size for x in sets])
     ends = np.cumsum(size)
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     has, links = np.zeros(values.size, bool), []
     for k in range(len(sets)):
-        other = np.flatnonzero((label != label[k]) & ((block != block[k]) | (one == two)))
+        other = np.flatnonzero((label != label[k]) & ((block != block[k]) | (one == two)) & _near(prints, counts, size, k, least))
         other = other[other > k]
         if not other.size:
             continue
-        own = place[ends[k] - size[k] : ends[k]]
-        has[own] = True
-        both = np.add.reduceat(has[place], ends - size, dtype=np.int64)[other]
-        has[own] = False
+        has[place[ends[k] - size[k] : ends[k]]] = True
+        both = np.array([np.count_nonzero(has[place[ends[j] - size[j] : ends[j]]]) for j in other])
+        has[place[ends[k] - size[k] : ends[k]]] = False
         for j in other[(both >= least * (size[k] + size[other] - both)) & (both > 0)]:
             if label[j] != label[k]:
                 links.append((label[k], label[j]))
@@ -229,92 +245,119 @@ def _join_within(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"u": pa.array([int(u) for u, _ in links], pa.int64()), "v": pa.array([int(v) for _, v in links], pa.int64())})
 
 
-def similar(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(row, root) for each row of texts (row long, text) with another of its group: root is the group's smallest row.
+def _candidates(table: pa.Table, least: float) -> pa.Table:
+    """The texts of a block, or of two blocks of a class, that may be similar to another one in another group, by what is known without their sets."""
+    root, block, (one, two) = table.column("root").to_numpy(), table.column("block").to_numpy(), (table.column(c)[0].as_py() for c in ("one", "two"))
+    prints, size = table.column("print").to_numpy().view(np.uint64), table.column("size").to_numpy()
+    counts, use = _SEGMENT[prints.view(np.uint8).reshape(-1, 8)], np.zeros(root.size, bool)
+    for k in range(root.size):
+        near = (root != root[k]) & ((block != block[k]) | (one == two)) & _near(prints, counts, size, k, least)
+        use[k] = near.any()
+    return table.filter(pa.array(use))
 
-    Rows are linked where their sets of width-word shingles have a Jaccard similarity of at least `least`; every link is
-    verified, rows with the same words in the same order are linked at once.
 
-    Texts are candidates of one another if they share one of BANDS classes (by least hashes of shingles, so wherever they differ), or by SEEDS
-    SimHash fingerprints of the words: pairs within DISTANCE bits by the grid join of links(), whose texts also share the least
-    shingle hash of that seed, so a fingerprint that many unlike texts have makes no candidates of them.
-    First each text is compared with the most central one of all its classes, that which shares classes with the most texts, and fingerprints by their first texts; candidates grow with
-    the texts, not with the square of a group. Then each class whose texts aren't one group yet is compared in full, in pairs of blocks, without a row for each pair:
-    every two texts of a class are compared or linked by others. What is missed are texts that share no class: at a similarity of 0.8, 7 in 10,000 pairs are expected.
-    """
+def _sent(small: DataFrame, most: int | None = None) -> DataFrame:
+    """small, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(small) if small.count() <= (BROADCAST if most is None else most) else small
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ROWS):
-                some = batch.slice(i, _ROWS)
-                made = [_marks(x, width) for x in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in made], pa.binary()), *(pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (1, 2, 3)), pa.array([m[4] for m in made], pa.int64())], names=["row", "digest", "prints", "least", "bands", "size"])
+
+def _blocks(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+_LINK = "u bigint, v bigint"
+
+
+def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, root) for each id of distinct with another of its group: root is the group's smallest id.
+
+    distinct (id, size, print, bands, file, row): a row for each distinct sequence of words, with the place of a text that has it; texts (file, row, text).
+    Ids are linked where their sets of width-word shingles have a Jaccard similarity of at least `least`; every link is verified.
+
+    Texts are candidates of one another if they share one of BANDS classes (by least hashes of shingles, so wherever they differ) and their
+    SimHash fingerprints differ in at most APART bits, which the Manhattan distance of the segments' popcounts bounds from below.
+    First each text goes to the most central one of all its classes, that which shares classes with the most texts, and is compared with it and with others that went there, in
+    blocks: work grows with the texts, not with the square of a group. Then each class whose texts aren't one group yet is compared in full, in pairs of blocks, without
+    a row for each pair: every two candidates of a class are compared or linked by others. Sets are made where the texts are and shuffled only for texts that have
+    candidates. What is missed are texts that share no class: at a similarity of 0.8, 2 in 1,000 pairs are expected, at 0.85 1 in 10,000.
+    """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 some = batch.slice(i, _ROWS)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(_words(x), width).tobytes() for x in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
-            use = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                use.append(both >= least * (x.size + y.size - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(use, pa.bool_()))
-
-    marked = scratch.save(texts.select("row", "text").mapInArrow(mark, "row bigint, digest binary, prints array<bigint>, least array<bigint>, bands array<bigint>, size bigint"), "marks")
-    distinct = scratch.save(marked.groupBy("digest").agg(F.min("row").alias("first"), F.any_value("prints").alias("prints"), F.any_value("least").alias("least"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")), "distinct")
-    members = distinct.select("first", "size", F.explode("bands").alias("class"))
+                sets = pa.array([shingles(_words(x), width).tobytes() for x in some.column(0).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], sets], names=[*some.schema.names[1:], "set"])
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        """Links of dealt (file, row, group, root, print, block, one, two), by groups of (group, one, two)."""
+        wanted = dealt.select("file", "row", "group", "root", "print", "block", "one", "two")
+        sets = texts.join(_sent(wanted), ["file", "row"]).select("text", "group", "root", "print", "block", "one", "two").mapInArrow(shingled, "group bigint, root bigint, print bigint, block int, one int, two int, set binary")
+        return sets.groupBy("group", "one", "two").applyInArrow(lambda table: _join_within(table, least), _LINK)
+
+    members = distinct.select("id", "size", "print", F.explode("bands").alias("class"))
     members = scratch.save(members.join(members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "class"), "members")
-    central = members.groupBy("first").agg(F.sum("n").alias("central"))
-    middle = members.join(central, "first").groupBy("class").agg(F.max(F.struct("central", (-F.col("first")).alias("first"))).alias("middle"))
-    best = members.join(middle, "class").groupBy("first").agg(F.max("middle").alias("middle")).select("first", (-F.col("middle.first")).alias("middle")).where("first <> middle")
-    pairs = best.select(F.least("first", "middle").alias("u"), F.greatest("first", "middle").alias("v"))
-    # the fingerprints of all seeds in one plan: a seed's least hash is told from the others' by the seed
-    own = distinct.select("first", F.explode(F.arrays_zip("prints", "least", F.array(*map(F.lit, range(SEEDS))).alias("seed"))).alias("x")).select("first", F.col("x.prints").alias("bits"), F.xxhash64("x.least", "x.seed").alias("least"))
-    classes = scratch.save(own.groupBy("bits", "least").agg(F.min("first").alias("rep")), "classes")
-    same = own.join(classes, ["bits", "least"]).where("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-    # most least hashes have one class only, which has no partner
-    shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
-    near = links(classes.join(shared, "least", "left_semi").select("bits", "least"), "least")
-    a = classes.select(F.col("bits").alias("u"), "least", F.col("rep").alias("a"))
-    b = classes.select(F.col("bits").alias("v"), "least", F.col("rep").alias("b"))
-    pairs = pairs.union(same).union(near.join(a, ["u", "least"]).join(b, ["v", "least"]).select(F.least("a", "b"), F.greatest("a", "b")))
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).union(members.select("first")).distinct()
-    sets = scratch.save(texts.select("row", "text").join(nodes, "row", "left_semi").mapInArrow(shingled, "row bigint, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("y")), "v")
-    good = both.select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint")
-    roots = cc.components(good)
-    placed = scratch.save(distinct.select("first", "digest").join(roots, F.col("first") == F.col("node"), "left").select("first", "digest", F.coalesce("root", "first").alias("root")), "placed")
+    # each text's centre, and the centres' texts dealt into blocks, each with the centre in it
+    central = members.groupBy("id").agg(F.sum("n").alias("central"))
+    middle = members.join(central, "id").groupBy("class").agg(F.max(F.struct("central", "id")).alias("middle"))
+    best = members.join(middle, "class").groupBy("id").agg(F.max("middle").alias("m"), F.first("size").alias("size")).select("id", "size", F.col("m.id").alias("group"))
+    best = scratch.save(best, "centres")
+    sizes = best.groupBy("group").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    own = best.where("id <> group").join(sizes, "group").select("group", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("one"))
+    heads = own.select("group", F.col("group").alias("id"), "one").distinct()
+    places = distinct.select("id", "print", "file", "row")
+    dealt = own.union(heads).join(places, "id").select("file", "row", "group", F.col("id").alias("root"), "print", F.lit(0).alias("block"), "one", F.col("one").alias("two"))
+    roots = cc.components(verified(scratch.save(dealt, "dealt")))
     # classes of several groups yet, each set of texts once
-    inside = members.join(placed.select("first", "root"), "first")
-    left = inside.groupBy("class").agg(F.max("n").alias("n"), F.bit_xor(F.xxhash64("first")).alias("texts"), F.sum("size").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    left = left.groupBy("n", "texts", "size").agg(F.min("class").alias("class")).select("class", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = inside.select("class", "first", "root").join(left, "class").withColumn("block", F.pmod(F.xxhash64("first", F.lit(1)), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "first", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    full = dealt.join(sets.withColumnRenamed("row", "first"), "first").select("class", "root", "block", "one", "two", "set")
-    more = cc.components(full.groupBy("class", "one", "two").applyInArrow(lambda table: _join_within(table, least), "u bigint, v bigint"))
-    named = placed.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("digest", F.coalesce("top", "root").alias("root"))
-    return marked.select("row", "digest").join(named, "digest").select("row", "root")
+    inside = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    left = inside.groupBy("class").agg(F.max("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("texts"), F.sum("size").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    left = left.groupBy("n", "texts", "size").agg(F.min("class").alias("class")).select("class", _blocks(F.col("n"), F.col("size")).alias("blocks"))
+    cells = inside.select("class", "id", "root", "print", "size").join(left, "class").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(F.col("class").alias("group"), "id", "root", "print", "size", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    schema = "group bigint, id bigint, root bigint, print bigint, size bigint, block int, one int, two int"
+    more = scratch.save(cells.groupBy("group", "one", "two").applyInArrow(lambda table: _candidates(table, least), schema).join(places.drop("print"), "id"), "more")
+    tops = cc.components(verified(more)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = roots.select(F.col("node").alias("id"), "root").union(tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), "root"))
+    return scratch.save(named.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of similar(), with all its columns: that of the smallest key, of rows with equal keys any one; a null key only if there is no other.
 
-    Texts without words (null, empty, white space) are one group. docs must be a table of files, so that its rows have the
-    same numbers whenever they are read. An empty table gives an empty one.
+    Texts without words (null, empty, white space) are one group; very long texts are compared whole; columns may have any names. An empty table gives an empty one.
+    Rows are told apart by their file and their place in it, which stay the same however the files are split between tasks and whichever executors are lost; docs that isn't
+    the scan of a Parquet table is written first. Sequences of words are told apart by 64 bits of their digest.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    found = similar(numbered.select(F.col(row).alias("row"), F.col(text).alias("text")), width, least)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
-    kept = numbered.select(F.col(row).alias("_own"), order.alias("_order")).join(found, F.col("_own") == F.col("row")).groupBy("root").agg(F.min("_order").alias("o"))
-    kept = scratch.save(kept.select(F.col("o.row").alias(row)), "kept")
-    return numbered.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["row_index"]).schema  # noqa: B018
+    except AnalysisException:
+        docs = scratch.save(docs, "docs")
+        place = docs.metadataColumn("_metadata")
+    where = (F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+    texts = docs.select(*where, F.col(f"`{text}`").alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(i, _ROWS)
+                made = [_marks(x, width) for x in some.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array([m[k] for m in made], pa.int64()) for k in range(3)), pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["file", "row", "key", "id", "size", "print", "bands"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(*where, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    marked = scratch.save(rows.mapInArrow(mark, f"file bigint, row bigint, key {kind}, id bigint, size bigint, print bigint, bands array<bigint>"), "marks")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "file", "row")
+    distinct = marked.groupBy("id").agg(F.min(order).alias("best"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("bands").alias("bands"))
+    distinct = scratch.save(distinct.select("id", "size", "print", "bands", "best", "best.file", "best.row"), "distinct")
+    roots = similar(texts, distinct, width, least)
+    kept = distinct.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best")).select("best.file", "best.row")
+    dropped = scratch.save(marked.select("file", "row").join(kept, ["file", "row"], "left_anti"), "dropped")
+    # the columns that tell rows apart get names that docs doesn't have in any spelling
+    file, row = "file", "row"
+    while {file, row} & {c.lower() for c in docs.columns}:
+        file, row = f"{file}_", f"{row}_"
+    named = docs.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+    out = named.join(_sent(dropped.select(F.col("file").alias(file), F.col("row").alias(row))), [file, row], "left_anti")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -500,8 +500,10 @@ def test_classes_are_compared_in_full():
 
     def linked(one, two):
         use = [i for i in range(len(rows)) if block[i] in (one, two)]
-        table = {"root": use, "block": [block[i] for i in use], "one": [one] * len(use), "two": [two] * len(use), "set": [rows[i].tobytes() for i in use]}
-        return {tuple(sorted(x.values())) for x in simhash._join_within(pa.table(table), 0.8).to_pylist()}
+        table = {"root": use, "block": [block[i] for i in use], "one": [one] * len(use), "two": [two] * len(use), "print": [simhash._print(rows[i]) for i in use], "size": [rows[i].size for i in use], "set": [rows[i].tobytes() for i in use]}
+        links = simhash._join_within(pa.table(table), 0.8)
+        assert {r for x in links.to_pylist() for r in x.values()} <= {r["root"] for r in simhash._candidates(pa.table(table), 0.8).to_pylist()}
+        return {tuple(sorted(x.values())) for x in links.to_pylist()}
 
     found = linked(0, 0) | linked(0, 1) | linked(1, 1)
     root = list(range(len(rows)))
