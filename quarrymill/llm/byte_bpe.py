@@ -1,17 +1,18 @@
 """Byte-level BPE over rank files, with a hierarchical-bitmap rank queue.
 
-One queue serves all pre-tokens of a batch. Bytes of all pre-tokens stand in one array as doubly
-linked lists, one list for each pre-token. Each merge rank has a bucket of list positions; a
+Bytes stand in linked lists, one list for each pre-token. Each merge rank has a bucket of list positions; a
 three-level bitmap marks the buckets that hold something, and find-first-set on it gives the next
-rank. Entries whose pair has changed meanwhile are stale and skipped. All occurrences in a bucket are
-merged at once in numpy, so the cost of a step is shared by the pre-tokens of the batch, and a
-pre-token of n bytes costs O(n) merges whatever its length.
+rank. Entries whose pair has changed meanwhile are stale and skipped.
 
-The order within one pre-token is exactly "lowest rank first, leftmost first". Two cases need care.
+A long pre-token has a queue of its own, whose buckets are heaps: the leftmost entry of the lowest rank is next, so n bytes take
+O(n log n) steps whatever they are. One queue serves all short pre-tokens of a batch: all occurrences in a bucket are
+merged at once in numpy, so the cost of a step is shared by the pre-tokens of the batch.
+
+The order within one pre-token is exactly "lowest rank first, leftmost first". Merging many at once, two cases need care.
 Overlapping pairs of twins (aa in aaaa) are taken alternately from the left of each run. A merge
 that makes a pair of a still lower rank has to let that pair go first: for the ranks where this can
 happen (known from the vocabulary) only the leftmost occurrence of each pre-token is taken, and the
-rest of the bucket is put back.
+rest of the bucket is put back, which is why long pre-tokens aren't merged so.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +35,49 @@ _NONE = np.int64(1 << 40)
 _SHIFT = 20
 #: Rows of a batch of results.
 _ROWS = 1000
+#: Pre-tokens of more bytes have a queue of their own.
+LONG = 512
 
 
 class RankQueue:
-    """Buckets of positions by rank under a bitmap of three levels of 64-bit words."""
+    """Buckets of entries by rank (arrays of positions, or positions) under a bitmap of three levels of 64-bit words."""
 
     def __init__(self, size: int) -> None:
-        self.buckets: list[list[np.ndarray]] = [[] for _ in range(size)]
+        self.buckets: list[list] = [[] for _ in range(size)]
         n0 = (size + 63) // 64
         n1 = (n0 + 63) // 64
         self.low, self.mid, self.top = [0] * n0, [0] * n1, 0
         if n1 > 64:
             raise ValueError("a rank file has at most 64 ** 3 ranks")
 
+    def mark(self, rank: int) -> None:
+        """The rank's bucket holds something."""
+        word = rank >> 6
+        self.low[word] |= 1 << (rank & 63)
+        self.mid[word >> 6] |= 1 << (word & 63)
+        self.top |= 1 << (word >> 6)
+
+    def clear(self, rank: int) -> None:
+        """The rank's bucket is empty."""
+        word = rank >> 6
+        self.low[word] &= ~(1 << (rank & 63))
+        if not self.low[word]:
+            self.mid[word >> 6] &= ~(1 << (word & 63))
+            if not self.mid[word >> 6]:
+                self.top &= ~(1 << (word >> 6))
+
     def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets[rank]
         if not bucket:
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
+            self.mark(rank)
         bucket.append(positions)
 
+    def push_one(self, rank: int, position: int) -> None:
+        bucket = self.buckets[rank]
+        if not bucket:
+            self.mark(rank)
+        heappush(bucket, position)
+
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         """Adds positions[i] to bucket ranks[i]."""
         if not ranks.size:
@@ -77,12 +100,7 @@ class RankQueue:
 
     def take(self, rank: int) -> np.ndarray:
         bucket, self.buckets[rank] = self.buckets[rank], []
-        word = rank >> 6
-        self.low[word] &= ~(1 << (rank & 63))
-        if not self.low[word]:
-            self.mid[word >> 6] &= ~(1 << (word & 63))
-            if not self.mid[word >> 6]:
-                self.top &= ~(1 << (word >> 6))
+        self.clear(rank)
         return bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
 
 
@@ -117,8 +135,53 @@ class RankFile:
         at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
         return np.where(self.keys[at] == key, self.pair_ranks[at], _NONE)
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The rank of each pair of the vocabulary, for one pair at a time; made when the first long piece comes."""
+        return dict(zip(self.keys.tolist(), self.pair_ranks.tolist(), strict=True))
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """The ids of one piece, an occurrence at a time."""
+        n, get, queue = len(piece), self.rank_of.get, RankQueue(self.size)
+        token = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        after, before, rank = [*range(1, n), -1], list(range(-1, n - 1)), [-1] * n
+        for i in range(n - 1):
+            if (r := get(token[i] << _SHIFT | token[i + 1])) is not None:
+                rank[i] = r
+                queue.push_one(r, i)
+        while (r := queue.first()) >= 0:
+            bucket, lower = queue.buckets[r], False
+            while bucket and not lower:
+                i = heappop(bucket)
+                if rank[i] != r:
+                    continue
+                j = after[i]
+                k, h = after[j], before[i]
+                token[i], token[j], rank[j], rank[i], after[i] = r, -1, -1, -1, k
+                if k >= 0:
+                    before[k] = i
+                    if (new := get(r << _SHIFT | token[k])) is not None:
+                        rank[i], lower = new, new < r
+                        queue.push_one(new, i)
+                if h >= 0:
+                    if (new := get(token[h] << _SHIFT | r)) is not None:
+                        rank[h], lower = new, lower or new < r
+                        queue.push_one(new, h)
+                    else:
+                        rank[h] = -1
+            if not bucket:
+                queue.clear(r)
+        return np.array([t for t in token if t >= 0], "<u4").tobytes()
+
     def merge(self, pieces: Sequence[bytes]) -> list[bytes]:
         """The ids of each non-empty piece as little-endian unsigned 32-bit integers."""
+        if any(len(p) > LONG for p in pieces):
+            short = [p for p in pieces if len(p) <= LONG]
+            made = iter(self._merge_short(short) if short else ())
+            return [self.merge_long(p) if len(p) > LONG else next(made) for p in pieces]
+        return self._merge_short(pieces)
+
+    def _merge_short(self, pieces: Sequence[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         text = np.frombuffer(b"".join(pieces), np.uint8)
         n = text.size

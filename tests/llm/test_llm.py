@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -55,6 +56,20 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_of_long_pre_tokens():
+    """Equal to the library where both queues are used, and in proportion to the length, also where each merge makes a pair of a lower rank."""
+    rng, file, encode = random.Random(3), byte_bpe.encoder(BPE, P.PATTERN).file, tik()
+    for n in (500, 513, 3000):
+        for text in ("Thisq" * (n // 5), "".join(rng.choice(("The", "Is", "ing", "Xx", "q")) for _ in range(n)), "".join(rng.choice("abctehrsin") for _ in range(n)), "a" * n, "é" * n):
+            raw = text.encode()
+            assert np.frombuffer(file.merge([raw])[0], "<u4").tolist() == np.frombuffer(file.merge_long(raw), "<u4").tolist() == encode(text), text[:20]
+    began = time.perf_counter()
+    file.merge([b"Thisq" * 10_000])
+    once = time.perf_counter() - began
+    file.merge([b"Thisq" * 80_000])
+    assert time.perf_counter() - began < 30 * max(once, 0.05)
+
+
 def test_rank_queue():
     rng, queue, want = random.Random(2), byte_bpe.RankQueue(5000), Counter()
     for _ in range(2000):
