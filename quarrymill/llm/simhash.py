@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, kept between texts. Bounded by `most`."""
+    """64-bit hashes of words, kept between texts. Bounded by `most`, and emptied when a task ends."""
 
     most = 100_000
 
@@ -288,6 +288,7 @@ def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float
                 some = batch.slice(i, _ROWS)
                 sets = pa.array([shingles(_words(x), width).tobytes() for x in some.column(0).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], sets], names=[*some.schema.names[1:], "set"])
+        _hashes.clear()
 
     def verified(dealt: DataFrame) -> DataFrame:
         """Links of dealt (file, row, group, root, print, block, one, two), by groups of (group, one, two)."""
@@ -344,6 +345,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                 some = batch.slice(i, _ROWS)
                 made = [_marks(x, width) for x in some.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array([m[k] for m in made], pa.int64()) for k in range(3)), pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["file", "row", "key", "id", "size", "print", "bands"])
+        _hashes.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(*where, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))

@@ -28,9 +28,9 @@ _SHIFT = np.uint64(64 - BITS)
 
 
 class _Words(dict):
-    """Numbers of words; hashes and single-word features are kept by number. Bounded by `most`."""
+    """Numbers of words; hashes and single-word features are kept by number. Bounded by `most`, and emptied when a task ends."""
 
-    most = 200_000
+    most = 100_000
 
     def __init__(self) -> None:
         self.reset()
@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in _slices(batches):
             at = [features(x).astype("<i4").tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary())], names=["spot", "y", "at"])
+        _words.reset()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for batch in _slices(batches) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
@@ -174,6 +175,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in _slices(batches):
             p = np.array([model.score(x) for x in batch.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
+        _words.reset()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, held_out(F.col(key)).alias("held_out"), text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
@@ -186,5 +188,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(place).to_pylist()], pa.bool_()))
+        _words.reset()
 
     return docs.mapInArrow(run, docs.schema)
