@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_table import ChunkTable
+from .workers import slices
 
 _NONE = np.int64(1 << 40)
 _SHIFT = 20
-#: Rows of a batch of results.
-_ROWS = 1000
 #: Pre-tokens of more bytes have a queue of their own.
 LONG = 512
 
@@ -306,7 +305,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n, ids_digest, text_digest, all_ids, all_texts = [], [], [], [], []
             for x, ids in zip(texts, own.encode(texts), strict=True):

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from . import components as cc
 from . import scratch
+from .workers import slices, trim
 
 DISTANCE, GROUPS = 3, 6
-#: Rows that a worker holds as Python objects at a time.
-_ROWS = 1000
 #: Classes of similar texts: BANDS keys of BAND_ROWS least shingle hashes each. Two texts of similarity s share a class with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS.
 BANDS, BAND_ROWS = 16, 5
 #: Texts, and shingles of all texts, of a block that is compared in full.
@@ -56,7 +55,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """(key, bits long): the fingerprint as a signed 64-bit number. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=[key, "bits"])
 
@@ -283,12 +282,11 @@ def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ROWS):
-                some = batch.slice(i, _ROWS)
-                sets = pa.array([shingles(_words(x), width).tobytes() for x in some.column(0).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], sets], names=[*some.schema.names[1:], "set"])
+        for some in slices(batches):
+            sets = pa.array([shingles(_words(x), width).tobytes() for x in some.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[1:], sets], names=[*some.schema.names[1:], "set"])
         _hashes.clear()
+        trim()
 
     def verified(dealt: DataFrame) -> DataFrame:
         """Links of dealt (file, row, group, root, print, block, one, two), by groups of (group, one, two)."""
@@ -340,12 +338,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     texts = docs.select(*where, F.col(f"`{text}`").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ROWS):
-                some = batch.slice(i, _ROWS)
-                made = [_marks(x, width) for x in some.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array([m[k] for m in made], pa.int64()) for k in range(3)), pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["file", "row", "key", "id", "size", "print", "bands"])
+        for some in slices(batches):
+            made = [_marks(x, width) for x in some.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array([m[k] for m in made], pa.int64()) for k in range(3)), pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["file", "row", "key", "id", "size", "print", "bands"])
         _hashes.clear()
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(*where, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))

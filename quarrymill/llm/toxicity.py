@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import slices, trim
+
 BITS = 20
 STEMS = (4, 5, 6)
-#: Rows that a worker holds as Python objects at a time.
-_ROWS = 1000
 _WORDS = re.compile(r"[^\W_]+").findall
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(64 - BITS)
@@ -122,10 +122,6 @@ def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.
     return Model(places, w[places], start - z0 / ((beta + n0**0.5) / alpha + l2), len(rows))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, _ROWS) for batch in batches for i in range(0, batch.num_rows, _ROWS))
-
-
 def _crc(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
@@ -150,13 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("spot", "y", "t")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             at = [features(x).astype("<i4").tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary())], names=["spot", "y", "at"])
         _words.reset()
+        trim()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for batch in _slices(batches) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        held = [x for batch in slices(batches) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
         held.sort()
         model = fit([(np.frombuffer(at, "<i4"), y) for _, y, at in held])
         yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((model.places.astype("<i4").tobytes(), pa.binary()), (model.weights.astype("<f8").tobytes(), pa.binary()), (model.intercept, pa.float64()), (model.rows, pa.int64()))], names=["places", "weights", "intercept", "n"])
@@ -172,10 +169,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, held_out, score, predicted) for every row. A null text counts as empty and gets the intercept's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             p = np.array([model.score(x) for x in batch.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
         _words.reset()
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, held_out(F.col(key)).alias("held_out"), text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
@@ -186,8 +184,10 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(place).to_pylist()], pa.bool_()))
         _words.reset()
+        trim()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
