@@ -188,6 +188,5 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(place).to_pylist()], pa.bool_()))
         _words.reset()
         trim()
-        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -241,7 +241,7 @@ def test_forward_is_the_sum_over_paths():
     rng = np.random.default_rng(1)
     k = hmm.STATES
     norm = lambda x, a: x / x.sum(axis=a, keepdims=True)
-    model = hmm.Model({}, norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((5, k)), 0))
+    model = hmm.Model(np.zeros(0, np.uint64), norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((5, k)), 0))
     texts = [rng.integers(0, 5, n) for n in (1, 2, 3, 3)]
     for text, got in zip(texts, hmm.forward(model, texts), strict=True):
         total = 0.0
@@ -251,8 +251,70 @@ def test_forward_is_the_sum_over_paths():
                 p *= model.step[a, b] * model.emit[s, b]
             total += p
         assert got == pytest.approx(math.log10(total))
-    first, moves, emit = hmm.expect(model, texts)
-    assert first.sum() == pytest.approx(4, rel=1e-4) and moves.sum() == pytest.approx(5, rel=1e-4) and emit.sum() == pytest.approx(9, rel=1e-4)
+    assert hmm.forward(model, [np.array([1])])[0] == pytest.approx(math.log10(float(model.first @ model.emit[1])))
+
+
+def test_expect_is_the_sum_over_paths(monkeypatch):
+    """Counts of states, steps and emissions by all paths, and the same whatever the spans in which messages are held."""
+    rng = np.random.default_rng(2)
+    k = hmm.STATES
+    norm = lambda x, a: x / x.sum(axis=a, keepdims=True)
+    model = hmm.Model(np.zeros(0, np.uint64), norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((5, k)), 0))
+    texts = [rng.integers(0, 5, n) for n in (3, 1, 2, 3)]
+    first, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((5, k))
+    for text in texts:
+        paths = list(np.ndindex(*[k] * len(text)))
+        p = np.array([model.first[s[0]] * np.prod([model.emit[x, y] for x, y in zip(text, s)]) * np.prod([model.step[a, b] for a, b in zip(s, s[1:])]) for s in paths])
+        for s, w in zip(paths, p / p.sum(), strict=True):
+            first[s[0]] += w
+            for a, b in zip(s, s[1:]):
+                moves[a, b] += w
+            for x, y in zip(text, s, strict=True):
+                emit[x, y] += w
+    long = [rng.integers(0, 5, n) for n in (400, 1, 37, 400, 90)]
+    whole = hmm.expect(model, long), hmm.forward(model, long)
+    for span in (1 << 19, 5, 1):
+        monkeypatch.setattr(hmm, "SPAN", span)
+        for got, want in zip(hmm.expect(model, texts), (first, moves, emit), strict=True):
+            assert got == pytest.approx(want)
+        for got, want in zip((*hmm.expect(model, long), hmm.forward(model, long)), (*whole[0], whole[1]), strict=True):
+            assert got == pytest.approx(want)
+
+
+def test_op5_is_a_probability(spark):
+    """Spellings of a rare symbol sum to 1, all words together to no more than 1; unseen words cost what their spelling does."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(20)]
+    table = [(i, " ".join(rng.choices(words, k=30))) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    chunks = hmm.chunks(df)
+    answers, facts = hmm.counted(chunks)
+    model = hmm.train(chunks, facts)
+    assert facts["counts"].sum() == facts["total"] and (model.emit.sum(axis=0) == pytest.approx(1)) and (model.step.sum(axis=1) == pytest.approx(1)) and model.first.sum() == pytest.approx(1)
+    ends = np.bincount(hmm.rare(np.arange(hmm.ENDS)), weights=10**model.ends, minlength=hmm.RARE)
+    assert ends == pytest.approx(1) and (10 ** model.prior.reshape(257, 256)).sum(axis=0) == pytest.approx(1)
+    import xxhash
+
+    alphabet = [w for w in (bytes(x) for n in range(1, 7) for x in __import__("itertools").product(b"ab", repeat=n))]
+    listed = hmm.Words.of(b"\n".join([b"", *alphabet]))
+    count = Counter(w for i, t in table if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.encode().split(), b""])
+    totals = np.array([count[w] for w in [b"", *alphabet]])
+    symbols = model.symbols(np.array([xxhash.xxh64_intdigest(w, 5) for w in [b"", *alphabet]], np.uint64), listed.end)
+    share = 10 ** hmm.within(model, facts, listed, symbols, totals)
+    assert np.bincount(symbols, weights=share, minlength=symbols.max() + 1).max() <= 1 + 1e-9
+    # the same whatever the split of the input
+    one, many = (sorted((r["doc_id"], r["score"]) for r in hmm.score(x).collect()) for x in (df.coalesce(1), df.repartition(7)))
+    assert [s for _, s in one] == pytest.approx([s for _, s in many], rel=1e-9)
+
+
+def test_op5_learns_more_than_counts(spark):
+    """Texts of two kinds of words are likelier than by counts alone, held-out ones too, which aren't likelier than training texts for their unseen words."""
+    rng = random.Random(18)
+    kinds = [["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)] for _ in range(4)]
+    table = [(i, " ".join([*rng.choices(kinds[i % 4], k=80), *(f"new{rng.randrange(10**6)}" for _ in range(2))])) for i in range(400)]
+    got = hmm.score(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    rate = lambda h, c: sum(r[c] for r in got if r["held_out"] == h) / sum(r["n_tokens"] for r in got if r["held_out"] == h)
+    assert rate(True, "score") > rate(True, "base_score") and rate(False, "score") >= rate(True, "score")
 
 
 def test_op8(docs, rows, none):
