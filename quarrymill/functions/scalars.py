@@ -67,5 +67,56 @@ def fallback_hash(hotkey: Column, epoch: Column) -> Column:
     return F.lower(F.array_join(F.transform(places, lambda i: F.lpad(F.hex((F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long") + i) % 256), 2, "0")), ""))
 
 
-# fixed values: labels of run errors
-ERROR_LABELS = ("process_spawn", "timeout", "memory_exceeded", "invalid_output", "sandbox_violation", "security_violation", "security_validation", "io_error")
+# fixed values: labels of run errors by their kind
+ERROR_LABELS = {
+    "ProcessSpawn": "process_spawn", "Timeout": "timeout", "MemoryExceeded": "memory_exceeded", "InvalidOutput": "invalid_output", "SandboxViolation": "sandbox_violation", "SecurityViolation": "security_violation",
+    "SecurityValidation": "security_validation", "IoError": "io_error",
+}
+
+
+def error_label(kind: Column) -> Column:
+    """The label of a kind of run error; null for another text."""
+    table = F.create_map(*(F.lit(x) for pair in ERROR_LABELS.items() for x in pair))
+    return F.try_element_at(table, kind)
+
+
+def fraction(score: Column) -> Column:
+    """A similarity of 0 to 100 as a number of 0 to 1."""
+    return score / 100.0
+
+
+def percent(score: Column) -> Column:
+    return F.concat(score.cast("string"), F.lit("%"))
+
+
+def threshold_verdict(similarity: Column) -> Column:
+    """The verdict without a reviewer: plagiarism from 0.97 on."""
+    return F.struct((similarity >= 0.97).alias("is_plagiarism"), similarity.alias("confidence"))
+
+
+def compact_json(value: Column) -> Column:
+    """A struct as JSON without spaces and nulls, fields as declared, control characters in lower-case hex."""
+    out = F.to_json(value)
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        # an even number of backslashes in front: the escape isn't escaped itself
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return out
+
+
+def conversation_hash(messages: Column, function_calls: Column | None = None, thinking: Column | None = None) -> Column:
+    """SHA-256 of a conversation's compact JSON."""
+    parts = [messages.alias("messages"), *([function_calls.alias("function_calls")] if function_calls is not None else []), *([thinking.alias("thinking")] if thinking is not None else [])]
+    return F.sha2(compact_json(F.struct(*parts)), 256)
+
+
+def request_message(challenge: Column, canonical_body: Column, nonce: Column) -> Column:
+    """What a submission request signs."""
+    return F.concat(F.lit("challenge:"), challenge, F.lit(":POST:/submit:"), F.sha2(canonical_body, 256), F.lit(":"), nonce)
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, or a longer one that none of columns has in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

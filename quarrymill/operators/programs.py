@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from quarrymill.functions.scalars import status
 
+from .neighbours import with_next
+
 # fixed values: names that normalisation keeps
 KEPT = (
     "print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "bool", "None",
@@ -132,19 +135,25 @@ def similarities(programs: DataFrame, key: str = "ord", source: str = "source",
     if reindex:
         rows = rows.withColumn("id", F.row_number().over(Window.orderBy("id")) - 1)
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, F.col("a.id") < F.col("b.id"))
-    same = met.where(F.col("a.hash") == F.col("b.hash")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(100).alias("score"))
-    other = met.where(F.col("a.hash") != F.col("b.hash")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score_of(F.col("a.nodes"), F.col("b.nodes")).alias("score"))
-    return same.union(other)
+    differ = F.col("a.hash") != F.col("b.hash")
+    score = score_of(F.when(differ, F.col("a.nodes")), F.when(differ, F.col("b.nodes")))
+    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.coalesce(score, F.lit(100)).alias("score"))
+
+
+def score_or_zero(a: Column, b: Column) -> Column:
+    """The structural score of two sources; 0 if either doesn't parse."""
+    return F.coalesce(score_of(normalised(a), normalised(b)), F.lit(0))
 
 
 def report(programs: DataFrame, key: str = "ord", source: str = "source") -> DataFrame:
-    """One row: kind (no_submissions, insufficient_data, parse_error, results), first_error, n_pairs, plagiarized and to_verify (places, sorted), top_score and its pair, the last of equals."""
+    """One row: kind (no_submissions, insufficient_data, parse_error, results), first_error, n_pairs, plagiarized and to_verify (places, as pairs name them first), top_score and its pair, the last of equals."""
     parsed = programs.select(F.col(key).alias("id"), normalised(F.col(source)).isNotNull().alias("ok"))
     facts = parsed.agg(F.count("*").alias("n"), F.min(F.when(~F.col("ok"), F.col("id"))).alias("first_error"), F.lit(1).alias("one"))
     scored = similarities(programs, key, source, reindex=False).withColumn("status", status(F.col("score")))
-    places = lambda s: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("status") == s, F.array("a", "b"))))))
-    found = scored.agg(F.count("*").alias("n_pairs"), places("plagiarized").alias("plagiarized"), places("needs_verification").alias("to_verify"), F.max(F.struct("score", "a", "b")).alias("top")).withColumn("one", F.lit(1))
+    # places in the order in which pairs name them
+    named = scored.where("status <> 'clean'").select("status", F.explode(F.array(*(F.struct("a", "b", F.lit(i).alias("side"), F.col(c).alias("place")) for i, c in enumerate(("a", "b"))))).alias("x"))
+    named = named.groupBy("status", "x.place").agg(F.min("x").alias("first")).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("first")))), lambda x: x["place"]).alias(n) for n, s in (("plagiarized", "plagiarized"), ("to_verify", "needs_verification"))))
+    found = scored.agg(F.count("*").alias("n_pairs"), F.max(F.struct("score", "a", "b")).alias("top")).withColumn("one", F.lit(1)).join(named.withColumn("one", F.lit(1)), "one")
     kind = F.when(F.col("n") == 0, "no_submissions").when(F.col("n") == 1, "insufficient_data").when(F.col("first_error").isNotNull(), "parse_error").otherwise("results")
     met = facts.join(found, "one").withColumn("kind", kind)
     shown = lambda c: F.when(F.col("kind") == "results", F.col(c))
@@ -214,7 +223,7 @@ def violations(source: str) -> list[dict] | None:
         top = ast.parse(source).body
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    lines, out, todo = source.splitlines(), [], list(reversed(top))
+    lines, out, todo = re.split(r"\r\n|\r|\n", source), [], list(reversed(top))
     while todo:
         node = todo.pop()
         if isinstance(node, ast.Call):
@@ -258,9 +267,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
 
 
 def role_similarity(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Each conversation's roles against those of the next one in order of key: (a, b, score)."""
-    rows = conversations.select(F.col(key).alias("a"), F.col("messages.role").alias("roles"))
-    after = rows.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("roles").alias("other"))
-    return rows.join(after, "a").select("a", "b", score_of("roles", "other").alias("score"))
-
-
+    """Each conversation's roles against those of the next one in order of key, whatever lies between the keys: (a, b, score). Conversations with a null key are left out."""
+    rows = conversations.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("messages.role").alias("roles"))
+    met = with_next(rows, "key", "roles").where("next IS NOT NULL")
+    return met.select(F.col("key").alias("a"), F.col("next.key").alias("b"), score_of("roles", "next.value").alias("score"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import resource
+import signal
 import subprocess
 import sys
 import tempfile
@@ -14,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.scalars import outer_json, score_error
+
 from .programs import violations
 
-MOST_OUTPUT, MOST_SECONDS = 10 << 20, 7200
+MOST_OUTPUT, MOST_SECONDS, MOST_PROCESSES, MOST_FILE = 10 << 20, 7200, 4, 200_000_000
 
 
 def run_script(source: str, timeout_s: float = 3600, memory: int = 2_147_483_648) -> dict:
@@ -25,8 +29,8 @@ def run_script(source: str, timeout_s: float = 3600, memory: int = 2_147_483_648
         return {"stdout": "", "stderr": "", "exit_code": None, "duration_ms": 0, "timed_out": False, "error": "security_violation"}
 
     def limit() -> None:
-        resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (200_000_000, 200_000_000))
+        for what, most in ((resource.RLIMIT_CPU, MOST_SECONDS), (resource.RLIMIT_AS, memory), (resource.RLIMIT_FSIZE, MOST_FILE), (resource.RLIMIT_NPROC, MOST_PROCESSES)):
+            resource.setrlimit(what, (most, most))
 
     began = time.monotonic()
     with tempfile.TemporaryDirectory() as folder:
@@ -38,9 +42,11 @@ def run_script(source: str, timeout_s: float = 3600, memory: int = 2_147_483_648
             try:
                 code: int | None = child.wait(min(timeout_s, MOST_SECONDS))
             except subprocess.TimeoutExpired:
-                child.kill()
-                child.wait()
                 code, late = None, True
+            finally:
+                with contextlib.suppress(ProcessLookupError):  # what the script has started, too
+                    os.killpg(child.pid, signal.SIGKILL)
+                child.wait()
             error = "timeout" if late else "invalid_output" if os.fstat(out.fileno()).st_size > MOST_OUTPUT else None
             texts = []
             for file in (out, err):
@@ -63,6 +69,19 @@ def run_scripts(scripts: DataFrame, key: str = "ord", source: str = "source", ti
     return scripts.select(F.col(key).alias("key"), F.col(source).alias("source")).mapInPandas(run, f"key {kind}, stdout string, stderr string, exit_code int, duration_ms bigint, timed_out boolean, error string")
 
 
+def run_batch(scripts: DataFrame, key: str = "ord", source: str = "source", timeout_s: float = 3600, allow: bool = False) -> dict[str, DataFrame]:
+    """results and problems of each script, conversations (rows of outputs that are good throughout), first_failure (the script by key at which a strict run ends, no row if none), report and scores of all pairs."""
+    from quarrymill.sources.conversations import output_problems, output_rows
+
+    from .programs import report, similarities
+
+    results = run_scripts(scripts, key, source, timeout_s, allow).withColumnRenamed("key", key).persist()
+    return {
+        "results": results, "problems": output_problems(results, key), "conversations": output_rows(results, key), "first_failure": results.where("error IS NOT NULL").agg(F.min(F.struct(key, "error")).alias("x")).where("x IS NOT NULL").select("x.*"),
+        "report": report(scripts, key, source), "scores": similarities(scripts, key, source),
+    }
+
+
 def fixed_scorer(value: float) -> Callable[[str], dict]:
     """Scores every text alike; 1.0 and 0.0 give the perfect and the zero scorer."""
     return lambda text: {"overall": value, "diversity_thematic": value, "diversity_structural": value, "uniqueness": value, "quality_semantic": value, "error": None}
@@ -96,13 +115,28 @@ def score_texts(texts: DataFrame, scorer: Callable[[str], dict], key: str, text:
     return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, " + ", ".join(f"{n} {'string' if n == 'error' else 'double'}" for n in names))
 
 
+SCORE = "struct<overall:double,criteria:struct<diversity_thematic:double,diversity_structural:double,uniqueness:double,quality_semantic:double>,reasoning:string,summary:string>"
+
+
+def parse_scores(replies: DataFrame, text: str = "reply") -> DataFrame:
+    """Replies with score and score_error: no_json (also for a missing field), criteria or overall out of 0 to 1, in this order. The overall score is taken as it is given."""
+    rows = replies.withColumn("score", F.from_json(F.col(text), SCORE, {"mode": "PERMISSIVE"}))
+    criteria = [F.col(f"score.criteria.{c}") for c in ("diversity_thematic", "diversity_structural", "uniqueness", "quality_semantic")]
+    fields, bad = [F.col("score.overall"), *criteria, F.col("score.reasoning"), F.col("score.summary")], F.lit(False)
+    for c in criteria:
+        bad = bad | score_error(c).isNotNull()
+    missing = F.lit(False)
+    for c in fields:
+        missing = missing | c.isNull()
+    problem = F.when(missing, "no_json").when(bad, "criteria").when(score_error(F.col("score.overall")).isNotNull(), "overall")
+    return rows.withColumn("score_error", problem).withColumn("score", F.when(F.col("score_error").isNull(), F.col("score")))
+
+
 VERDICT = "struct<is_plagiarized:boolean,confidence:double,reasoning:string>"
 
 
 def verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Replies with verdict and verdict_error: no_json, confidence or reasoning out of range."""
-    from quarrymill.functions.scalars import outer_json
-
     found = F.from_json(outer_json(F.col(text)), VERDICT)
     rows = replies.withColumn("verdict", found)
     confidence = F.col("verdict.confidence")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.scalars import clamp
+from quarrymill.functions.scalars import clamp, free
 
 from .evaluation import sum_normalise
 
 
 def latest(log: DataFrame, keys: list[str], seq: str = "seq", value: str = "value") -> DataFrame:
-    """The last value of each key and ord, the first seq since its last deletion; keys whose last value is null (deleted) are gone. Summed before the shuffle."""
+    """The last value of each key and ord, the first seq since its last deletion; keys whose last value is null (deleted) are gone. Deletions are one row a key; the log is joined to them and aggregated by the same key, so it is shuffled once."""
     gone = log.where(F.col(value).isNull()).groupBy(*keys).agg(F.max(seq).alias("_gone"))
     met = log.join(gone, keys, "left").where(F.col("_gone").isNull() | (F.col(seq) > F.col("_gone")))
     return met.groupBy(*keys).agg(F.max_by(value, seq).alias(value), F.min(seq).alias("ord"))
@@ -49,8 +49,9 @@ def unbanned(board: DataFrame, banned: DataFrame, key: str = "hotkey") -> DataFr
 
 def weights(board: DataFrame, banned: DataFrame, key: str = "hotkey", score: str = "score") -> DataFrame:
     """Positive scores that aren't banned, clamped, over their sum."""
-    kept = unbanned(board, banned, key).where(F.col(score) > 0).withColumn("w", clamp(F.col(score)))
-    return sum_normalise(kept, "w").drop("w")
+    own = free(board.columns, "clamped")
+    kept = unbanned(board, banned, key).where(F.col(score) > 0).withColumn(own, clamp(F.col(score)))
+    return sum_normalise(kept, own).drop(own)
 
 
 def lookup(board: DataFrame, wanted: Column, order: str = "ord") -> DataFrame:

@@ -110,6 +110,48 @@ def parse(lines: DataFrame, line: str = "line", text: str = "value") -> DataFram
     return rows.select(F.col(line).alias("line"), parsed.alias("_p"), F.when(~ok, F.col("_c")).alias("error")).select("line", "_p.*", "error")
 
 
+def _lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, value) of the lines of texts that aren't blank; lines end at \\n, one \\r before it is dropped."""
+    rows = texts.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return rows.where(F.trim(F.regexp_replace("value", r"(?U)^\s+|\s+$", "")) != "").withColumn("line", F.col("line") + 1)
+
+
+def output_problems(outputs: DataFrame, key: str = "ord", text: str = "stdout") -> DataFrame:
+    """(key, n_conversations, error<kind, line, message>) for each output of a script: blank ones and those with a bad line are invalid_output, at the first bad line. A null output is blank."""
+    seen = _lines(outputs, key, text).withColumn("c", _classified("value"))
+    bad = F.when(F.col("c.kind").isNotNull(), F.struct(F.col("line").cast("long").alias("line"), F.col("c.message").alias("message")))
+    sums = seen.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.min(bad).alias("bad"))
+    met = outputs.select(F.col(key).alias("key")).distinct().join(sums, F.col("key").eqNullSafe(F.col("_key")), "left")
+    error = F.when(F.col("n").isNull(), F.struct(F.lit("invalid_output").alias("kind"), F.lit(None).cast("long").alias("line"), F.lit("Output is empty").alias("message")))
+    error = error.when(F.col("bad").isNotNull(), F.struct(F.lit("invalid_output").alias("kind"), F.col("bad.line").alias("line"), F.col("bad.message").alias("message")))
+    return met.select(F.col("key").alias(key), F.when(error.isNull(), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_conversations"), error.alias("error"))
+
+
+def output_rows(outputs: DataFrame, key: str = "ord", text: str = "stdout") -> DataFrame:
+    """(key, line, conversation fields) of the outputs in which every line is a conversation."""
+    good = output_problems(outputs, key, text).where("error IS NULL").select(F.col(key).alias("_key"))
+    rows = _lines(outputs, key, text).join(good, F.col("key") == F.col("_key"), "left_semi")
+    return rows.select(F.col("key").alias(key), "line", F.from_json("value", CONVERSATION).alias("p")).select(key, "line", "p.*")
+
+
+def datasets(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, line, conversation fields) of the datasets (binary) that are good throughout: UTF-8, not empty, every line a conversation whose roles alternate. Any bad line leaves the whole dataset out."""
+    from quarrymill.operators.quality import role_machine
+
+    texts = files.where(F.is_valid_utf8(F.col(content).cast("string"))).select(key, F.col(content).cast("string").alias("_text"))
+    rows = output_rows(texts, key, "_text")
+    bad = rows.where(~role_machine(F.col("messages"))).select(F.col(key).alias("_bad")).distinct()
+    return rows.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+
+
+def search(files: DataFrame, pattern: str, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, line, text, shown) of the lines that match a regular expression (Java's); shown is path:line:text. Files that aren't UTF-8 are left out."""
+    rows = files.where(F.is_valid_utf8(F.col(content).cast("string"))).select(F.col(path).alias("path"), F.posexplode(F.split(F.col(content).cast("string"), "\n")).alias("line", "text"), F.size(F.split(F.col(content).cast("string"), "\n")).alias("n"))
+    # what follows the last line feed is a line only if there is something
+    rows = rows.where((F.col("line") < F.col("n") - 1) | (F.col("text") != "")).select("path", (F.col("line") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+    return rows.where(F.col("text").rlike(pattern)).withColumn("shown", F.concat_ws(":", "path", F.col("line").cast("string"), "text"))
+
+
 def first_error(parsed: DataFrame) -> DataFrame:
     """(line, kind, message) of the first bad line, at which a strict parse ends; no row if all are good."""
     bad = parsed.where(F.col("error").isNotNull())
