@@ -121,19 +121,24 @@ def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KN
     return spark.createDataFrame(rows, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+#: Known digests that are broadcast at most; a longer list is joined by a shuffle.
+BROADCAST = 100_000
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Mapping[str, tuple[str, ...]] = KNOWN, whole: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(key, text_license, line_licenses, n_license_lines) for every row.
 
     text_license: the licence that the whole text is, of those in known and whole (whole_texts() if None), null if none. line_licenses: names of licences and notices that single lines are, sorted, each once, joined by
-    commas, empty if none; n_license_lines counts the lines. Null and empty texts are no licence. Repeated rows give repeated rows. The known digests
-    are broadcast, as many as the list given has; the documents aren't shuffled.
+    commas, empty if none; n_license_lines counts the lines. Both units are hash-joined to the known digests. Null and empty texts are no licence; very long texts and lines are taken whole; repeated rows give repeated rows; other
+    columns are ignored, whatever their names. An empty table gives an empty one. The texts aren't shuffled: of the lines only those that are known are, and a text's digest with its key.
     """
-    digests = known_digests(docs.sparkSession, known)
-    more = known_digests(docs.sparkSession, whole_texts() if whole is None else whole)
-    whole_digests = F.broadcast(digests.union(more.join(digests, "digest", "left_anti")))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = [r for r in digests.collect()]
-    table = F.create_map(*(F.lit(x) for r in names for x in (r["digest"], r["license"]))) if names else None
-    found = rows.select("key", F.sha2(canonical(F.col("text")), 256).alias("digest"), "text").join(whole_digests, "digest", "left")
-    hits = F.filter(F.transform(F.split("text", "\n"), lambda x: F.try_element_at(table, F.sha2(canonical(x), 256))), lambda x: x.isNotNull()) if table is not None else F.array().cast("array<string>")
-    return found.withColumn("hits", hits).select(F.col("key").alias(key), F.col("license").alias("text_license"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("line_licenses"), F.size("hits").cast("long").alias("n_license_lines"))
+    spark, long = docs.sparkSession, whole_texts() if whole is None else whole
+    sent = lambda df, *lists: F.broadcast(df) if sum(len(x) for of in lists for x in of.values()) <= BROADCAST else df
+    lines = known_digests(spark, known)
+    texts = sent(lines.union(known_digests(spark, long).join(lines, "digest", "left_anti")), known, long)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("own", F.sha2("text", 256))
+    cut = rows.select("own", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("own", "line", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+    # copies of a text have the same lines
+    hits = cut.join(sent(lines, known), "digest").groupBy("own", "line").agg(F.min("license").alias("license")).groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.count("*").alias("n"))
+    found = rows.select("key", "own", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(texts, "digest", "left").join(hits, "own", "left")
+    return found.select(F.col("key").alias(key), F.col("license").alias("text_license"), F.coalesce("names", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"))
