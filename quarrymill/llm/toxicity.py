@@ -100,8 +100,11 @@ class Model:
         return float(1 / (1 + np.exp(-max(-500.0, min(500.0, x)))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3) -> Model:
-    """FTRL-proximal over rows of (places, label), in the order given. The intercept has no L1 term."""
+def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 6) -> Model:
+    """FTRL-proximal over rows of (places, label), in the order given. The intercept has no L1 term.
+
+    The settings, and STEMS, are those of the least log loss on a fifth of the rows that may be learned from (crc32 mod 5 is 1), of 108 tried on one table; held-out rows had no part in it.
+    """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     z0 = n0 = 0.0
     total = sum(y for _, y in rows)
@@ -166,7 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, score, predicted) for every row. A null text counts as empty and gets the intercept's score."""
+    """(key, held_out, score, predicted) for every row.
+
+    A null text counts as empty and gets the intercept's score; very long texts are scored whole; repeated rows give repeated rows; a null key counts as empty text where rows are held out; other
+    columns are ignored, whatever their names. An empty table gives an empty one. Without training rows every score is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -180,7 +187,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score below threshold."""
+    """The rows of docs, with all their columns, that score below threshold; a null or empty text has the intercept's score. An empty table gives an empty one."""
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
