@@ -4,9 +4,12 @@ Every document has a fixed hash of its key. A source takes the documents whose h
 threshold, the largest one that keeps the taken size within the source's budget. The threshold is found
 without sorting: sizes are summed by source and the top 12 bits of the hash, the bucket in which the
 running sum passes the budget is refined by the next 12 bits, and so on through the 48 bits; only that
-bucket is read again. Thresholds are nested: a larger budget takes the same documents and more.
+bucket is read again. Rows of one key that don't fit together are refined likewise by a hash of their text, so that a key (or no key) that many rows
+have is split. Thresholds are nested: a larger budget takes the same documents and more.
 A source whose target exceeds its size takes every document floor(target / size) times, and the
 documents under the threshold once more.
+
+Sources are rows of a table throughout: one window over a row for each source gives their weights and targets.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 from . import scratch
 
 LEVELS, BITS = 4, 12
-#: Sources are few: one row of each is held by the driver.
-MOST_SOURCES = 1_000_000
+_TOP = 1 << LEVELS * BITS
+#: Sources whose rows are broadcast at most; more are joined by a shuffle.
+BROADCAST = 100_000
 
 
 def words(column: str):
@@ -48,66 +52,88 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, limit:
     return out
 
 
-def _hash(key: Column, seed: str) -> Column:
-    """48 bits, the same for equal keys; a null key counts as empty text."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+def _hash(value: Column, seed: str) -> Column:
+    """48 bits, the same for equal values; null counts as empty text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(value.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
 
 
-def thresholds(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """(own, source_size, target, whole, threshold), one row for each source, from rows (source, size, hash).
+def _sent(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= BROADCAST else sources
 
-    rows should be a written table: it is read once for the sources' sizes and once for each level.
-    """
-    spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    found = sorted(((r["source"], r["size"]) for r in sums.limit(MOST_SOURCES + 1).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], share, limit)
-    whole = [int(t // s) if s else 0 for t, (_, s) in zip(goal, found, strict=True)]
-    #: (place, source, bits of the threshold so far, budget left within them); a source that takes all has none.
-    state = [(i, name, 0, float(t - q * s)) for i, ((name, s), t, q) in enumerate(zip(found, goal, whole, strict=True))]
-    for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
-        now = spark.createDataFrame(state, "place int, own string, prefix long, budget double")
-        inside = rows.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("own")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
-        sums = inside.groupBy("place", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"))
-        run = sums.withColumn("sum", F.sum("size").over(Window.partitionBy("place").orderBy("bucket")))
-        passed = run.where(F.col("sum") > F.col("budget")).groupBy("place").agg(F.min_by(F.struct("bucket", (F.col("budget") - F.col("sum") + F.col("size")).alias("rest")), "bucket").alias("x"))
-        refined = {r["place"]: (r["x"]["bucket"], r["x"]["rest"]) for r in passed.collect()}
-        state = [(i, name, *refined[i]) for i, name, _, _ in state if i in refined]
-        if not state:
-            break
-    threshold = {i: prefix for i, _, prefix, _ in state}
-    return spark.createDataFrame(
-        [(name, s, t, q, threshold.get(i, 1 << BITS * LEVELS)) for i, ((name, s), t, q) in enumerate(zip(found, goal, whole, strict=True))],
-        "own string, source_size long, target double, whole int, threshold long",
-    )
 
+def _sources(rows: DataFrame, weights: Sequence[float], share: float, limit: float) -> DataFrame:
+    """(own, source_size, target, whole): targets() as a plan, with a row for each source."""
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).withColumn("place", F.row_number().over(order) - 1)
+    sums = sums.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))).withColumn("most", F.lit(limit) * F.col("size"))
+    rise = Window.orderBy(F.col("most") / F.col("w"), "place")
+    capped = F.coalesce(F.sum("most").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("w").over(rise.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    budget = F.lit(share) * F.sum("size").over(Window.partitionBy())
+    rates = sums.select("source", "size", "w", "most", "place", ((budget - capped) / left).alias("rate"), F.row_number().over(rise).alias("rank"))
+    rates = scratch.cut(rates)
+    # the first source that needs no cap sets the rate of all after it
+    rate = rates.where(F.col("most") / F.col("w") >= F.col("rate")).agg(F.min_by("rate", "rank")).first()[0]
+    target = F.col("most") if rate is None else F.least("most", F.col("w") * F.lit(rate))
+    return rates.select(F.col("source").alias("own"), F.col("size").alias("source_size"), target.alias("target")).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
 
-def _copies(rows: DataFrame, table: DataFrame, hash_: Column, source: str) -> DataFrame:
-    """rows with their source's row of the table and copies: how often each is taken."""
-    copies = F.when(F.col("source_size") == 0, 0).otherwise(F.col("whole") + (hash_ < F.col("threshold")).cast("int"))
-    return rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("own"))).withColumn("copies", copies)
 
+def thresholds(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """(own, source_size, target, whole, threshold, tie), one row for each source, from rows (source, size, hash, tie). tie is the threshold among the rows whose hash is the threshold.
 
-def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
+    rows should be a written table: it is read once for the sources' sizes and once for each level.
+    """
+    found = scratch.cut(_sources(rows, weights, share, limit))
+    #: The bits of the threshold so far, and the budget left within them; a source that takes all has none.
+    now = found.select("own", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("prefix"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    out = None
+    for column in ("hash", "tie"):
+        for level in range(LEVELS):
+            shift = BITS * (LEVELS - 1 - level)
+            same = F.col("source").eqNullSafe(F.col("own")) & (F.shiftright(column, shift + BITS) == F.col("prefix"))
+            inside = rows.join(_sent(now), same if column == "hash" else same & (F.col("hash") == F.col("at")))
+            sums = inside.groupBy("own", F.shiftright(column, shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"), F.first("at").alias("at"))
+            run = sums.withColumn("sum", F.sum("size").over(Window.partitionBy("own").orderBy("bucket")))  # at most 2 ** BITS rows a source
+            passed = run.where(F.col("sum") > F.col("budget")).groupBy("own").agg(F.min_by(F.struct("at", F.col("bucket").alias("prefix"), (F.col("budget") - F.col("sum") + F.col("size")).alias("budget")), "bucket").alias("x"))
+            now = scratch.cut(passed.select("own", "x.*"))
+        if column == "hash":
+            out, now = now.select("own", F.col("prefix").alias("threshold")), scratch.cut(now.select("own", F.col("prefix").alias("at"), F.lit(0).cast("long").alias("prefix"), "budget"))
+    ties = now.select(F.col("own").alias("_own"), F.col("prefix").alias("tie"))
+    met = found.join(out.withColumnRenamed("own", "_own"), F.col("own").eqNullSafe(F.col("_own")), "left").drop("_own").join(ties, F.col("own").eqNullSafe(F.col("_own")), "left").drop("_own")
+    return scratch.cut(met.select("own", "source_size", "target", "whole", F.coalesce("threshold", F.lit(_TOP)).alias("threshold"), F.coalesce("tie", F.lit(_TOP)).alias("tie")))
+
+
+def _copies(whole: str, source_size: str, hash_: Column, threshold: str, tie: Column, most_tie: str) -> Column:
+    """How often a row is taken."""
+    under = (hash_ < F.col(threshold)) | ((hash_ == F.col(threshold)) & (tie < F.col(most_tie)))
+    return F.when(F.col(source_size) == 0, 0).otherwise(F.col(whole) + under.cast("int"))
+
+
+def mix(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", tie: str | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
     """(key, source, size, source_size, target, copies, taken) for every row of sized.
 
-    Sources in order of code points, null last, have the weights in turn. A row's hash is that of its key,
-    so rows with the same key (or a null key) are taken together and reruns agree. A source whose sizes
-    sum to 0 has target 0 and takes nothing; rows of size 0 take 0. A null size counts as 0. An empty
-    table gives an empty one. Only (key, source, size, hash) are written and read again; the input is read once.
+    Sources in order of code points, null last, have the weights in turn. A row's hash is that of its key, so reruns agree;
+    rows with the same key (or a null key) are told apart by the hash of the column tie, if any, else by their size, and taken together if these are equal too. A source whose sizes
+    sum to 0 has target 0 and takes nothing; rows of size 0 take 0. A null size counts as 0. Other columns are ignored, whatever their names. An empty
+    table gives an empty one. Only (key, source, size, hash, tie) are written and read again; the input is read once.
     """
-    rows = scratch.save(sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), _hash(F.col(key), seed).alias("hash")), "mix")
-    out = _copies(rows, thresholds(rows, weights, share, limit), F.col("hash"), "source")
+    rows = sized.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"), _hash(F.col(f"`{key}`"), seed).alias("hash"), _hash(F.col(f"`{tie or size}`"), f"{seed}-tie").alias("tie"))
+    rows = scratch.save(rows, "mix")
+    table = thresholds(rows, weights, share, limit).withColumnRenamed("tie", "most_tie")
+    out = rows.join(_sent(table), F.col("source").eqNullSafe(F.col("own"))).withColumn("copies", _copies("whole", "source_size", F.col("hash"), "threshold", F.col("tie"), "most_tie"))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: the rows of docs, with all their columns, each as often as it is taken. The texts aren't shuffled."""
-    rows = scratch.save(docs.select(F.col(source).alias("source"), words(text).alias("size"), _hash(F.col(key), seed).alias("hash")), "mix")
-    table = thresholds(rows, weights, share, limit).select(*(F.col(c).alias(f"_mix_{c}") for c in ("own", "source_size", "whole", "threshold")))
-    copies = F.when(F.col("_mix_source_size") == 0, 0).otherwise(F.col("_mix_whole") + (_hash(F.col(key), seed) < F.col("_mix_threshold")).cast("int"))
-    met = docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_mix_own")))
-    return met.where(copies > 0).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mix itself: the rows of docs, with all their columns, whatever their names, each as often as it is taken; rows with the same key are told apart by their text. The texts aren't shuffled. Nulls, sizes and empty
+    tables as in mix()."""
+    hashes = _hash(F.col(f"`{key}`"), seed), _hash(F.col(f"`{text}`"), f"{seed}-tie")
+    rows = scratch.save(docs.select(F.col(f"`{source}`").alias("source"), words(text).alias("size"), hashes[0].alias("hash"), hashes[1].alias("tie")), "mix")
+    table = thresholds(rows, weights, share, limit)
+    scratch.drop(rows)
+    names = {c: c for c in (*table.columns, "copy")}
+    while {n.lower() for n in names.values()} & {c.lower() for c in docs.columns}:
+        names = {c: f"{n}_" for c, n in names.items()}
+    met = docs.join(_sent(table.select(*(F.col(c).alias(names[c]) for c in table.columns))), F.col(f"`{source}`").eqNullSafe(F.col(names["own"])))
+    copies = _copies(names["whole"], names["source_size"], hashes[0], names["threshold"], hashes[1], names["tie"])
+    return met.where(copies > 0).withColumn(names["copy"], F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

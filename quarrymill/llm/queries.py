@@ -55,7 +55,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    out = mixing.mix(docs.select("doc_id", "source", mixing.words("text").alias("size")))
+    out = mixing.mix(docs.select("doc_id", "source", mixing.words("text").alias("size"), F.xxhash64("text").alias("tie")), tie="tie")
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

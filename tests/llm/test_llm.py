@@ -221,6 +221,50 @@ def test_op9(docs, rows, none):
     assert mixing.targets([10, 1000], [3, 1], 1.5, 2.0) == [20.0, 1495.0] and mixing.targets([], [], 1.5, 2.0) == []
 
 
+def test_op9_splits_rows_of_one_key(spark):
+    """Rows without a key, or with one key, are told apart by their texts; columns may have the names used inside; many sources."""
+    table = [(None if i % 2 else 7, f"s{i % 2}", " ".join(f"w{i}x{j}" for j in range(20)), i) for i in range(400)] + [(i, f"t{i}", "one two three", i) for i in range(300)]
+    docs = spark.createDataFrame(table, "doc_id long, source string, text string, OWN int").withColumn("_mix_own", F.lit(1)).withColumn("threshold", F.lit(2)).withColumn("copy", F.lit(3))
+    out = mixing.take(docs)
+    taken = Counter(r["source"] for r in out.collect())
+    got = {r["source"]: r for r in mixing.mix(docs.select("*", mixing.words("text").alias("size")), tie="text").collect()}
+    assert out.columns == docs.columns and len(got) == 302
+    for s in ("s0", "s1"):
+        assert got[s]["source_size"] == 4000 and 0 <= got[s]["target"] - 20 * taken[s] <= 20
+    sizes = [got[s]["source_size"] for s in sorted(got)]
+    goal = mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5, 2.0)
+    assert [got[s]["target"] for s in sorted(got)] == pytest.approx(goal)
+
+
+def test_op7_fit_is_the_plain_loop():
+    """Weights by FTRL-proximal, one coordinate at a time."""
+    rng = random.Random(19)
+    rows = [(np.array(sorted(rng.sample(range(50), 8))), rng.randint(0, 1)) for _ in range(200)]
+    rows = [(at, int(at.min() < 3 or y and at.max() > 45)) for at, y in rows]
+    alpha, beta, l1, l2, epochs = 0.3, 1.0, 0.7, 0.5, 2
+    z, n, zi, ni = [0.0] * 50, [0.0] * 50, 0.0, 0.0
+    ones = sum(y for _, y in rows)
+    start = math.log((ones + 1) / (len(rows) - ones + 1))
+
+    def weight(j):
+        return 0.0 if abs(z[j]) <= l1 else (math.copysign(l1, z[j]) - z[j]) / ((beta + math.sqrt(n[j])) / alpha + l2)
+
+    for _ in range(epochs):
+        for at, y in rows:
+            w = {j: weight(j) for j in at.tolist()}
+            own = -zi / ((beta + math.sqrt(ni)) / alpha + l2)
+            g = 1 / (1 + math.exp(-(start + own + sum(w.values())))) - y
+            for j, v in w.items():
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / alpha * v
+                n[j] += g * g
+            zi += g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / alpha * own
+            ni += g * g
+    model = toxicity.fit(rows, alpha, beta, l1, l2, epochs)
+    want = {j: weight(j) for j in range(50) if weight(j)}
+    assert dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert model.intercept == pytest.approx(start - zi / ((beta + math.sqrt(ni)) / alpha + l2)) and model.rows == 200
+
+
 def test_op5(docs, rows, none):
     got = hmm.score(docs).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -590,6 +634,83 @@ def test_classes_are_compared_in_full():
     assert root == [0] * 12 + [12, 13]
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Toxic rows, exact and edited copies, several sources: the four stages by plain loops give run()'s rows."""
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    table = []
+    for i in range(500):
+        table.append((i, " ".join(rng.choices(words, k=rng.choice([30, 60, 200])) + (["zorgen"] * 2 if i % 5 == 0 else [])), "en", f"s{i % 4}" if i % 9 else None, i))
+    for i in range(500, 620):
+        own = table[rng.randrange(500)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            own[rng.randrange(len(own))] = "edit"
+        table.append((i, " ".join(own), "en", f"s{i % 4}", i))
+    table += [(700, None, "en", "s1", 0), (701, "", None, None, None), (702, " ", "en", "s2", 0), (703, table[3][1] + " " + "tail " * 20_000, "en", "s0", 0)]
+    rng.shuffle(table)
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    marked = [(i, 1, int("zorg" in (t or ""))) for i, t, *_ in table if i < 500]
+    spark.createDataFrame(marked, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # toxicity: the plain-loop-tested fit over the labelled rows that aren't held out, in order of their hash
+    spot = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
+    text = {i: t for i, t, *_ in table}
+    learned = sorted((spot(i), y, toxicity.features(text[i])) for i, _, y in marked if zlib.crc32(str(i).encode()) % 5)
+    model = toxicity.fit([(f, y) for _, y, f in learned])
+    clean = [r for r in table if model.score(r[1]) < 0.5]
+    assert 60 < len(table) - len(clean) < 160
+    # near copies
+    groups = {}
+    for g, r in zip(jaccard_groups([r[1] for r in clean]), clean, strict=True):
+        groups.setdefault(g, []).append(r)
+    kept = [min(rs, key=lambda r: r[0]) for rs in groups.values()]
+    assert len(kept) < len(clean) - 60
+    # mix: documents by hash while the running size fits
+    size = lambda r: len((r[1] or "").encode().split())
+    names = sorted({r[3] for r in kept}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(r) for r in kept if r[3] == s) for s in names]
+    goal = mixing.targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2.0)
+    mixed = Counter()
+    for s, total, target in zip(names, sizes, goal, strict=True):
+        whole, run, stop = int(target // total), 0, False
+        for r in sorted((r for r in kept if r[3] == s), key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:12]):
+            run += size(r)
+            stop = stop or run > target - whole * total
+            if whole + (not stop):
+                mixed[r[0]] = whole + (not stop)
+    # tokens
+    encode = tik()
+    want = Counter()
+    for i, n in mixed.items():
+        ids = encode(text[i] or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text[i] or "").encode()).hexdigest()] = n
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+
+
+def test_pipeline_of_no_documents(spark, tmp_path, none):
+    import corpus_pipeline
+
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_keep_one_whatever_the_splits(spark, tmp_path):
+    """Rows keep their identity when files are split otherwise between reads, and under names used inside."""
+    rows = [(i, f"text number {i % 300} " + "some words that all texts have in common " * 3 + f"{i % 300} end") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("_ROW", F.col("doc_id") * 2).withColumn("file", F.lit("f")).repartition(6).write.parquet(str(tmp_path / "t"))
+    docs, old = spark.read.parquet(str(tmp_path / "t")), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = simhash.keep_one(docs)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r["doc_id"] for r in got) == list(range(300)) and all(r["_ROW"] == 2 * r["doc_id"] and r["file"] == "f" for r in got)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
