@@ -5,7 +5,8 @@ that is nearest. A bucket is a pair of such hashes; TABLES of them, with the PRO
 share a bucket are compared by their exact cosine in double precision. A pair counts in the smallest bucket that it shares,
 so counts need no list of pairs.
 
-Copies of a vector are collapsed first and enter as a number. Buckets are worked on in blocks of at most BLOCK vectors: a larger
+Copies of a vector are collapsed first and enter as a number. What is dealt to buckets are sketches of 8 bits a component with a bound of their error; only vectors that a
+sketch in the same bucket may be near to are then sent there whole, as they were read. Buckets are worked on in blocks of at most BLOCK vectors: a larger
 bucket is dealt into groups, and each pair of groups is a task of its own, so every pair is compared and no task or
 row of output grows with a bucket. A block gives, for each of its vectors, how many it links to and one link that joins it to its component
 in the block: never all pairs.
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import components as cc
 from . import scratch
@@ -26,6 +28,68 @@ from . import scratch
 TABLES, PROBES, BLOCK = 4, 6, 1024
 
 
+def _kind(d: int) -> tuple[int, np.dtype]:
+    """Bits of an axis in the number of a bucket, and how such numbers are packed."""
+    size = max(2, 1 << (d - 1).bit_length())
+    bits = (2 * size - 1).bit_length()
+    return bits, np.dtype("<u4" if 2 * bits + (TABLES - 1).bit_length() <= 32 else "<i8")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x, none of them zero, at length 1."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _sketch(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-bit components, scale, length of the error) of each row."""
+    scale = (np.abs(unit).max(axis=1) / 127).astype(np.float32)
+    q = np.rint(unit / scale[:, None].astype(np.float64)).clip(-127, 127).astype(np.int8)
+    error = unit - q * scale[:, None].astype(np.float64)
+    return q, scale, np.nextafter(np.sqrt((error * error).sum(axis=1)).astype(np.float32), np.float32(1))
+
+
+def _may_link(q: np.ndarray, scale: np.ndarray, error: np.ndarray, side: np.ndarray, across: bool, least: float) -> np.ndarray:
+    """Which vectors of a block may have a cosine of `least` with another: none that has is left out. across: only pairs of different sides count."""
+    x, e = q.astype(np.float32) * scale[:, None], error.astype(np.float64)
+    most = x @ x.T + 1e-4 + e[:, None] * (1 + e) + e * (1 + e[:, None]) + e[:, None] * e
+    near = most >= least
+    np.fill_diagonal(near, False)
+    if across:
+        near &= side[:, None] != side
+    return near.any(axis=1)
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 12) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole tasks, of about `rows` rows, from batches in order of task, with begin and end of each task of two rows or more."""
+
+    def cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+        t = pa.Table.from_batches(held)
+        ids = t["task"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist()
+        return t, [(a, b) for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True) if b - a > 1]
+
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(batch.schema.get_field_index("task")).to_numpy()
+        if held and size > rows:
+            # what is held ends where the last task that it has ends
+            stay = int(np.searchsorted(ids != last, True)) if ids[0] == last else 0
+            if stay < len(ids):
+                if stay:
+                    held.append(batch.slice(0, stay))
+                yield cut(held)
+                held, size, batch = [], 0, batch.slice(stay)
+        held.append(batch)
+        size += batch.num_rows
+        last = ids[-1]
+    if held:
+        yield cut(held)
+
+
 def _signs(size: int, table: int, part: int) -> np.ndarray:
     return np.random.default_rng((size, table, part, 20)).choice(np.array([-1.0, 1.0]), (3, size))
 
@@ -41,12 +105,12 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def buckets(x: np.ndarray) -> np.ndarray:
-    """TABLES * PROBES buckets of each row of unit vectors, as numbers below 2 ** 48 that name table and axes."""
+    """TABLES * PROBES buckets of each row of unit vectors, as numbers that name table and axes."""
     rows, d = x.shape
     size = max(2, 1 << (d - 1).bit_length())
     padded = np.zeros((rows, size))
     padded[:, :d] = x
-    near = min(size, 3)
+    near, bits = min(size, 3), _kind(d)[0]
     out = []
     for table in range(TABLES):
         axes, loss = [], []
@@ -62,7 +126,7 @@ def buckets(x: np.ndarray) -> np.ndarray:
         total = (loss[0][:, :, None] + loss[1][:, None, :]).reshape(rows, -1)
         pick = np.argsort(total, axis=1, kind="stable")[:, :PROBES]
         a, b = np.take_along_axis(axes[0], pick // near, 1), np.take_along_axis(axes[1], pick % near, 1)
-        out.append((np.int64(table) << 40) | (a.astype(np.int64) << 20) | b)
+        out.append((np.int64(table) << 2 * bits) | (a.astype(np.int64) << bits) | b)
     return np.concatenate(out, axis=1)
 
 
@@ -110,7 +174,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     Every link is verified, none below `least` is made; a pair that shares none of its buckets is missed (recall is measured in
     the tests). Rows whose vector is unusable (null, zero, null or non-finite components), whose label is null or whose key is
     null link with nothing: n_links 0, component_id the own key, kept true (null and false for a null key).
-    Vectors of different lengths don't link. Repeated rows are other vectors. An empty table gives an empty one.
+    Vectors of different lengths don't link. Repeated rows are other vectors; other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("l"))
     good = usable(F.col("x")) & F.col("l").isNotNull() & F.col("id").isNotNull()
@@ -130,39 +194,45 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             for d in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == d)
-                own = flat[starts[at][:, None] + np.arange(d)]
-                own = own / np.abs(own).max(axis=1)[:, None]
-                own /= np.sqrt((own * own).sum(axis=1))[:, None]
-                keys = buckets(own)
+                whole = flat[starts[at][:, None] + np.arange(d)]
+                own = _unit(whole)
+                keys, (q, scale, error) = buckets(own), _sketch(own)
                 carried = [batch.column(i).take(pa.array(at)) for i in (0, 1, 3)]
-                made = [pa.array([r.tobytes() for r in own], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(carried + made, names=["rep", "n", "l", "unit", "all", "keys"])
+                made = [*(pa.array([r.tobytes() for r in m], pa.binary()) for m in (whole.astype(raw_kind), keys.astype(_kind(d)[1]), q)), pa.array(scale), pa.array(error), pa.array(list(keys), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(carried + made, names=["rep", "n", "l", "raw", "all", "q", "scale", "error", "keys"])
 
-    schema = f"rep bigint, n bigint, l {copies.schema['l'].dataType.simpleString()}, unit binary, `all` binary, keys array<bigint>"
+    # components are packed as they were read
+    raw_kind = np.dtype("<f4" if isinstance(table.schema[vector].dataType.elementType, FloatType) else "<f8")
+    schema = f"rep bigint, n bigint, l {copies.schema['l'].dataType.simpleString()}, raw binary, `all` binary, q binary, scale float, error float, keys array<bigint>"
     units = scratch.save(copies.select("rep", "n", "x", "l").mapInArrow(hashed, schema), "units")
-    cells = units.select("rep", "l", F.octet_length("unit").alias("d"), F.explode("keys").alias("bucket"))
+    cells = units.select("rep", "l", F.octet_length("raw").alias("d"), F.explode("keys").alias("bucket"))
     sizes = cells.groupBy("l", "d", "bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("groups", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("groups")).cast("int")
     tasks = cells.join(sizes, ["l", "d", "bucket"]).withColumn("own", own).select("rep", "l", "d", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
     task = F.xxhash64("l", "d", "bucket", F.least("own", "other"), F.greatest("own", "other"))
     tasks = tasks.select("rep", "bucket", task.alias("task"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("own") != F.col("other")).alias("across"))
-    placed = tasks.join(units.select("rep", "n", "unit", "all"), "rep").repartition("task").sortWithinPartitions("task", "rep")
+    sketched = tasks.join(units.select("rep", "q", "scale", "error"), "rep").repartition("task").sortWithinPartitions("task", "rep")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _tasks(batches):
+            q, scale, error, side, across = t["q"].to_pylist(), *(t[k].to_numpy() for k in ("scale", "error", "side", "across"))
+            use = np.zeros(len(t), bool)
+            for a, b in cuts:
+                x = np.frombuffer(b"".join(q[a:b]), np.int8).reshape(b - a, -1)
+                use[a:b] = _may_link(x, scale[a:b], error[a:b], side[a:b], bool(across[a]), least)
+            yield from t.select(["rep", "bucket", "task", "side", "across"]).filter(pa.array(use)).combine_chunks().to_batches()
+
+    left = scratch.save(sketched.select("rep", "bucket", "task", "side", "across", "q", "scale", "error").mapInArrow(sift, "rep bigint, bucket bigint, task bigint, side int, across boolean"), "left")
+    placed = left.join(units.select("rep", "n", "raw", "all"), "rep").repartition("task").sortWithinPartitions("task", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            ids = t["task"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist()
-            rep, n, bucket, side = (t[k].to_numpy() for k in ("rep", "n", "bucket", "side"))
-            unit, keys, across = t["unit"].to_pylist(), t["all"].to_pylist(), t["across"].to_numpy()
+        for t, cuts in _tasks(batches):
+            rep, n, bucket, side, across = (t[k].to_numpy() for k in ("rep", "n", "bucket", "side", "across"))
+            raw, keys = t["raw"].to_pylist(), t["all"].to_pylist()
             out: list[tuple[np.ndarray, ...]] = []
-            for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                if b - a < 2:
-                    continue
-                x = np.frombuffer(b"".join(unit[a:b])).reshape(b - a, -1)
-                k = np.frombuffer(b"".join(keys[a:b]), np.int64).reshape(b - a, -1)
+            for a, b in cuts:
+                x = _unit(np.frombuffer(b"".join(raw[a:b]), raw_kind).reshape(b - a, -1).astype(np.float64))
+                k = np.frombuffer(b"".join(keys[a:b]), _kind(x.shape[1])[1]).reshape(b - a, -1).astype(np.int64)
                 links, root = _block(x, k, n[a:b], bucket[a], side[a:b] if across[a] else np.zeros(b - a, np.int32), least)
                 hit = np.flatnonzero(links)
                 if hit.size:
@@ -170,26 +240,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["u", "links", "v"])
 
-        size, last = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(batch.schema.get_field_index("task")).to_numpy()
-            if held and size > 1 << 12:
-                # what is held ends where the last task that it has ends
-                stay = int(np.searchsorted(ids != last, True)) if ids[0] == last else 0
-                if stay < len(ids):
-                    if stay:
-                        held.append(batch.slice(0, stay))
-                    yield from flush()
-                    held, size, batch = [], 0, batch.slice(stay)
-            held.append(batch)
-            size += batch.num_rows
-            last = ids[-1]
-        if held:
-            yield from flush()
-
-    found = scratch.save(placed.select("rep", "n", "bucket", "task", "side", "across", "unit", "all").mapInArrow(compare, "u bigint, links bigint, v bigint"), "links")
+    found = scratch.save(placed.select("rep", "n", "bucket", "task", "side", "across", "raw", "all").mapInArrow(compare, "u bigint, links bigint, v bigint"), "links")
     roots = cc.components(found.select("u", "v"))
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     known = copies.select("l", "same", "rep", "n").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

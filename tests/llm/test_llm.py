@@ -184,6 +184,31 @@ def test_op1(spark):
     assert vectors.near_duplicates(df.where("false")).collect() == []
 
 
+def test_op1_sketches_leave_no_link_out():
+    rng = np.random.default_rng(6)
+    for d in (2, 7, 64, 300):
+        base = rng.normal(size=(60, d)) * rng.uniform(0.1, 30, d)
+        x = vectors._unit(np.concatenate([base, base + rng.normal(size=base.shape) * np.abs(base) * 0.25]))
+        side = rng.integers(0, 2, len(x))
+        for across in (False, True):
+            near = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool) & (~np.bool_(across) | (side[:, None] != side))
+            may = vectors._may_link(*vectors._sketch(x), side, across, 0.98)
+            assert not (near.any(axis=1) & ~may).any()
+            assert d < 64 or may.sum() < len(x)
+
+
+def test_op1_of_floats(spark):
+    """Single-precision components are compared in double precision; the same links as by brute force."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(50, 64)).astype(np.float32)
+    x = np.concatenate([base, (base[:30] + rng.normal(size=(30, 64)) * 0.1).astype(np.float32), base[:4]])
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1, 2, 3) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int, rep int, task int")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(x))] == near.tolist()
+
+
 def test_op7(spark, docs, none):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
