@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: pairs of roles that may follow one another, and phrases of generic replies
 BIGRAMS = ("system>user", "system>assistant", "user>assistant", "user>function", "assistant>user", "assistant>function", "function>user", "function>assistant")
@@ -44,10 +47,28 @@ def near_duplicate(a: Column, b: Column) -> Column:
     return F.when((short == 0) | (short / long < 0.9), False).otherwise(same / short > 0.9)
 
 
-def leaders(contents: Column) -> Column:
-    """How many messages are kept, in order, if each one is dropped that equals or nearly equals one kept before."""
-    seen = F.expr("cast(array() as array<string>)")
-    return F.size(F.aggregate(contents, seen, lambda kept, c: F.when(F.exists(kept, lambda k: (k == c) | near_duplicate(k, c)), kept).otherwise(F.concat(kept, F.array(c)))))
+def _near(a: bytes, b: bytes) -> bool:
+    """near_duplicate() of two texts' bytes."""
+    short, long = sorted((len(a), len(b)))
+    if not short or short / long < 0.9:
+        return False
+    same = np.count_nonzero(np.frombuffer(a, np.uint8, short) == np.frombuffer(b, np.uint8, short))
+    return same / short > 0.9
+
+
+def _kept(contents: list[str | None]) -> int:
+    """Of equal messages the first; then each one that is near none kept before. Only those of a length within a tenth are compared byte by byte."""
+    kept: list[bytes] = []
+    for raw in dict.fromkeys((c or "").encode() for c in contents):
+        if not any(_near(k, raw) for k in kept):
+            kept.append(raw)
+    return len(kept)
+
+
+@F.pandas_udf(T.IntegerType())
+def leaders(contents: pd.Series) -> pd.Series:
+    """How many messages are kept, in order, if each one is dropped that equals or nearly equals one kept before. Null for no list."""
+    return pd.Series([None if c is None else _kept(list(c)) for c in contents], dtype="Int32")
 
 
 def diversity(contents: Column) -> Column:
