@@ -19,9 +19,8 @@ def trim() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `rows` rows; trims after each batch."""
+    """The batches in slices of at most `rows` rows; trims after each slice."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-        del batch
-        trim()
+            trim()
