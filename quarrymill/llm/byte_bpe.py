@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     ids is binary, little-endian unsigned 32-bit; decoded is the text that the ids give back. A null
     text counts as empty: no tokens, digests of the empty string. Equal texts give equal rows; keys
-    may repeat or be null and are only carried. Other columns of docs are ignored. An empty table
+    may repeat or be null and are only carried. Very long texts are encoded whole. Other columns of docs are ignored, whatever their names. An empty table
     gives an empty one. One pass over the input, without a shuffle.
     """
     kind = docs.schema[key].dataType

@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Equal fingerprints link, those of texts without words (0) too. Rows with a null key belong to components, but
     never name one; a component of null keys only has component_id null. Fingerprints are collapsed first, so copies
-    cost one row however many there are. An empty table gives an empty one.
+    cost one row however many there are. Very long texts are hashed whole; other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     prints = scratch.save(fingerprints(docs, key, text, width), "simhash")
     least = prints.groupBy("bits").agg(F.min(key).alias("least"))

@@ -108,7 +108,8 @@ def write(docs: DataFrame, make_encode, end_id: int | None, key: str = "doc_id",
 
     make_encode(): on an executor, a function from a list of texts to an iterator of little-endian
     uint32 byte strings. Null texts count as empty; end_id, if any, ends each document. Null keys come first, as the lowest
-    int64 (Spark orders them so). A shard closes after shard_ids ids, or with a document that is longer.
+    int64 (Spark orders them so). A shard closes after shard_ids ids, or with a document that is longer, which is
+    encoded whole. Repeated rows are documents of their own; other columns are ignored, whatever their names; an empty table gives no shard.
     One range shuffle of (key, text).
     """
     lowest = -(1 << 63)

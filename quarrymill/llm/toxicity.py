@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     most_rows bounds the training set, which one task holds: where more rows are labelled, those with the lowest
     hash of their key are taken. Keys labelled twice count as 1 if any label is 1; null labels, labels other than 0 and 1, and
-    labels without a document count as none. Only the sample's keys, at most about most_rows, are broadcast;
+    labels without a document count as none. Without any row to learn from, every score is 0. Repeated documents are as many rows; very long texts are taken whole. Only the sample's keys, at most about most_rows, are broadcast;
     only the sample's features are shuffled.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
