@@ -159,6 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         held = [x for batch in slices(batches) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
         held.sort()
         model = fit([(np.frombuffer(at, "<i4"), y) for _, y, at in held])
+        held.clear()
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((model.places.astype("<i4").tobytes(), pa.binary()), (model.weights.astype("<f8").tobytes(), pa.binary()), (model.intercept, pa.float64()), (model.rows, pa.int64()))], names=["places", "weights", "intercept", "n"])
 
     made = rows.mapInArrow(extract, "spot double, y int, at binary").repartition(1).mapInArrow(learn, "places binary, weights binary, intercept double, n bigint").collect()
