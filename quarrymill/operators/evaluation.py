@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.scalars import clamp, weighted_score
+from quarrymill.functions.scalars import clamp, free, weighted_score
 
 from . import quality, similarity
+from .neighbours import ranges
 
 
 def evaluate(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -28,22 +29,31 @@ def consensus(scores: DataFrame, group: str, score: str, order: str, limit: floa
     """One row for each group: final_score without outliers, agreement, n_scores, outliers (places from 0 in order).
 
     An outlier is further than `limit` from the mean of all; the mean isn't taken anew. Without others the mean is final. agreement: 1 less
-    the largest deviation over limit, at least 0. The group's scores meet in its aggregates; only outliers' places are listed.
+    the largest deviation over limit, at least 0. Null scores count in n_scores alone, of NaN all places are outliers; null is a group like any other.
+
+    Sums and places come from partial counts by group and range of order (a number, date, time or string), so a group of any size is spread over the
+    ranges; only outliers' places are listed.
     """
-    whole = Window.partitionBy(group)
-    rows = scores.select(group, F.col(score).alias("s"), (F.row_number().over(whole.orderBy(order)) - 1).alias("place"), F.avg(score).over(whole).alias("mean"))
+    rows = scores.select(F.struct(group).alias("g"), F.col(order).alias("at"), F.col(score).alias("s"), ranges(scores, order)[0].alias("part"))
+    whole = Window.partitionBy("g")
+    sums = rows.groupBy("g", "part").agg(F.count("*").alias("n"), F.sum("s").alias("sum"), F.count("s").alias("valid"))
+    mean = F.sum("sum").over(whole) / F.nullif(F.sum("valid").over(whole), F.lit(0))
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = rows.join(sums.select("g", "part", mean.alias("mean"), before.alias("before")), ["g", "part"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("g", "part").orderBy("at")) - 1
     far = F.abs(F.col("s") - F.col("mean"))
-    out = rows.groupBy(group).agg(
+    out = met.withColumn("place", place.cast("int")).groupBy("g").agg(
         F.coalesce(F.avg(F.when(far <= limit, F.col("s"))), F.first("mean")).alias("final_score"), (1 - F.least(F.max(far) / limit, F.lit(1.0))).alias("agreement"), F.count("*").alias("n_scores"), F.array_sort(F.collect_list(F.when(far > limit, F.col("place")))).alias("outliers"),
     )
-    return out
+    return out.select(F.col("g")[group].alias(group), "final_score", "agreement", "n_scores", "outliers")
 
 
 def sum_normalise(rows: DataFrame, value: str, name: str = "weight") -> DataFrame:
-    """value over the sum of all values, clamped; equal shares if the sum isn't positive. The sum is one aggregate, joined back."""
-    sums = rows.agg(F.sum(value).alias("_sum"), F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    met = rows.withColumn("_one", F.lit(1)).join(F.broadcast(sums), "_one")
-    return met.withColumn(name, F.when(F.col("_sum") > 0, clamp(F.col(value) / F.col("_sum"))).otherwise(1 / F.col("_n"))).drop("_one", "_sum", "_n")
+    """value over the sum of all values, clamped; equal shares if the sum isn't positive. The sum is one aggregate, joined back. Other columns keep any name but that of the weight."""
+    total, n, one = (free([*rows.columns, name], x) for x in ("_sum", "_n", "_one"))
+    sums = rows.agg(F.sum(value).alias(total), F.count("*").alias(n)).withColumn(one, F.lit(1))
+    met = rows.withColumn(one, F.lit(1)).join(F.broadcast(sums), one)
+    return met.withColumn(name, F.when(F.col(total) > 0, clamp(F.col(value) / F.col(total))).otherwise(1 / F.col(n))).drop(one, total, n)
 
 
 def mean_or(default: float | None, value: Column, clamped: bool = True) -> Column:

@@ -1,21 +1,63 @@
-"""The next row in order of a numeric key, without sorting all rows in one task."""
+"""Order among all rows without sorting all rows in one task: ranges of keys, places and next rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrymill.functions.scalars import free
+
+#: Ranges at most: what one task may sort is a share of the rows, and the tables of ranges stay small enough for one task and a broadcast.
+RANGES = 512
+
+
+def _number(rows: DataFrame, key: str) -> Column:
+    """key itself if it is a number, date or time; for a string a number that orders like its first 7 bytes."""
+    if not isinstance(rows.schema[key].dataType, T.StringType):
+        return F.col(key)
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(key, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def ranges(rows: DataFrame, *keys: str) -> list[Column]:
+    """For each key the number of its range, rising with the key; nulls are in range 0. One job finds approximate quantiles; ranges are as many as shuffle partitions, RANGES at most, and a value is never in two ranges."""
+    n = min(RANGES, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    numbers = [_number(rows, k) for k in keys]
+    if n == 1:
+        return [F.lit(0) for _ in keys]
+    shares = [i / n for i in range(1, n)]
+    found = rows.agg(*(F.percentile_approx(x, shares, 10_000).alias(str(i)) for i, x in enumerate(numbers))).first()
+    return [_place(x, sorted({b for b in bounds or [] if b == b})) for x, bounds in zip(numbers, found, strict=True)]
+
+
+def _place(key: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below key, as a tree of comparisons."""
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key > F.lit(bounds[middle]), part(middle + 1, high)).otherwise(part(low, middle))
+
+    return part(0, len(bounds))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with name: their place in order of key, from 0; equal keys follow one another in no fixed order. Rows of a range are sorted together, one row a range is sorted alone."""
+    own, before, n = (free([*rows.columns, name], x) for x in ("_range", "_before", "_n"))
+    placed = rows.withColumn(own, ranges(rows, key)[0])
+    sizes = placed.groupBy(own).agg(F.count("*").alias(n))
+    lower = sizes.select(own, F.coalesce(F.sum(n).over(Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inside = placed.withColumn(name, F.row_number().over(Window.partitionBy(own).orderBy(key)) - 1)
+    return inside.join(F.broadcast(lower), own).withColumn(name, F.col(name) + F.col(before)).drop(own, before)
 
 
 def with_next(rows: DataFrame, key: str, value: str) -> DataFrame:
     """rows with next: struct<key, value> of the row with the next larger key, null for the last; equal keys follow one another in no fixed order. Null keys aren't allowed.
 
-    Keys fall into ranges by approximate quantiles; within a range a window gives the next row, and each range's last row gets the first row of the ranges after it: one row a range is sorted alone.
+    Within a range of keys a window gives the next row, and each range's last row gets the first row of the ranges after it: one row a range is sorted alone.
     """
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / n for i in range(1, n)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or [])) if shares else []
-    place = sum((F.when(F.col(key) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    placed = rows.withColumn("_range", place)
+    placed = rows.withColumn("_range", ranges(rows, key)[0])
     own = F.struct(F.col(key).alias("key"), F.col(value).alias("value"))
     heads = placed.groupBy("_range").agg(F.min_by(own, key).alias("head")).withColumn("_after", F.lead("head").over(Window.orderBy("_range")))
     inside = placed.withColumn("next", F.lead(own).over(Window.partitionBy("_range").orderBy(key)))

@@ -7,13 +7,13 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.scalars import status
 
-from .neighbours import with_next
+from .neighbours import numbered, with_next
 
 # fixed values: names that normalisation keeps
 KEPT = (
@@ -129,15 +129,21 @@ def structure_hash(nodes: Column) -> Column:
 def similarities(programs: DataFrame, key: str = "ord", source: str = "source", reindex: bool = True) -> DataFrame:
     """(a, b, score), a < b, for all pairs of programs that parse; equal structures are 100 without a comparison.
 
-    reindex: places count the programs that parse, from 0; else they are the keys.
+    reindex: places count the programs that parse, from 0; else they are the keys. Programs are dealt to blocks, and each pair of blocks meets in
+    one group of an equi-join: no nested loop, and each program is sent as often as there are blocks (about the root of twice the shuffle partitions).
     """
     rows = programs.select(F.col(key).alias("id"), normalised(F.col(source)).alias("nodes")).where("nodes IS NOT NULL").withColumn("hash", structure_hash(F.col("nodes")))
     if reindex:
-        rows = rows.withColumn("id", F.row_number().over(Window.orderBy("id")) - 1)
-    a, b = rows.alias("a"), rows.alias("b")
+        rows = numbered(rows, "id", "place").withColumn("id", F.col("place")).drop("place")
+    blocks = max(1, round((2 * int(programs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high")))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(met))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    # programs of one block meet in the block's own group alone
+    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.group.low") == F.col("a.group.high"))
     differ = F.col("a.hash") != F.col("b.hash")
     score = score_of(F.when(differ, F.col("a.nodes")), F.when(differ, F.col("b.nodes")))
-    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.coalesce(score, F.lit(100)).alias("score"))
+    return a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.id") < F.col("b.id")) & once).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.coalesce(score, F.lit(100)).alias("score"))
 
 
 def score_or_zero(a: Column, b: Column) -> Column:

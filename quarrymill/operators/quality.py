@@ -38,22 +38,19 @@ def well_formed(messages: Column) -> Column:
     return (F.size(messages) >= 2) & filled & role_bigrams(messages)
 
 
-def near_duplicate(a: Column, b: Column) -> Column:
-    """Both non-empty, byte lengths within a tenth, and more than 0.9 of the shorter's bytes equal at their places."""
-    x, y = F.encode(a, "UTF-8"), F.encode(b, "UTF-8")
-    short, long = F.least(F.octet_length(a), F.octet_length(b)), F.greatest(F.octet_length(a), F.octet_length(b))
-    places = F.sequence(F.lit(1), F.greatest(short, F.lit(1)))
-    same = F.size(F.filter(places, lambda i: F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))))
-    return F.when((short == 0) | (short / long < 0.9), False).otherwise(same / short > 0.9)
-
-
 def _near(a: bytes, b: bytes) -> bool:
-    """near_duplicate() of two texts' bytes."""
+    """Both non-empty, lengths within a tenth, and more than 0.9 of the shorter's bytes equal at their places."""
     short, long = sorted((len(a), len(b)))
     if not short or short / long < 0.9:
         return False
     same = np.count_nonzero(np.frombuffer(a, np.uint8, short) == np.frombuffer(b, np.uint8, short))
-    return same / short > 0.9
+    return bool(same / short > 0.9)
+
+
+@F.pandas_udf(T.BooleanType())
+def near_duplicate(a: pd.Series, b: pd.Series) -> pd.Series:
+    """_near() of two texts' bytes; null if either is null."""
+    return pd.Series([None if x is None or y is None else _near(x.encode(), y.encode()) for x, y in zip(a, b, strict=True)], dtype="boolean")
 
 
 def _kept(contents: list[str | None]) -> int:

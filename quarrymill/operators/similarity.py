@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from quarrymill.functions.scalars import words
 
 
-def pairs(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
+def pairs(conversations: DataFrame, key: str = "conv_id", most: int = 1024) -> DataFrame:
     """(a, b, similarity), a before b in order of key, for the pairs whose similarity isn't 0.
 
     Only first messages count, and only where the numbers of messages are within a factor of 2. Tokens of a with repeats that occur in b, over
     the tokens of both less those: not symmetric. An inverted index on tokens (a's with their counts, b's distinct) makes this an equi-join that
-    adds up before it shuffles again; pairs without a common token are 0 and have no row.
+    adds up before it shuffles again; pairs without a common token are 0 and have no row. A token of more than `most` conversations is dealt
+    in parts of about that many: a's are in one part, b's in each. Equal and null keys make no pair.
     """
     first = words(F.coalesce(F.try_element_at("messages", F.lit(1))["content"], F.lit("")))
     rows = conversations.select(F.col(key).alias("id"), F.size("messages").alias("n"), first.alias("w")).withColumn("size", F.size("w")).where("size > 0")
     tokens = rows.select("id", "n", "size", F.explode("w").alias("token")).groupBy("id", "n", "size", "token").agg(F.count("*").alias("times"))
-    a, b = tokens.alias("a"), tokens.alias("b")
+    common = tokens.groupBy("token").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    dealt = tokens.join(common, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).alias("a")
+    b = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     near = F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= 0.5
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & near)
     shared = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum("a.times").alias("i"), F.first("a.size").alias("na"), F.first("b.size").alias("nb"))
     return shared.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("similarity"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.scalars import clamp, free
 
 from .evaluation import sum_normalise
+from .neighbours import ranges
 
 
 def latest(log: DataFrame, keys: list[str], seq: str = "seq", value: str = "value") -> DataFrame:
@@ -23,23 +24,28 @@ def first_only(submissions: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 
 def ranked(scores: DataFrame, score: str = "score", order: str = "ord") -> DataFrame:
-    """rank by score, highest first, ties in order; rows whose score is null have no rank.
+    """rank by score, highest first (NaN above all), ties in order (a number, date, time or string), equal rows in no fixed order; rows whose score is null have no rank.
 
-    Ranks are counted within score ranges and lifted by the rows of higher ranges, so no task sorts all rows.
+    Rows are counted by score and range of order before they are shuffled; a row's rank is its place among those of its score and range, lifted
+    by the counts before it. So neither all rows nor a score that a third of them share is sorted by one task. Other columns keep any name.
     """
     rows = scores.where(F.col(score).isNotNull())
-    cut = F.floor(F.col(score) * 1000)
-    sizes = rows.groupBy(cut.alias("_cut")).agg(F.count("*").alias("_n"))
-    above = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each thousandth
-    met = rows.withColumn("_cut", cut).join(F.broadcast(above.select("_cut", "_above")), "_cut")
-    inside = F.row_number().over(Window.partitionBy("_cut").orderBy(F.desc(score), F.asc(order)))
-    return met.withColumn("rank", (F.col("_above") + inside).cast("long")).drop("_cut", "_above")
+    level, part, n, above, inside, over = (free([*scores.columns, "rank"], x) for x in ("_level", "_part", "_n", "_above", "_inside", "_over"))
+    of_score, of_order = ranges(rows, score, order)
+    rows = rows.withColumn(part, of_order)
+    sums = rows.groupBy(score, part).agg(F.count("*").alias(n)).withColumn(level, of_score)
+    earlier = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy(level).agg(F.sum(n).alias(n)).select(level, earlier(Window.orderBy(F.desc(level))).alias(over))  # one row a range
+    lifts = sums.withColumn(above, earlier(Window.partitionBy(level).orderBy(F.desc(score), part))).join(F.broadcast(tops), level)
+    met = rows.join(lifts.select(score, part, (F.col(above) + F.col(over)).alias(above)), [score, part])
+    met = met.withColumn(inside, F.row_number().over(Window.partitionBy(score, part).orderBy(F.asc(order))))
+    return met.select(*scores.columns, (F.col(above) + F.col(inside)).cast("long").alias("rank"))
 
 
 def leaderboard(scores: DataFrame, hotkeys: DataFrame, epochs: DataFrame) -> DataFrame:
-    """scores (hash, score, ord) with their hotkey (hash, hotkey), empty ones dropped, and last epoch (hotkey, epoch), 0 if none, ranked."""
+    """scores (hash, score, ord) with their hotkey (hash, hotkey), empty ones dropped, ranked, and last epoch (hotkey, epoch), 0 if none."""
     named = hotkeys.where((F.col("hotkey") != "") & F.col("hotkey").isNotNull())
-    return ranked(scores.join(named, "hash").join(epochs, "hotkey", "left").withColumn("epoch", F.coalesce("epoch", F.lit(0))))
+    return ranked(scores.join(named, "hash")).join(epochs, "hotkey", "left").withColumn("epoch", F.coalesce("epoch", F.lit(0)))
 
 
 def unbanned(board: DataFrame, banned: DataFrame, key: str = "hotkey") -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,13 +101,13 @@ def _classified(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([classify(x) for x in lines], columns=["kind", "message"])
 
 
-def parse(lines: DataFrame, line: str = "line", text: str = "value") -> DataFrame:
-    """(line, conversation fields, error<kind, message>) for the lines that aren't blank. line: numbers from 1."""
+def parse(lines: DataFrame, line: str = "line", text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(kept columns, line, conversation fields, error<kind, message>) for the lines that aren't blank. line: numbers from 1."""
     rows = lines.where(F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) != "")
     rows = rows.withColumn("_c", _classified(F.col(text)))
     ok = F.col("_c.kind").isNull()
     parsed = F.from_json(F.when(ok, F.col(text)), CONVERSATION)
-    return rows.select(F.col(line).alias("line"), parsed.alias("_p"), F.when(~ok, F.col("_c")).alias("error")).select("line", "_p.*", "error")
+    return rows.select(*keep, F.col(line).alias("line"), parsed.alias("_p"), F.when(~ok, F.col("_c")).alias("error")).select(*keep, "line", "_p.*", "error")
 
 
 def _lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -158,21 +158,41 @@ def first_error(parsed: DataFrame) -> DataFrame:
     return bad.agg(F.min(F.struct("line", "error.kind", "error.message")).alias("x")).where("x IS NOT NULL").select("x.*")
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files with the part of the file from which they are read."""
+    return spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length")
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """place: a line's number within its block, from 1. The lines of a block follow one another in one task."""
+    block, seen = None, 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        keys = list(zip(batch["file_path"], batch["file_block_start"], strict=True))
+        places = []
+        for key in keys:
+            seen = seen + 1 if key == block else 1
+            block = key
+            places.append(seen)
+        yield batch.assign(place=places)
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """parse() of a file of lines. Lines end at \\n alone; one \\r before it is dropped. A file is one dataset, and its lines are numbered where they are read, so a file is read by one task; files are read side by side."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    lines = bytes(raw).decode().split("\n")
-                except UnicodeDecodeError as e:
-                    lines = [f"not UTF-8: {e.reason}"]
-                yield pd.DataFrame({"path": name, "line": range(1, len(lines) + 1), "value": [x[:-1] if x.endswith("\r") else x for x in lines]})
-
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.LongType()), T.StructField("value", T.StringType())])
-    return parse(files.mapInPandas(split, schema))
+    """parse() of files of lines, with their path. Lines end at \\n alone; one \\r before it is dropped, and so is a byte order mark at a file's start. A line that isn't UTF-8 is a bad line.
+
+    Files are split for reading as Spark splits text. A task numbers the lines of its blocks, and the blocks' counts (one row a block) lift them to
+    numbers within the file; lines aren't shuffled. The number of lines before a block depends on its start alone, so another split can't give wrong
+    numbers: a block that was not counted fails the job.
+    """
+    key = ["file_path", "file_block_start", "file_block_length"]
+    sizes = _blocks(spark, path).groupBy(*key).agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    valid = _blocks(spark, path).withColumn("value", F.when(F.is_valid_utf8("value"), F.regexp_replace("value", "\r$", "")).otherwise("not UTF-8"))
+    lines = valid.mapInPandas(_count, T.StructType([*valid.schema.fields, T.StructField("place", T.LongType())]))
+    met = lines.join(sizes.select(*key, earlier.alias("earlier")), key, "left")
+    counted = F.coalesce("earlier", F.raise_error(F.lit("files were split anew while they were read")).cast("long"))
+    return parse(met.select(F.col("file_path").alias("path"), (counted + F.col("place")).alias("line"), "value"), keep=("path",))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

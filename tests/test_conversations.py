@@ -62,8 +62,9 @@ def test_pairs_against_nested_loops(spark):
             n = sum(t in y for t in x)
             if n:
                 want[i, j] = n / (len(x) + len(y) - n)
-    got = {(r["a"], r["b"]): r["similarity"] for r in similarity.pairs(frame(spark, *(dialog(*t) for t in texts))).collect()}
-    assert got == pytest.approx(want)
+    for most in (1024, 3):  # tokens in one part, and common ones in several
+        got = {(r["a"], r["b"]): r["similarity"] for r in similarity.pairs(frame(spark, *(dialog(*t) for t in texts)), most=most).collect()}
+        assert got == pytest.approx(want)
 
 
 @pytest.mark.parametrize(
@@ -129,6 +130,24 @@ def test_read_jsonl(spark, tmp_path):
     assert json.loads(GOOD)["messages"][0]["role"] == rows[0]["messages"][0]["role"]
 
 
+def test_read_jsonl_split_into_blocks(spark, tmp_path):
+    rng, want = random.Random(5), {}
+    for name in "ab":
+        lines = [rng.choice((GOOD, "", "{}", "x" * rng.randint(1, 300))).encode() for _ in range(200)] + [b"\xff\xfe"] + [GOOD.encode()] * (name == "a")
+        (tmp_path / f"{name}.jsonl").write_bytes(b"\n".join(lines))
+        kinds = [conversations.classify(x.decode(errors="replace"))[0] for x in lines]
+        want |= {(f"{name}.jsonl", i): k for i, (x, k) in enumerate(zip(lines, kinds), 1) if x}
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = conversations.read_jsonl(spark, str(tmp_path))
+        got = [((r["path"].rpartition("/")[2], r["line"]), r["error"] and r["error"]["kind"]) for r in rows.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_consensus(spark):
     def of(*s):
         df = spark.createDataFrame([("g", i, x) for i, x in enumerate(s)], "g string, i int, s double")
@@ -139,3 +158,18 @@ def test_consensus(spark):
     assert of(0.5, 0.9) == (0.5, 0.0, [1])
     assert of(0.1, 0.5, 0.9) == (0.5, 0.0, [0, 2])
     assert of(0.85) == (0.85, 1.0, [])
+
+
+def test_consensus_of_large_and_odd_groups(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "x", None]), i, rng.choice([None, 0.1, 0.5, 0.6, 0.9])) for i in rng.sample(range(400), 300)] + [("none", 1, None)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        scores = [s for _, _, s in sorted((r for r in rows if r[0] == g), key=lambda r: r[1])]
+        there = [s for s in scores if s is not None]
+        mean = sum(there) / len(there) if there else None
+        near = [s for s in there if abs(s - mean) <= 0.2]
+        want[g] = (round(sum(near) / len(near) if near else mean, 6) if there else None, len(scores), [i for i, s in enumerate(scores) if s is not None and abs(s - mean) > 0.2])
+    got = evaluation.consensus(spark.createDataFrame(rows, "g string, i int, s double"), "g", "s", "i").collect()
+    assert {r["g"]: (r["final_score"] and round(r["final_score"], 6), r["n_scores"], r["outliers"]) for r in got} == want
+    assert evaluation.consensus(spark.createDataFrame(rows, "g string, i int, s double").where("false"), "g", "s", "i").collect() == []

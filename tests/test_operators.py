@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -60,6 +61,17 @@ def test_state(spark):
     assert one(spark, state.limits_problem(F.lit(0), F.lit(0), F.lit(0), F.lit(0))) == "processes"
 
 
+def test_ranks_with_shared_scores(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0.0, 0.0, 0.0, 1.0, None, float("nan"), rng.random()]), i, f"k{i:03}", "own") for i in rng.sample(range(900), 500)]
+    df = spark.createDataFrame(rows, "score double, ord int, name string, _part string")
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (0 if r[0] != r[0] else 1, -r[0] if r[0] == r[0] else 0, r[1]))
+    want = [(i, r[1], "own") for i, r in enumerate(order, 1)]
+    for by in ("ord", "name"):  # strings order like the numbers here
+        assert [(r["rank"], r["ord"], r["_part"]) for r in state.ranked(df, order=by).orderBy("rank").collect()] == want
+    assert state.ranked(df.where("false")).collect() == []
+
+
 def test_ttl(spark):
     rows = [("k", 0, 1, True), ("k", 5, 2, False), ("k", 10, 3, False), ("k", 11, 4, False), ("k", 12, 5, True), ("k", 21, 6, False), ("j", 1, 7, False)]
     df = spark.createDataFrame(rows, "k string, at long, id int, ins boolean")
@@ -122,6 +134,18 @@ def test_similarities_and_report(spark):
     assert [r["members"] for r in programs.clusters(of("x = 1", "a = 1", "def f(): pass")).collect()] == [[0, 1]]
 
 
+def test_similarities_against_a_loop(spark):
+    rng = random.Random(6)
+    sources = [rng.choice(["def (", *("\n".join(rng.choice(["x = 1", "print(y)", "import os", "for i in z:\n  f(i)"]) for _ in range(rng.randint(1, 4))) for _ in range(4))]) for _ in range(25)]
+    keys = sorted(rng.sample(range(1000), 25))
+    parsed = [(k, t) for k, s in zip(keys, sources) if (t := programs.tokens(s)) is not None]
+    df = spark.createDataFrame(list(zip(keys, sources)), "ord long, source string")
+    for reindex in (True, False):
+        names = range(len(parsed)) if reindex else [k for k, _ in parsed]
+        want = sorted((a, b, programs.structural_score(x[1], y[1])) for (a, x), (b, y) in itertools.combinations(zip(names, parsed), 2))
+        assert sorted(tuple(r) for r in programs.similarities(df, reindex=reindex).collect()) == want
+
+
 def test_runner(spark):
     scripts = spark.createDataFrame([(0, "print('hi')"), (1, "import sys\nsys.exit(3)"), (2, "eval('1')"), (3, "while True: pass")], "ord int, source string")
     with pytest.raises(PermissionError):
