@@ -1,8 +1,9 @@
 """Ids of whole texts from the ids of their distinct chunks, in numpy.
 
-Texts are cut before spaces and line feeds. Chunks are told apart by a 64-bit polynomial hash of their bytes
-(longer ones than LONG by XXH3), so that each batch calls the slow encoder only for chunks that are new, and the
-table of known chunks holds numbers, not strings.
+Texts are cut before spaces and line feeds. Chunks are told apart by two 64-bit polynomial hashes of their bytes
+(longer ones than LONG by the halves of a 128-bit XXH3), so that each batch calls the slow encoder only for chunks that
+are new, and the table of known chunks holds numbers, not strings. The first hash finds a chunk, the second confirms it;
+a batch with a chunk that isn't confirmed is encoded without the table.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ import xxhash
 LONG = 64
 BATCH = 1 << 21
 _STEP = 1 << 19
-_POWERS = np.ones(LONG + 1, np.uint64)
-for _i in range(1, LONG + 1):
-    _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * 0x9E3779B97F4A7C13) % (1 << 64))
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.array([pow(base, i, 1 << 64) for i in range(LONG + 1)], np.uint64)
+
+
+_POWERS, _OTHERS = _powers(0x9E3779B97F4A7C13), _powers(0xC2B2AE3D27D4EB4F)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _CUT = np.zeros(256, bool)
@@ -39,11 +44,11 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.slots, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self.pool, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _cuts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes, starts of chunks, hashes of chunks, chunks of each text)."""
+    def _cuts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts of chunks, hashes of chunks, chunks of each text, second hashes of chunks)."""
         text = np.frombuffer(b"".join(raws), np.uint8)
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         stops = np.cumsum(sizes)
@@ -56,15 +61,17 @@ class ChunkTable:
         starts = np.flatnonzero(flag)
         counts = np.diff(np.searchsorted(starts, np.concatenate(([0], stops))))
         if not starts.size:
-            return text, starts, np.zeros(0, np.uint64), counts
+            return text, starts, np.zeros(0, np.uint64), counts, np.zeros(0, np.uint64)
         lengths = np.diff(starts, append=text.size)
-        place = np.arange(text.size) - np.repeat(starts, lengths)
-        value = (text.astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(place, LONG)]
-        hashes = np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        place = np.minimum(np.arange(text.size) - np.repeat(starts, lengths), LONG)
+        value = text.astype(np.uint64) + np.uint64(1)
+        hashes = np.add.reduceat(value * _POWERS[place], starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(32)
+        checks = np.add.reduceat(value * _OTHERS[place], starts)
         for i in np.flatnonzero(lengths > LONG).tolist():
-            hashes[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + lengths[i]].tobytes())
-        return text, starts, hashes, counts
+            digest = xxhash.xxh3_128_intdigest(text[starts[i] : starts[i] + lengths[i]].tobytes())
+            hashes[i], checks[i] = digest & (1 << 64) - 1, digest >> 64
+        return text, starts, hashes, counts, checks
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers. Works on about BATCH characters at a time."""
@@ -86,13 +93,19 @@ class ChunkTable:
                 held, size = [], 0
         parts.append(self._cuts(held))
         hashes, first, at = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
-        slot = np.full(hashes.size, -1)
+        checks = np.concatenate([p[4] for p in parts])
+        sure = bool((checks == checks[first][at]).all())
+        slot, checks = np.full(hashes.size, -1), checks[first]
         if self.hashes.size:
             near = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
             slot = np.where(self.hashes[near] == hashes, self.slots[near], -1)
+            sure = sure and bool((checks == self.checks[near])[slot >= 0].all())
+        if not sure:
+            yield from self._plain(texts, parts, odd)
+            return
         if (new := np.flatnonzero(slot < 0)).size:
             slot[new] = self.start.size + np.arange(new.size)
-            self._add(hashes[new], self._strings(parts, first[new]))
+            self._add(hashes[new], checks[new], self._strings(parts, first[new]))
         at = slot[at]
         a, whole = 0, dict(zip(sorted(odd), self.learn([texts[i] for i in sorted(odd)]), strict=True)) if odd else {}
         for i, n in enumerate(np.concatenate([p[3] for p in parts]).tolist()):
@@ -107,6 +120,14 @@ class ChunkTable:
         if self.start.size > self.cached or self.pool.size > 8 * self.cached:
             self._clear()
 
+    def _plain(self, texts: Sequence[str], parts: list[tuple], odd: set[int]) -> Iterator[bytes]:
+        """The ids of each text without the table: two chunks have the same hash."""
+        counts = np.concatenate([p[3] for p in parts])
+        ids = self.learn(self._strings(parts, np.arange(counts.sum())))
+        stops = np.cumsum(counts)
+        for i, (a, b) in enumerate(zip((stops - counts).tolist(), stops.tolist(), strict=True)):
+            yield self.learn([texts[i]])[0] if i in odd else b"".join(ids[a:b])
+
     @staticmethod
     def _strings(parts: list[tuple], places: np.ndarray) -> list[str]:
         """The chunks at these places of the batch."""
@@ -121,11 +142,12 @@ class ChunkTable:
                 out[j] = raw[a:b].decode()
         return out
 
-    def _add(self, hashes: np.ndarray, chunks: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, checks: np.ndarray, chunks: list[str]) -> None:
         ids = self.learn(chunks)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.hashes, self.slots = np.concatenate((self.hashes, hashes)), np.concatenate((self.slots, self.start.size + np.arange(hashes.size)))
         order = np.argsort(self.hashes, kind="stable")
+        self.checks = np.concatenate((self.checks, checks))[order]
         self.hashes, self.slots = self.hashes[order], self.slots[order]
         self.start = np.concatenate((self.start, self.pool.size + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths))

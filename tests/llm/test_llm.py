@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrymill.llm import byte_bpe, chat, components, hmm, imatch, licenses, mixing, scratch, simhash, token_files, toxicity, vectors, word_pieces
+from quarrymill.llm import byte_bpe, chat, chunk_table, components, hmm, imatch, licenses, mixing, scratch, simhash, token_files, toxicity, vectors, word_pieces
 
 BPE, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 # extra columns whose names the operators use inside
@@ -118,6 +118,28 @@ def test_op4(docs, rows, none):
     assert token_files.read(token_files.write(none, word_pieces.maker(WORDS), 1)).collect() == []
 
 
+def test_chunks_with_equal_hashes(monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    texts = ["one two one three", "", "four\nfive six", "x" * 200 + " y", "two one"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    cuts = chunk_table.ChunkTable._cuts
+    calls = []
+
+    def clash(self, raws):  # all chunks have one hash; the second tells them apart
+        text, starts, hashes, counts, checks = cuts(self, raws)
+        calls.append(len(raws))
+        return text, starts, hashes * np.uint64(0), counts, checks
+
+    plain = list(word_pieces.WordEncoder(WORDS).encode(texts))
+    monkeypatch.setattr(chunk_table.ChunkTable, "_cuts", clash)
+    encode = word_pieces.WordEncoder(WORDS).encode
+    # within a batch, and against what the table knows from batches before
+    assert plain == want == list(encode(texts)) == [x for t in texts for x in encode([t])]
+    right, strict = tik(), byte_bpe.Encoder(BPE, P.PATTERN).encode([*texts, "odd\x85 white"])
+    assert list(strict) == [np.array(right(t), "<u4").tobytes() for t in [*texts, "odd\x85 white"]]
+    assert calls
+
+
 def test_op6(spark, docs, rows, none):
     prints = [simhash.fingerprint(r[1]) for r in rows]
     root = list(range(len(rows)))
