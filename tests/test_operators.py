@@ -79,6 +79,21 @@ def test_ttl(spark):
     assert got == {2: True, 3: False, 4: False, 6: True, 7: False}
 
 
+def test_ttl_against_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "k", None]), rng.randint(0, 300), i, rng.random() < 0.2, "own") for i in range(400)]
+    last, want = {}, {}
+    for k, at, i, inserted, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        if inserted:
+            last[k] = at
+        else:
+            want[i] = k in last and at - last[k] < 4
+    df = spark.createDataFrame(rows, "k string, at long, id int, ins boolean, _part string")
+    got = ttl_cache.hits(df, "k", "at", "id", F.col("ins"), 4).collect()
+    assert {r["id"]: r["hit"] for r in got} == want and len(got) == len(want) and {r["_part"] for r in got} == {"own"}
+    assert ttl_cache.hits(df.where("false"), "k", "at", "id", F.col("ins"), 4).collect() == []
+
+
 def test_program_tokens():
     assert programs.tokens("x = 1\ny = x + 2") == ["Assign", "Name(var_0)", "Constant", "Assign", "Name(var_1)", "BinOp", "Name(var_0)", "Constant"]
     assert programs.tokens("x = 1\ny = x + 2") == programs.tokens("a = 1\nb = a + 2")
