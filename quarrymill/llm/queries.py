@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, hmm, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
+from . import byte_bpe, centroids, chat, hmm, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP3_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -120,6 +124,29 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds, one table of centroids (c) and one of the vectors' places (a) each; distances in long form."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT row, min_by(k, d * {k} + k) AS k, min(d) AS d
+  FROM (SELECT row, k, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY row, k) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT k, i, coalesce((t - (t % n + n) % n) // n, y) AS y FROM c{r}
+  LEFT JOIN (SELECT k, i, sum(x)::BIGINT AS t, count(*) AS n FROM x JOIN a{r} USING (row) GROUP BY k, i) USING (k, i))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+x AS MATERIALIZED (SELECT row, i, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x FROM v, range(1, 65) t(i)),
+c0 AS MATERIALIZED (SELECT k, i, x AS y FROM (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v WHERE vec_id IS NOT NULL) JOIN x USING (row) WHERE k < {k}),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM v JOIN a{rounds} USING (row) JOIN h USING (k)
+"""
+
+
+OP11_SQL = _op11_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -131,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_source_mix": op9_source_mix,
     "op10_licenses": op10_licenses,
+    "op11_exponion": op11_exponion,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_tree": OP3_SQL, "op9_source_mix": OP9_SQL, "op10_licenses": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_tree": OP3_SQL, "op9_source_mix": OP9_SQL, "op10_licenses": OP10_SQL, "op11_exponion": OP11_SQL}

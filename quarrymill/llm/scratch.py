@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Where the tables that save() gave lie.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: The names of those in buckets.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,9 +41,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_buckets(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like save(), in n buckets by key: tables with as many buckets by the same key are joined on it without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{table}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    _PATHS[out], _TABLES[out] = path, table
+    return out
+
+
 def drop(*saved: DataFrame) -> None:
-    """Removes the files of tables that save() gave and that nothing reads any more."""
+    """Removes the files of tables that save() or save_buckets() gave and that nothing reads any more."""
     for df in saved:
+        if table := _TABLES.pop(df, None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
