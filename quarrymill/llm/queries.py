@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, chat, hmm, imatch, licenses, mixing, simhash, token_files, toxicity, vectors, word_pieces
+from . import byte_bpe, centroids, chat, hmm, imatch, licenses, mixing, packing, repair, simhash, token_files, toxicity, vectors, word_pieces
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.read(packing.pack(_documents(spark, sf_dir), word_pieces.maker(public_tokenizers.path("word_bpe_49k.json")), end_id=2))
+
+
 OP3_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -147,6 +155,42 @@ FROM v JOIN a{rounds} USING (row) JOIN h USING (k)
 
 OP11_SQL = _op11_sql()
 
+
+def _op12_sql() -> str:
+    """Costs-to-go with the least audit and the turns that it leaves, for the four states, from the last row back."""
+    way = lambda cost, edit, after, line="": f"struct_pack(c := {after}.c + {cost}, a := '{edit}' || {after}.a, t := " + (f"list_prepend({line}, {after}.t))" if line else f"{after}.t)")
+    least = lambda *ways: "list_sort([" + ", ".join(ways) + "], 'ASC', 'NULLS LAST')[1]"
+    kept = lambda initial, to: f"CASE WHEN fault <> 'bad' AND role[1] = '{initial}' THEN {way('more', 'K', f'v[{to}]', line='said')} END"
+    reroled = lambda name, to: "CASE WHEN fault <> 'bad' THEN " + way("2 + more", "R", f"v[{to}]", line=f"'{name}:' || text") + " END"
+    user, assistant = (kept("u", 3), reroled("user", 3)), (kept("a", 4), reroled("assistant", 4))
+    bases = [least(way(3, "D", "v[1]"), kept("s", 2), *user), least(way(3, "D", "v[2]"), *user), least(way(3, "D", "v[3]"), *assistant), least(way(3, "D", "v[4]"), *user)]
+    to_user, to_assistant = (lambda x: way(2, "I", x, line="'user:'")), (lambda x: way(2, "I", x, line="'assistant:'"))
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(id) + 1), lambda i: ascii(id[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, 3988292384 * (x & 1))))"
+    space = r"\x20\x09-\x0D"
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id, dense_rank() OVER (ORDER BY conv_id) AS g FROM conversations),
+k AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM o),
+d AS (SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k JOIN (VALUES (1), (2)) c(copy) ON kind <> 0 AND (copy = 1 OR kind = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 'truncated' ELSE '' END AS first FROM n),
+r AS MATERIALIZED (SELECT g, i, role, text, role || ':' || text AS said, CASE WHEN first IN ('blank', 'duplicate') THEN 'bad' ELSE '' END AS fault, (first = 'truncated')::INT AS more FROM f),
+w AS (
+  SELECT g, max(i) + 1 AS i, [struct_pack(c := 0, a := '', t := []::VARCHAR[]), struct_pack(c := 4, a := 'II', t := ['user:', 'assistant:']), struct_pack(c := 2, a := 'I', t := ['assistant:']), struct_pack(c := 0, a := '', t := []::VARCHAR[])] AS v FROM r GROUP BY g
+  UNION ALL
+  SELECT g, i, [{least("b[1]", to_user("u"))}, {least("b[2]", to_user("u"))}, u, a] AS v
+  FROM (SELECT g, i, b, {least("b[3]", to_assistant("b[4]"))} AS u, {least("b[4]", to_user("b[3]"))} AS a
+    FROM (SELECT w.g, r.i, [{", ".join(bases)}] AS b FROM w JOIN r ON r.g = w.g AND r.i = w.i - 1))),
+s AS (SELECT g, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (WHERE first = 'blank') AS blank, count(*) FILTER (WHERE first = 'duplicate') AS duplicate, count(*) FILTER (WHERE first = 'truncated') AS truncated FROM f GROUP BY g),
+j AS (SELECT g, count(*) FILTER (WHERE NOT p IN ('su', 'ua', 'au')) AS illegal FROM (SELECT g, lag(role[1]) OVER (PARTITION BY g ORDER BY i) || role[1] AS p FROM n) GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit,
+  sha256(coalesce(array_to_string(v[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM o) LEFT JOIN s USING (g) LEFT JOIN j USING (g) LEFT JOIN (SELECT * FROM w WHERE i = 1) USING (g)
+"""
+
+
+OP12_SQL = _op12_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -159,5 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_licenses": op10_licenses,
     "op11_exponion": op11_exponion,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_packing": op13_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_tree": OP3_SQL, "op9_source_mix": OP9_SQL, "op10_licenses": OP10_SQL, "op11_exponion": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_tree": OP3_SQL, "op9_source_mix": OP9_SQL, "op10_licenses": OP10_SQL, "op11_exponion": OP11_SQL, "op12_conversation_repair": OP12_SQL}
