@@ -10,6 +10,7 @@ import subprocess
 import sys
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,42 +18,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.scalars import outer_json, score_error
+from quarrymill.sources.shared import written
 
 from .programs import violations
 
 MOST_OUTPUT, MOST_SECONDS, MOST_PROCESSES, MOST_FILE = 10 << 20, 7200, 4, 200_000_000
-
-
-def run_script(source: str, timeout_s: float = 3600, memory: int = 2_147_483_648) -> dict:
-    """stdout, stderr, exit_code (null if killed), duration_ms, timed_out, error. Another exit code than 0 is no error; critical calls and output over 10 MiB are."""
+#: Tasks beyond those of the user at the start; the name of a script's mark.
+BURST, MARK = 512, "QUARRYMILL_RUN"
+
+
+def _processes(mark: bytes) -> list[int]:
+    """Processes of this user that carry the mark in their environment: a script's own and all that it has started, in whatever group or session."""
+    out = []
+    for name in os.listdir("/proc"):
+        if name.isdigit():
+            with contextlib.suppress(OSError), open(f"/proc/{name}/environ", "rb") as file:  # gone by now, or another user's
+                if mark in file.read():
+                    out.append(int(name))
+    return out
+
+
+def _user_tasks() -> int:
+    """Processes and threads that this user has now: what RLIMIT_NPROC counts."""
+    n = 0
+    for name in os.listdir("/proc"):
+        if name.isdigit():
+            with contextlib.suppress(OSError):
+                if os.stat(f"/proc/{name}").st_uid == os.getuid():
+                    n += len(os.listdir(f"/proc/{name}/task"))
+    return n
+
+
+def _end(mark: bytes, child: subprocess.Popen) -> None:
+    """Kills the script and what it has started, until nothing is left."""
+    with contextlib.suppress(ProcessLookupError):
+        os.killpg(child.pid, signal.SIGKILL)
+    while left := [p for p in _processes(mark) if p != child.pid]:
+        for pid in left:
+            with contextlib.suppress(OSError):
+                os.kill(pid, signal.SIGKILL)
+        time.sleep(0.01)
+    child.wait()
+
+
+def run_script(source: str, timeout_s: float = 3600, memory: int = 2_147_483_648, processes: int = MOST_PROCESSES) -> dict:
+    """stdout, stderr, exit_code (null if killed), duration_ms, timed_out, error. Another exit code than 0 is no error; critical calls, output over 10 MiB and more processes than allowed are.
+
+    Limits hold for the script alone: its processes are told by a mark in their environment and counted while it runs (threads aren't counted), and all of them end with it. The user's own limit
+    on tasks is set above what the user has at the start, as a bound between two counts: it is the same for every process of the user, so it can't be the limit itself.
+    """
     if any(v["severity"] == "critical" for v in violations(source) or []):
         return {"stdout": "", "stderr": "", "exit_code": None, "duration_ms": 0, "timed_out": False, "error": "security_violation"}
+    mark = f"{MARK}={uuid.uuid4().hex}"
+    room = _user_tasks() + BURST
 
     def limit() -> None:
-        for what, most in ((resource.RLIMIT_CPU, MOST_SECONDS), (resource.RLIMIT_AS, memory), (resource.RLIMIT_FSIZE, MOST_FILE), (resource.RLIMIT_NPROC, MOST_PROCESSES)):
+        for what, most in ((resource.RLIMIT_CPU, MOST_SECONDS), (resource.RLIMIT_AS, memory), (resource.RLIMIT_FSIZE, MOST_FILE), (resource.RLIMIT_NPROC, room)):
+            hard = resource.getrlimit(what)[1]
+            most = most if hard == resource.RLIM_INFINITY else min(most, hard)
             resource.setrlimit(what, (most, most))
 
     began = time.monotonic()
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory(ignore_cleanup_errors=True) as folder:
         with open(os.path.join(folder, "harness.py"), "w", encoding="utf-8") as file:
             file.write(source)
         with open(os.path.join(folder, "out"), "w+b") as out, open(os.path.join(folder, "err"), "w+b") as err:
-            child = subprocess.Popen([sys.executable, "harness.py"], cwd=folder, stdin=subprocess.DEVNULL, stdout=out, stderr=err, preexec_fn=limit, env={"PATH": os.environ.get("PATH", "")}, start_new_session=True)
-            late = False
+            env = {"PATH": os.environ.get("PATH", ""), MARK: mark.partition("=")[2]}
+            child = subprocess.Popen([sys.executable, "harness.py"], cwd=folder, stdin=subprocess.DEVNULL, stdout=out, stderr=err, preexec_fn=limit, env=env, start_new_session=True)
+            code, error, last, pause = None, None, began + min(timeout_s, MOST_SECONDS), 0.02
             try:
-                code: int | None = child.wait(min(timeout_s, MOST_SECONDS))
-            except subprocess.TimeoutExpired:
-                code, late = None, True
+                while error is None and code is None:
+                    try:
+                        code = child.wait(max(0.0, min(pause, last - time.monotonic())))
+                    except subprocess.TimeoutExpired:
+                        late, pause = time.monotonic() >= last, min(0.1, pause * 2)
+                        error = "timeout" if late else "process_limit" if len(_processes(mark.encode())) > processes else None
             finally:
-                with contextlib.suppress(ProcessLookupError):  # what the script has started, too
-                    os.killpg(child.pid, signal.SIGKILL)
-                child.wait()
-            error = "timeout" if late else "invalid_output" if os.fstat(out.fileno()).st_size > MOST_OUTPUT else None
+                _end(mark.encode(), child)
+            if error is None and os.fstat(out.fileno()).st_size > MOST_OUTPUT:
+                error = "invalid_output"
             texts = []
             for file in (out, err):
                 file.seek(0)
                 texts.append(file.read(MOST_OUTPUT).decode(errors="replace"))
-    return {"stdout": texts[0], "stderr": texts[1], "exit_code": code if code is None or code >= 0 else None, "duration_ms": int((time.monotonic() - began) * 1000), "timed_out": late, "error": error}
+    return {"stdout": texts[0], "stderr": texts[1], "exit_code": code if code is None or code >= 0 else None, "duration_ms": int((time.monotonic() - began) * 1000), "timed_out": error == "timeout", "error": error}
 
 
 def run_scripts(scripts: DataFrame, key: str = "ord", source: str = "source", timeout_s: float = 3600, allow: bool = False) -> DataFrame:
@@ -75,7 +124,8 @@ def run_batch(scripts: DataFrame, key: str = "ord", source: str = "source", time
 
     from .programs import report, similarities
 
-    results = run_scripts(scripts, key, source, timeout_s, allow).withColumnRenamed("key", key).persist()
+    # written once: a lost executor mustn't run foreign scripts again and give other rows to one of the frames
+    results = written(run_scripts(scripts, key, source, timeout_s, allow).withColumnRenamed("key", key), "results")
     return {
         "results": results, "problems": output_problems(results, key), "conversations": output_rows(results, key), "first_failure": results.where("error IS NOT NULL").agg(F.min(F.struct(key, "error")).alias("x")).where("x IS NOT NULL").select("x.*"),
         "report": report(scripts, key, source), "scores": similarities(scripts, key, source),
