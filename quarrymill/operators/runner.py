@@ -182,7 +182,7 @@ def parse_scores(replies: DataFrame, text: str = "reply") -> DataFrame:
     return rows.withColumn("score_error", problem).withColumn("score", F.when(F.col("score_error").isNull(), F.col("score")))
 
 
-VERDICT = "struct<is_plagiarized:boolean,confidence:double,reasoning:string>"
+VERDICT = "struct<is_plagiarism:boolean,confidence:double,reasoning:string>"
 
 
 def verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
@@ -190,5 +190,5 @@ def verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
     found = F.from_json(outer_json(F.col(text)), VERDICT)
     rows = replies.withColumn("verdict", found)
     confidence = F.col("verdict.confidence")
-    problem = F.when(F.col("verdict").isNull() | F.col("verdict.is_plagiarized").isNull() | confidence.isNull(), "no_json").when(~F.isnan(confidence) & ~confidence.between(0, 1), "confidence").when(F.coalesce(F.octet_length("verdict.reasoning"), F.lit(0)) == 0, "reasoning")
+    problem = F.when(F.col("verdict").isNull() | F.col("verdict.is_plagiarism").isNull() | confidence.isNull(), "no_json").when(~F.isnan(confidence) & ~confidence.between(0, 1), "confidence").when(F.coalesce(F.octet_length("verdict.reasoning"), F.lit(0)) == 0, "reasoning")
     return rows.withColumn("verdict_error", problem)

@@ -173,7 +173,7 @@ def reviewer_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def reviewer_verdicts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    say = lambda c, r: f'Well: {{"is_plagiarized":true,"confidence":{c},"reasoning":"{r}"}} so.'
+    say = lambda c, r: f'Well: {{"is_plagiarism":true,"confidence":{c},"reasoning":"{r}"}} so.'
     out = runner.verdicts(_table(spark, d, "part").select(k, _by(k, say("0.9", "same"), say("1.5", "same"), say("0.9", ""), "no").alias("reply")))
     return out.select("p_partkey", F.when(F.col("verdict_error").isNull(), F.col("verdict.confidence")).alias("confidence"), "verdict_error")
 

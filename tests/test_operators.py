@@ -169,5 +169,5 @@ def test_runner(spark):
     assert [(r["stdout"], r["exit_code"], r["timed_out"], r["error"]) for r in rows] == [("hi\n", 0, False, None), ("", 3, False, None), ("", None, False, "security_violation"), ("", None, True, "timeout")]
     out = runner.score_texts(scripts, runner.fixed_scorer(0.5), "ord", "source").collect()
     assert {r["overall"] for r in out} == {0.5}
-    replies = spark.createDataFrame([('x {"is_plagiarized": true, "confidence": 0.5, "reasoning": "r"} y',), ("none",), ('{"is_plagiarized": true, "confidence": 2.0, "reasoning": "r"}',)], "reply string")
+    replies = spark.createDataFrame([('x {"is_plagiarism": true, "confidence": 0.5, "reasoning": "r"} y',), ("none",), ('{"is_plagiarism": true, "confidence": 2.0, "reasoning": "r"}',)], "reply string")
     assert [r["verdict_error"] for r in runner.verdicts(replies).collect()] == [None, "no_json", "confidence"]
