@@ -52,6 +52,25 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return inside.join(F.broadcast(lower), own).withColumn(name, F.col(name) + F.col(before)).drop(own, before)
 
 
+def as_of(rows: DataFrame, marks: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with name: the value of the last of marks (order, value) at or before their order; null before the first, and for a null order. Of marks of one order the largest value counts; marks without order are none.
+
+    Both sides are dealt by ranges of the rows' order. In a range a window carries the last mark on, and what reaches a range from those before it is one row a range, sorted alone.
+    """
+    part, is_mark, at, own, head = (free([*rows.columns, *marks.columns, name], x) for x in ("_part", "_mark", "_at", "_own", "_head"))
+    place = lambda df, bounds: df.withColumn(part, bounds)
+    of = ranges(rows, order)[0]
+    told = place(marks.where(F.col(order).isNotNull()), of).groupBy(part, F.col(order).alias(at)).agg(F.max(value).alias(own)).withColumn(own, F.struct(own))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = told.groupBy(part).agg(F.max_by(own, at).alias(own))
+    parts = place(rows, of).select(part).distinct().join(heads, part, "full").select(part, F.last(own, ignorenulls=True).over(earlier).alias(head))
+    mixed = place(rows, of).withColumns({at: F.col(order), is_mark: F.lit(1), own: F.lit(None).cast(told.schema[own].dataType)}).unionByName(told.withColumn(is_mark, F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(part).orderBy(at, is_mark).rowsBetween(Window.unboundedPreceding, 0)
+    met = mixed.withColumn(own, F.last(own, ignorenulls=True).over(before)).where(F.col(is_mark) == 1).join(F.broadcast(parts), part)
+    found = F.when(F.col(at).isNotNull(), F.coalesce(own, head)[own])
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), found.alias(name))
+
+
 def with_next(rows: DataFrame, key: str, value: str) -> DataFrame:
     """rows with next: struct<key, value> of the row with the next larger key, null for the last; equal keys follow one another in no fixed order. Null keys aren't allowed.
 
