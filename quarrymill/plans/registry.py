@@ -12,7 +12,7 @@ from quarrymill.operators import evaluation, programs, quality, similarity, stat
 from quarrymill.sources import conversations
 from quarrymill.streaming import ttl_cache
 
-from . import records
+from . import flows, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -248,5 +248,5 @@ SELECT a, b, trunc(w[len(w)] / greatest(len(ra), len(rb))::DOUBLE * 100.0::DOUBL
     "plagiarism_report": """SELECT * FROM (VALUES ('insufficient_data', NULL::BIGINT, NULL::BIGINT, NULL, NULL, NULL, NULL::BIGINT, NULL::BIGINT, 'one'), ('no_submissions', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'none'),
 ('parse_error', 6, NULL, NULL, NULL, NULL, NULL, NULL, 'all'), ('results', NULL, 21, '0,1', '0,4,1,3,7', 100, 0, 1, 'parsed')) v(kind, first_error, n_pairs, plagiarized, to_verify, top_score, top_a, top_b, which)""",
 }
-QUERIES |= records.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL
+QUERIES |= records.QUERIES | flows.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | flows.ORACLE_SQL

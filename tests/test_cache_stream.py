@@ -24,7 +24,7 @@ def states(spark, folder, variable):
 def test_stream_equals_the_batch_with_late_events_and_null_times(spark, tmp_path):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None, "c"]), float(t) + rng.choice((0, 0.25, 0.0001)), t, rng.random() < 0.3) for t in range(400)]
-    rows += [("a", None, 1000, True), ("a", None, 1001, False), ("b", float("nan"), 1002, False), ("a", 5.0, 1003, True), ("a", 5.0, 1004, False), (None, 6.0, 1005, None)]
+    rows += [("a", None, 1000, True), ("a", None, 1001, False), ("b", float("nan"), 1002, False), ("a", 5.0, 1003, True), ("a", 5.0, 1004, False), (None, 6.0, 1005, None), ("c", 7.0, None, False)]
     # each comes up to 40 seconds after its time
     order = sorted(rows, key=lambda r: (r[1] if r[1] == r[1] and r[1] is not None else 0.0) + rng.random() * 40)
     batches = [order[i : i + 80] for i in range(0, len(order), 80)] + [[("end", 1e6, 5000, True)]]
@@ -32,8 +32,8 @@ def test_stream_equals_the_batch_with_late_events_and_null_times(spark, tmp_path
     got = run(spark, tmp_path, 10.0, 41.0)
     clean = [(k, None if t != t else t, o, bool(i)) for k, t, o, i in rows]
     want = ttl_cache.hits(spark.createDataFrame(clean, SCHEMA), "key", "at", "ord", F.col("is_insert"), 10.0)
-    found = sorted((str(r["key"]), r["ord"], r["hit"]) for r in got.collect())
-    assert found == sorted((str(r["key"]), r["ord"], r["hit"]) for r in want.collect())
+    found = sorted((str(r["key"]), str(r["ord"]), r["hit"]) for r in got.collect())
+    assert found == sorted((str(r["key"]), str(r["ord"]), r["hit"]) for r in want.collect())
     assert len({hit for *_, hit in found}) == 2
     # what the watermark has passed is no state any more: only the last key is left
     assert states(spark, tmp_path, "last") <= 1 and states(spark, tmp_path, "pending") <= 1
