@@ -1,7 +1,8 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text's canonical form: lower case, without copyright lines, equivalent spellings made one, every run of other characters than letters and digits
-one space. Its SHA-256 is looked up among the digests of known licences' canonical forms. The units looked up are the whole text and each of its lines, so
+A text's canonical form: lower case, without copyright notices, equivalent spellings made one, every run of other characters than letters and digits
+one space. Paragraphs end at lines without letters and digits, other line breaks count as spaces, so it doesn't matter how a text is wrapped. A notice begins
+a paragraph with a mark of copyright and a year or second mark (an item "(c)" is none); it is a paragraph of at most 60 words (also one that goes on with other words: what stands with a holder's name can't be told from it), or the first line of a longer one. Its SHA-256 is looked up among the digests of known licences' canonical forms. The units looked up are the whole text and each of its lines, so
 a document that is a licence and a document that carries a notice line are both found; a unit matches as a whole or not at all.
 """
 
@@ -107,14 +108,40 @@ def whole_texts() -> dict[str, tuple[str, ...]]:
     return out
 
 
+#: Between paragraphs, and between the lines of one.
+_PARAGRAPH, _LINE = "\x1e", "\x1f"
+_GAP, _WORD = r"[ \x1f]", r"[^ \x1e\x1f]"
+_MARK, _YEAR = r"(?:©|\(c\))", r"(?:[0-9]{4}|[\[<{(](?:yyyy|year)[\]>})])"
+_NOTICE = rf"(^|\x1e)[^\p{{L}}\p{{N}}©(\x1e]*(?:copyright:?{_GAP}?{_MARK}|copyright:?{_GAP}{_YEAR}|{_MARK}{_GAP}?(?:copyright|{_YEAR})){_WORD}*"
+#: One of these is in every text that may be looked up, or all are canonicalised.
+ANCHORS = ("licen", "permission", "rights", "domain")
+
+
 def canonical(text: Column) -> Column:
-    """Empty for a text that has no letters or digits outside copyright lines."""
-    out = F.regexp_replace(F.lower(text), r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "$1")
+    """Empty for a text that has no letters or digits outside copyright notices."""
+    out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"[ \t\x0b\f\xa0]+", " ")
+    out = F.regexp_replace(out, r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}©(]*", _PARAGRAPH * 2)  # two, so that neighbours share none
+    out = F.replace(out, F.lit("\n"), F.lit(_LINE))
+    out = F.regexp_replace(out, rf"{_NOTICE}(?:{_GAP}+{_WORD}+){{0,60}}{_GAP}*(\x1e|$)", "$1$2")
+    for _ in range(2):
+        out = F.regexp_replace(out, rf"{_NOTICE}(?: +{_WORD}+){{0,24}} *\x1f", "$1")
+    out = F.translate(out, _PARAGRAPH + _LINE, "  ")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def _may_be(text: Column, *lists: Mapping[str, tuple[str, ...]]) -> Column:
+    """Whether a text has one of ANCHORS, without which it can be none of the known ones; true if one of these has none."""
+    if not all(any(a in text.lower() for a in ANCHORS) for known in lists for texts in known.values() for text in texts):
+        return F.lit(True)
+    low, out = F.lower(text), F.lit(False)
+    for a in ANCHORS:
+        out = out | F.contains(low, F.lit(a))
+    return out
+
+
 def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
     """(digest, license), one row for each known text; its size is that of the list given."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
@@ -137,8 +164,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Mappin
     lines = known_digests(spark, known)
     texts = sent(lines.union(known_digests(spark, long).join(lines, "digest", "left_anti")), known, long)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("own", F.sha2("text", 256))
-    cut = rows.select("own", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("own", "line", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+    cut = rows.where(_may_be(F.col("text"), known)).select("own", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(_may_be(F.col("unit"), known)).select("own", "line", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
     # copies of a text have the same lines
     hits = cut.join(sent(lines, known), "digest").groupBy("own", "line").agg(F.min("license").alias("license")).groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.count("*").alias("n"))
-    found = rows.select("key", "own", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(texts, "digest", "left").join(hits, "own", "left")
+    whole_digest = F.when(_may_be(F.col("text"), known, long), F.sha2(canonical(F.col("text")), 256))
+    found = rows.select("key", "own", whole_digest.alias("digest")).join(texts, "digest", "left").join(hits, "own", "left")
     return found.select(F.col("key").alias(key), F.col("license").alias("text_license"), F.coalesce("names", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -92,19 +93,74 @@ FROM e GROUP BY conv_id
 """
 
 
+def _canonical(text: str) -> str:
+    """A known text's canonical form by plain string methods, beside the operator's column functions."""
+    low = text.lower().replace("\r\n", "\n").replace("\r", "\n")
+    paragraphs: list[list[str]] = [[]]
+    for line in low.split("\n"):
+        if any(c.isalnum() for c in line):
+            paragraphs[-1].append(" ".join(line.split()))
+        elif paragraphs[-1]:
+            paragraphs.append([])
+
+    def noticed(words: list[str]) -> bool:
+        """The paragraph or line begins with a mark of copyright and a year or second mark."""
+        if words and words[0] in ("copyright", "copyright:"):
+            words = words[1:]
+        elif not words or not words[0].startswith(("(c)", "©")):
+            return False
+        elif words[0] in ("(c)", "©"):
+            words = words[1:]
+            return bool(words) and (words[0].startswith("copyright") or dated(words[0]))
+        return bool(words) and (words[0].startswith(("(c)", "©")) or dated(words[0]))
+
+    def dated(word: str) -> bool:
+        return word[:4].isdigit() and len(word) >= 4 or word[1:5] in ("yyyy", "year") and word[0] in "[<{("
+
+    kept = []
+    for lines in paragraphs:
+        words = " ".join(lines).split()
+        if noticed(words) and len(words) <= 60:
+            continue
+        for _ in range(2):
+            if len(lines) > 1 and noticed(lines[0].split()) and len(lines[0].split()) <= 24:
+                lines = lines[1:]  # noqa: PLW2901
+        kept.append(" ".join(lines))
+    out = " ".join(kept)
+    for a, b in licenses.EQUIVALENT:
+        out = out.replace(a, b)
+    return " ".join("".join(c if c.isalnum() else " " for c in out).split())
+
+
 def _canonical_sql(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+    start = r"(^|\x1e)[^\p{L}\p{N}©(\x1e]*(copyright:?[ \x1f]?(©|\(c\))|copyright:?[ \x1f]([0-9]{4}|[\[<{(](yyyy|year)[\]>})])|(©|\(c\))[ \x1f]?(copyright|[0-9]{4}|[\[<{(](yyyy|year)[\]>})]))[^ \x1e\x1f]*"
+    out = rf"regexp_replace(regexp_replace(lower({text}), '\r\n?', chr(10), 'g'), '[ \t\x0b\f\x{{a0}}]+', ' ', 'g')"
+    out = rf"replace(regexp_replace({out}, '\n[^\p{{L}}\p{{N}}\n]*\n[^\p{{L}}\p{{N}}©(]*', chr(30) || chr(30), 'g'), chr(10), chr(31))"
+    out = rf"regexp_replace({out}, '{start}([ \x1f]+[^ \x1e\x1f]+){{0,60}}[ \x1f]*(\x1e|$)', '\1\8', 'g')"
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '{start}( +[^ \x1e\x1f]+){{0,24}} *\x1f', '\1', 'g')"
+    out = f"translate({out}, chr(30) || chr(31), '  ')"
     for a, b in licenses.EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-_KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, texts in licenses.KNOWN.items() for text in texts)
+def _known_sql(lists: dict[str, tuple[str, ...]]) -> str:
+    found: dict[str, str] = {}
+    for name, texts in lists.items():
+        for text in texts:
+            digest = hashlib.sha256(_canonical(text).encode()).hexdigest()
+            found[digest] = min(name, found.get(digest, name))
+    return ", ".join(f"('{digest}', '{name}')" for digest, name in found.items())
+
+
 OP10_SQL = f"""
-WITH known AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical_sql("text")}) AS digest, license FROM (VALUES {_KNOWN}) t(license, text)) GROUP BY digest),
+WITH short(digest, license) AS (VALUES {_known_sql(licenses.KNOWN)}),
+long(digest, license) AS (VALUES {_known_sql(licenses.whole_texts())}),
+known AS (SELECT * FROM short UNION ALL SELECT * FROM long WHERE digest NOT IN (SELECT digest FROM short)),
 d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
-h AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(*) AS n FROM l JOIN known ON sha256({_canonical_sql("line")}) = digest GROUP BY row)
+h AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(*) AS n FROM l JOIN short ON sha256({_canonical_sql("line")}) = digest GROUP BY row)
 SELECT doc_id, known.license AS text_license, coalesce(names, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
 FROM d LEFT JOIN known ON sha256({_canonical_sql("d.text")}) = digest LEFT JOIN h USING (row)
 """

@@ -2,6 +2,8 @@ import base64
 import hashlib
 import math
 import random
+import re
+import textwrap
 import time
 import zlib
 from collections import Counter
@@ -497,7 +499,11 @@ def test_op10(spark, docs, none):
 
 
 def test_op10_knows_whole_texts(spark):
-    """Whole licence texts, with and without heading, with a copyright line and lines wrapped anew where no item is lettered; part of one is none."""
+    """Whole licence texts, with and without heading, as stored, in capitals, with other line ends, with a holder's notice, and wrapped anew; part of one is none, nor is an altered one."""
+    import duckdb
+
+    from quarrymill.llm import queries
+
     head = {"MIT": "MIT License", "ISC": "ISC License"}
     folder = licenses.Path(licenses.__file__).with_name("license_texts")
     texts = {p.stem: p.read_text() for p in folder.glob("*.txt")} | {n: f"{h}\n\nCopyright (c) 2020 A. Uthor\n\n{licenses.KNOWN[n][0]}" for n, h in head.items()}
@@ -505,12 +511,36 @@ def test_op10_knows_whole_texts(spark):
     table = [(n, t) for n, t in texts.items()]
     table += [(n, texts[n].split("\n\n", 1)[1].lstrip()) for n in texts if n != "Unlicense"]
     table += [(n, texts[n].split("END OF TERMS")[0]) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0")]
-    bare = texts["BSD-3-Clause"].split("\n\n", 1)[1].replace(" the ", "\nthe ").replace("\nthe above copyright", " the above copyright").replace("\nthe copyright", " the copyright")
+    bare = texts["BSD-3-Clause"].split("\n\n", 1)[1].replace(" the ", "\nthe ")
     table += [("BSD-3-Clause", "Copyright (c) 2020, A. Uthor\nAll rights reserved.\n\n" + bare), ("Unlicense", "The Unlicense\n\n" + texts["Unlicense"])]
+    for n, t in texts.items():
+        blocks = [" ".join(x.split()) for x in re.split(r"\n\s*\n", t) if x.strip()]
+        for width in (60, 66, 76, 100, 10**9):
+            table.append((n, "\n\n".join(textwrap.fill(x, width) for x in blocks)))
+        table += [(n, t.upper()), (n, t.replace("\n", "\r\n")), (n, "Copyright (c) 2019-2021 Some Holder <s@example.org>\nCopyright 2022 Another\n\n" + t), (None if n == "Unlicense" else n, "(C) 2020 Some Holder\n" + t)]  # its first paragraph is short: one notice with the line above
+        table.append((n, "\n".join("# " + x for x in t.split("\n"))))
     table += [(None, t[: len(t) // 2]) for t in texts.values()]
+    lettered = re.sub(r"\(c\) You must retain.*?; and", "(c) You must pay the author one million euros and give up; and", texts["Apache-2.0"], flags=re.DOTALL)
+    assert lettered != texts["Apache-2.0"]
+    table += [(None, lettered), (None, texts["MIT"] + "\n\n(c) You must pay."), (None, texts["MIT"].replace("Permission is", "Copyright is yours. Permission is")), (None, "Copyright (c) 2020 X\n\n" + "word " * 70)]
     rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(table)], "doc_id long, text string")
     got = {r["doc_id"]: r["text_license"] for r in licenses.scan(rows).collect()}
     assert [(i, n, got[i]) for i, (n, _) in enumerate(table) if got[i] != n] == []
+    documents = pa.table({"doc_id": list(range(len(table))), "text": [t for _, t in table]})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert {r[0]: r[1] for r in con.execute(queries.OP10_SQL).fetchall()} == got
+
+
+def test_op10_of_odd_texts(spark):
+    """Many blank lines, marks and notices on end; a list of known texts without an anchor."""
+    odd = ["\n" * 200_000 + "x", "copyright (c) 2020 " * 20_000, "(c) " * 50_000, "\x1e\x1f", " \n \n" * 30_000 + licenses.KNOWN["MIT"][0], "Copyright (c) 2020 A\n" * 3000 + "\n" + licenses.KNOWN["MIT"][0]]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(rows).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: "MIT", 5: None}
+    own = {"Mine": ("Use it as you like.",)}
+    got = licenses.scan(spark.createDataFrame([(1, "use it,\nas you like"), (2, "x\nUse it as you like!")], "doc_id long, text string"), known=own, whole={}).orderBy("doc_id").collect()
+    assert [(r["text_license"], r["line_licenses"]) for r in got] == [("Mine", ""), (None, "Mine")]
 
 
 def test_op3(spark):
