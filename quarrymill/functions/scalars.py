@@ -34,9 +34,13 @@ def score_error(x: Column) -> Column:
     return F.when(F.isnan(x), "not_a_number").when(x < 0, "below_min").when(x > 1, "above_max")
 
 
+#: Similarities of 0 to 100 from which on a pair is plagiarized, or to be verified.
+PLAGIARIZED, TO_VERIFY = 97, 30
+
+
 def status(score: Column) -> Column:
     """Bucket of a similarity of 0 to 100."""
-    return F.when(score >= 97, "plagiarized").when(score >= 30, "needs_verification").otherwise("clean")
+    return F.when(score >= PLAGIARIZED, "plagiarized").when(score >= TO_VERIFY, "needs_verification").otherwise("clean")
 
 
 def words(text: Column) -> Column:

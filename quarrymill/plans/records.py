@@ -219,16 +219,11 @@ def program_clusters(spark: SparkSession, d: str) -> DataFrame:
     return programs.clusters(_part_programs(spark, d)).select("prefix", F.size("members").cast("long").alias("n"), F.element_at("members", 1).alias("first"))
 
 
-def program_scores(spark: SparkSession, d: str) -> DataFrame:
-    score = programs.score_or_zero(F.col("source"), F.lit("a = 1\nb = a + 2"))
-    return _part_programs(spark, d).select("ord", score.cast("long").alias("score")).withColumn("status", scalars.status(F.col("score")))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         jsonl_lines, output_validation, dataset_mode, line_search, conversation_hashes, request_messages, submission_checks, config_checks, codes_at, submissions_list, submission_by_hash, submission_by_hotkey, agent_info, agent_logs, status_row,
-        challenge_params, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive, program_scan, program_clusters, program_scores,
+        challenge_params, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive, program_scan, program_clusters,
     )
 }
 
@@ -283,5 +278,4 @@ CASE s_suppkey % 3 WHEN 2 THEN 1 END::BIGINT AS completed, CASE s_suppkey % 3 WH
     "program_scan": """SELECT p_partkey AS ord, p_partkey % 6 IN (3, 5) AS blocked, p_partkey % 6 <> 4 AS parses, CASE p_partkey % 6 WHEN 3 THEN 'os.system' WHEN 5 THEN 'eval' END AS pattern, CASE WHEN p_partkey % 6 IN (3, 5) THEN 'critical' END AS severity,
 CASE p_partkey % 6 WHEN 3 THEN 2 WHEN 5 THEN 1 END::INT AS line, CASE WHEN p_partkey % 6 IN (3, 5) THEN 0 END::INT AS "column" FROM part""",
     "program_clusters": f"SELECT left(CASE CASE WHEN p_partkey % 6 = 1 THEN 0 ELSE p_partkey % 6 END {_HASHED} END, 16) AS prefix, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey % 6 <> 4 GROUP BY 1 HAVING count(*) > 1",
-    "program_scores": "SELECT p_partkey AS ord, [100, 100, 12, 25, 0, 25][p_partkey % 6 + 1]::BIGINT AS score, CASE WHEN p_partkey % 6 < 2 THEN 'plagiarized' ELSE 'clean' END AS status FROM part",
 }

@@ -12,7 +12,7 @@ from quarrymill.operators import evaluation, programs, quality, similarity, stat
 from quarrymill.sources import conversations
 from quarrymill.streaming import ttl_cache
 
-from . import flows, records
+from . import flows, generated, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,50 +133,11 @@ def role_lcs_similarity(spark: SparkSession, d: str) -> DataFrame:
     return programs.role_similarity(conversations.table(spark, d))
 
 
-# Small programs that branch as the scans' rules do.
-PROGRAMS = (
-    "x = 1\ny = x + 2",
-    "a = 1\nb = a + 2",
-    "def foo(): return 42",
-    "import os\nos.system('ls')\nfor i in range(3):\n    print(i)",
-    "import subprocess as s\nsubprocess.run(['ls'])\neval('1')",
-    "class A:\n    def m(self, k=open('f')):\n        return getattr(os, 'popen')('x')",
-    "def broken(:",
-    "import json\nprint(json.dumps({'messages': [{'role': 'user', 'content': 'hi'}]}))",
-)
-
-
-def _programs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(PROGRAMS)), "ord long, source string")
-
-
-def ast_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return programs.similarities(_programs(spark))
-
-
-def structure_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return programs.clusters(_programs(spark)).withColumn("members", F.array_join("members", ","))
-
-
-def security_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = _programs(spark).withColumn("v", programs.scanned("source"))
-    return found.select("ord", programs.blocked(F.col("v")).alias("blocked"), F.explode_outer("v").alias("x")).select("ord", "blocked", "x.*")
-
-
-def plagiarism_report(spark: SparkSession, d: str) -> DataFrame:
-    """Of all programs, of which one doesn't parse; of those that do; of one; of none."""
-    rows = _programs(spark)
-    cases = {"all": rows, "parsed": rows.where("ord <> 6"), "one": rows.where("ord = 0"), "none": rows.where("false")}
-    out = [programs.report(x).withColumn("which", F.lit(name)) for name, x in cases.items()]
-    shown = out[0].union(out[1]).union(out[2]).union(out[3])
-    return shown.withColumns({c: F.array_join(c, ",") for c in ("plagiarized", "to_verify")})
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dataset_evaluation, conversation_quality, format_validity, known_pattern_penalty, conversation_pairs, internal_similarity, content_duplicates, content_hash, message_stats, consensus_by_group, leaderboard, top_n, weights, stats,
-        lookup, score_decay, sum_normalise, latest_state, first_submission, ttl_cache_hits, role_lcs_similarity, ast_similarity, structure_clusters, security_scan, plagiarism_report,
+        lookup, score_decay, sum_normalise, latest_state, first_submission, ttl_cache_hits, role_lcs_similarity,
     )
 }
 
@@ -233,20 +194,13 @@ SELECT user_id, event_type, max_by(value, event_id) AS value, min(event_id) AS o
 SELECT event_id, coalesce(t_us - ins < 86400000000, false) AS hit FROM w WHERE event_type <> 'purchase'""",
 }
 
-# the rows of longest common subsequences, one role of a at a time; goldens for the small programs, worked out from their nodes
+# the rows of longest common subsequences, one role of a at a time
 ORACLE_SQL |= {
     "role_lcs_similarity": """WITH RECURSIVE c AS (SELECT conv_id AS a, list(role ORDER BY turn) AS ra FROM conversations GROUP BY conv_id),
 p AS (SELECT a, lead(a) OVER (ORDER BY a) AS b, ra, lead(ra) OVER (ORDER BY a) AS rb FROM c),
 l AS (SELECT a, b, ra, rb, 0 AS i, list_transform(range(0, len(rb) + 1), lambda x: 0::BIGINT) AS w FROM p WHERE b IS NOT NULL
   UNION ALL SELECT a, b, ra, rb, i + 1, list_prepend(0::BIGINT, list_transform(range(1, len(rb) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN rb[k] = ra[i + 1] THEN w[k] + 1 ELSE w[k + 1] END)))) FROM l WHERE i < len(ra))
 SELECT a, b, trunc(w[len(w)] / greatest(len(ra), len(rb))::DOUBLE * 100.0::DOUBLE)::INT AS score FROM l WHERE i = len(ra)""",
-    "ast_similarity": """SELECT * FROM (VALUES (0, 1, 100), (0, 2, 12), (0, 3, 23), (0, 4, 30), (0, 5, 15), (0, 6, 17), (1, 2, 12), (1, 3, 23), (1, 4, 30), (1, 5, 15), (1, 6, 17), (2, 3, 5), (2, 4, 7), (2, 5, 23), (2, 6, 5), (3, 4, 52),
-(3, 5, 17), (3, 6, 41), (4, 5, 23), (4, 6, 47), (5, 6, 23)) v(a, b, score)""",
-    "structure_clusters": "SELECT 'd5508332be9d6665' AS prefix, '0,1' AS members",
-    "security_scan": """SELECT * FROM (VALUES (0::BIGINT, false, NULL, NULL, NULL, NULL), (1, false, NULL, NULL, NULL, NULL), (2, false, NULL, NULL, NULL, NULL), (3, true, 'os.system', 'critical', 2, 0), (4, true, 'eval', 'critical', 3, 0),
-(4, true, 'subprocess.run', 'warning', 2, 0), (5, false, NULL, NULL, NULL, NULL), (6, false, NULL, NULL, NULL, NULL), (7, false, NULL, NULL, NULL, NULL)) v(ord, blocked, pattern, severity, line, "column")""",
-    "plagiarism_report": """SELECT * FROM (VALUES ('insufficient_data', NULL::BIGINT, NULL::BIGINT, NULL, NULL, NULL, NULL::BIGINT, NULL::BIGINT, 'one'), ('no_submissions', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'none'),
-('parse_error', 6, NULL, NULL, NULL, NULL, NULL, NULL, 'all'), ('results', NULL, 21, '0,1', '0,4,1,3,7', 100, 0, 1, 'parsed')) v(kind, first_error, n_pairs, plagiarized, to_verify, top_score, top_a, top_b, which)""",
 }
-QUERIES |= records.QUERIES | flows.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | flows.ORACLE_SQL
+QUERIES |= records.QUERIES | flows.QUERIES | generated.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | flows.ORACLE_SQL | generated.ORACLE_SQL
