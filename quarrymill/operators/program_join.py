@@ -5,7 +5,7 @@ two programs have as many elements in common as their multisets; their longest c
 enough in common share one of the first few of each, so only classes that meet in such an element are looked at. There, lengths, then counts of
 nodes in 64 groups and the elements that follow in either bound the score from above. A pair may be named by several elements and is compared once, exactly.
 
-An element that many classes have is dealt into blocks, and each pair of blocks is a group of its own, so no task grows with an element. What a class sends for an element has a
+An element that many classes have is dealt into blocks within bands of length, and each pair of blocks of one band or of neighbouring ones is a group of its own, so no task grows with an element. What a class sends for an element has a
 fixed size; its nodes go only where they are compared, as numbers.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from quarrymill.sources.shared import written
 from .programs import normalised, score_of, structure_hash
 
 #: Classes of a block, and groups in which nodes are counted for the bound.
-BLOCK, GROUPS = 256, 64
+BLOCK, GROUPS = 1024, 64
 
 
 def classes(programs: DataFrame, key: str = "ord", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -35,24 +36,43 @@ def classes(programs: DataFrame, key: str = "ord", source: str = "source") -> tu
     return rows.select("id", "hash").join(heads.select("hash", "class"), "hash").select("id", "class"), heads.select("class", "nodes", "copies")
 
 
-def _sent(least: int):
-    """Classes (class, nodes, elements by rarity as (classes, element)) to one row for each element that they may be named by: what the filters need, of a fixed size."""
+def _band(n: int, least: int) -> int:
+    """Lengths of two programs that may reach the score lie in one band or in neighbouring ones."""
+    return 0 if least == 100 or n == 0 else int(math.log(n) / math.log(100 / least) + 1e-9)
+
+
+def _sent(least: int, block: int):
+    """Classes (class, nodes, elements by rarity) to one row for each element that may name them and each group that they are in: what the filters need, of a fixed size."""
+
+    def places(name: int, band: int, sizes: dict[int, int]) -> Iterator[tuple[str, int]]:
+        """(group, side in it) of a class in a band, given how many classes of each band have the element."""
+        parts = lambda k: -(-sizes.get(k, 0) // block)
+        own = name % parts(band)
+        for other in range(parts(band)):
+            yield f"{band}:{min(own, other)}:{band}:{max(own, other)}", int(own > other)
+        if least < 100:
+            for other in range(parts(band + 1)):
+                yield f"{band}:{own}:{band + 1}:{other}", 0
+            for other in range(parts(band - 1)):
+                yield f"{band - 1}:{other}:{band}:{own}", 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
+            kinds = (batch.schema.field("class").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            for at in range(0, batch.num_rows, 20):
                 rows: list[tuple] = []
-                for r in batch.slice(at, 100).to_pylist():
-                    n, own = len(r["nodes"]), np.zeros(GROUPS, "<i4")
+                for r in batch.slice(at, 20).to_pylist():
+                    n, own = len(r["nodes"]), np.zeros(GROUPS, "<u4")
                     for node in r["nodes"]:
                         own[node % GROUPS] += 1
-                    first = n - max(1, math.ceil(n * least / 100 - 1e-9)) + 1
+                    first, counts = n - max(1, math.ceil(n * least / 100 - 1e-9)) + 1, own.tobytes()
                     for i, spot in enumerate(r["spots"][:first]):
                         if spot["classes"] > 1:  # what no other class has names no pair
-                            rows.append((r["class"], spot["element"], spot["classes"], n, n - i, own.tobytes()))
-                kinds = (batch.schema.field("class").type, pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["class", "element", "classes", "n", "rest", "counts"])
+                            sizes = {b["band"]: b["n"] for b in spot["bands"]}
+                            rows += [(r["class"], spot["element"], group, side, n, n - i, counts) for group, side in places(crc32(f"{r['class']}{spot['element']}".encode()), _band(n, least), sizes)]
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "element", "pair", "side", "n", "rest", "counts"])
 
     return run
 
@@ -61,23 +81,24 @@ def _meet(least: int):
     """The classes of two blocks that have an element to the pairs (a, b) that it names and that may reach the score."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("class")
-        pair, side = table.column("pair")[0].as_py(), np.array(table.column("side").to_pylist())
-        n = np.array(table.column("n").to_pylist())
-        rest = np.array(table.column("rest").to_pylist())
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").reshape(len(n), -1)
-        left, right = [], []
-        for i in range(len(n) - 1):
-            js = np.arange(i + 1, len(n))
-            if pair["low"] != pair["high"]:  # pairs of one block are looked at in the block's own group
-                js = js[side[js] != side[i]]
-            # a pair has no more in common than the rest of either from its first common element on
-            js = js[np.minimum(rest[i], rest[js]) / np.maximum(n[i], n[js]) * 100.0 >= least]
-            js = js[np.minimum(counts[js], counts[i]).sum(axis=1) / np.maximum(n[i], n[js]) * 100.0 >= least]
-            left += [i] * len(js)
-            right += js.tolist()
-        ids = table.column("class").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
+        table = table.sort_by("class").combine_chunks()
+        names = table.column("pair")[0].as_py().split(":")
+        n, rest, side = (table.column(c).to_numpy() for c in ("n", "rest", "side"))
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").reshape(len(n), -1)
+        same = names[:2] == names[2:]
+        left, right = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        # a pair has no more in common than the rest of either from its first common element on
+        may = np.minimum(rest[left][:, None], rest[right]) / np.maximum(n[left][:, None], n[right]) * 100.0 >= least
+        i, j = np.nonzero(np.triu(may, 1) if same else may)
+        i, j = left[i], right[j]
+        kept = []
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            kept.append(np.minimum(counts[x], counts[y]).sum(axis=1) / np.maximum(n[x], n[y]) * 100.0 >= least)
+        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+        a, b = np.minimum(i, j)[kept], np.maximum(i, j)[kept]
+        ids = table.column("class")
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return run
 
@@ -92,14 +113,13 @@ def similar(heads: DataFrame, least: int = TO_VERIFY) -> DataFrame:
     numbered = written(places.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "number"))), lambda x: x["number"]).alias("nodes")), "numbered")
     counts = numbered.select("class", F.explode("nodes").alias("node")).groupBy("class", "node").agg(F.count("*").alias("n"))
     elements = counts.select("class", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.concat_ws(":", F.col("node").cast("string"), k.cast("string")))).alias("element"))
-    common = elements.groupBy("element").agg(F.count("*").alias("classes"))
-    spots = elements.join(common, "element").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("classes", "element"))).alias("spots"))
-    sent = numbered.join(spots, "class").select("class", "nodes", "spots").mapInArrow(_sent(least), f"class {kind}, element string, classes bigint, n int, rest int, counts binary")
-    blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
-    dealt = sent.withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("class", "element"), blocks).cast("int")})
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("side", x).alias("low"), F.greatest("side", x).alias("high")))
-    dealt = dealt.withColumn("pair", F.explode(met)).select("class", "element", "n", "rest", "counts", "side", "pair")
-    named = written(dealt.groupBy("element", "pair").applyInArrow(_meet(least), f"a {kind}, b {kind}"), "named")
+    base = math.log(100 / least) if least < 100 else 1.0
+    band = F.lit(0) if least == 100 else F.floor(F.log("n") / base + 1e-9).cast("int")
+    sizes = elements.join(numbered.select("class", F.size("nodes").alias("n")), "class").groupBy("element", band.alias("band")).agg(F.count("*").cast("int").alias("n"))
+    common = sizes.groupBy("element").agg(F.sum("n").alias("classes"), F.array_sort(F.collect_list(F.struct("band", "n"))).alias("bands"))
+    spots = elements.join(common, "element").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("classes", "element", "bands"))).alias("spots"))
+    sent = numbered.join(spots, "class").select("class", "nodes", "spots").mapInArrow(_sent(least, BLOCK), f"class {kind}, element string, pair string, side int, n int, rest int, counts binary")
+    named = written(sent.groupBy("element", "pair").applyInArrow(_meet(least), f"a {kind}, b {kind}"), "named")
     pairs = named.select("a", "b").distinct()
     a, b = (numbered.select(F.col("class").alias(c), F.col("nodes").alias(f"nodes_{c}")) for c in "ab")
     scored = pairs.join(a, "a").join(b, "b").select("a", "b", score_of("nodes_a", "nodes_b").alias("score"))
