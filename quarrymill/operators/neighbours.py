@@ -12,22 +12,30 @@ from quarrymill.functions.scalars import free
 RANGES = 512
 
 
-def _number(rows: DataFrame, key: str) -> Column:
-    """key itself if it is a number, date or time; for a string a number that orders like its first 7 bytes."""
-    if not isinstance(rows.schema[key].dataType, T.StringType):
-        return F.col(key)
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(key, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+#: Strings in the sample for each range, and characters of each.
+SAMPLE, CHARS = 40, 256
+
+
+def _string_bounds(rows: DataFrame, key: str, n: int) -> list[str]:
+    """What parts the strings of a key into about n ranges of one size: every SAMPLE-th of a sorted sample, as long as about SAMPLE * n strings."""
+    total = rows.count()
+    seen = rows.where(F.col(key).isNotNull()).select(F.substring(key, 1, CHARS).alias("x"))
+    share = SAMPLE * n / max(1, total)
+    found = sorted((r["x"] for r in (seen if share >= 1 else seen.sample(share, seed=1)).collect()), key=str.encode)
+    return sorted({found[len(found) * i // n] for i in range(1, n)} if found else set(), key=str.encode)
 
 
 def ranges(rows: DataFrame, *keys: str) -> list[Column]:
-    """For each key the number of its range, rising with the key; nulls are in range 0. One job finds approximate quantiles; ranges are as many as shuffle partitions, RANGES at most, and a value is never in two ranges."""
+    """For each key the number of its range, rising with the key; nulls are in range 0. One job finds approximate quantiles of numbers, dates and times, two more a sample of each key of strings; ranges are as many as shuffle partitions, RANGES at most, and a value is never in two ranges."""
     n = min(RANGES, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    numbers = [_number(rows, k) for k in keys]
     if n == 1:
         return [F.lit(0) for _ in keys]
     shares = [i / n for i in range(1, n)]
-    found = rows.agg(*(F.percentile_approx(x, shares, 10_000).alias(str(i)) for i, x in enumerate(numbers))).first()
-    return [_place(x, sorted({b for b in bounds or [] if b == b})) for x, bounds in zip(numbers, found, strict=True)]
+    texts = {k for k in keys if isinstance(rows.schema[k].dataType, T.StringType)}
+    numbers = [k for k in keys if k not in texts]
+    found = rows.agg(*(F.percentile_approx(k, shares, 10_000).alias(k) for k in numbers)).first() if numbers else {}
+    bounds = {k: sorted({b for b in found[i] or [] if b == b}) for i, k in enumerate(numbers)} | {k: _string_bounds(rows, k, n) for k in texts}
+    return [_place(F.col(k), bounds[k]) for k in keys]
 
 
 def _place(key: Column, bounds: list) -> Column:
@@ -71,13 +79,15 @@ def as_of(rows: DataFrame, marks: DataFrame, order: str, value: str, name: str)
     return met.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), found.alias(name))
 
 
-def with_next(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """rows with next: struct<key, value> of the row with the next larger key, null for the last; equal keys follow one another in no fixed order. Null keys aren't allowed.
+def with_next(rows: DataFrame, key: str, value: str, name: str = "next") -> DataFrame:
+    """rows with name: struct<key, value> of the row with the next larger key, null for the last; equal keys follow one another in no fixed order. Null keys aren't allowed. Other columns keep any name; one called name is replaced.
 
     Within a range of keys a window gives the next row, and each range's last row gets the first row of the ranges after it: one row a range is sorted alone.
     """
-    placed = rows.withColumn("_range", ranges(rows, key)[0])
+    part, head, after, found = (free([*rows.columns, name], x) for x in ("_range", "_head", "_after", "_next"))
+    placed = rows.withColumn(part, ranges(rows, key)[0])
     own = F.struct(F.col(key).alias("key"), F.col(value).alias("value"))
-    heads = placed.groupBy("_range").agg(F.min_by(own, key).alias("head")).withColumn("_after", F.lead("head").over(Window.orderBy("_range")))
-    inside = placed.withColumn("next", F.lead(own).over(Window.partitionBy("_range").orderBy(key)))
-    return inside.join(F.broadcast(heads.select("_range", "_after")), "_range").withColumn("next", F.coalesce("next", "_after")).drop("_range", "_after")
+    heads = placed.groupBy(part).agg(F.min_by(own, key).alias(head)).withColumn(after, F.lead(head).over(Window.orderBy(part)))
+    inside = placed.withColumn(found, F.lead(own).over(Window.partitionBy(part).orderBy(key)))
+    met = inside.join(F.broadcast(heads.select(part, after)), part)
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), F.coalesce(found, after).alias(name))

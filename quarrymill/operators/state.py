@@ -13,8 +13,9 @@ from .neighbours import ranges
 
 def latest(log: DataFrame, keys: list[str], seq: str = "seq", value: str = "value") -> DataFrame:
     """The last value of each key and ord, the first seq since its last deletion; keys whose last value is null (deleted) are gone. Deletions are one row a key; the log is joined to them and aggregated by the same key, so it is shuffled once."""
-    gone = log.where(F.col(value).isNull()).groupBy(*keys).agg(F.max(seq).alias("_gone"))
-    met = log.join(gone, keys, "left").where(F.col("_gone").isNull() | (F.col(seq) > F.col("_gone")))
+    own = free(log.columns, "_gone")
+    gone = log.where(F.col(value).isNull()).groupBy(*keys).agg(F.max(seq).alias(own))
+    met = log.join(gone, keys, "left").where(F.col(own).isNull() | (F.col(seq) > F.col(own)))
     return met.groupBy(*keys).agg(F.max_by(value, seq).alias(value), F.min(seq).alias("ord"))
 
 
@@ -74,16 +75,19 @@ def stats(board: DataFrame) -> DataFrame:
 
 
 def status_at(board: DataFrame, statuses: DataFrame, epoch: Column, default: str) -> DataFrame:
-    """board with the status (hotkey, epoch, status) at an epoch of its own or a fixed one."""
-    met = board.withColumn("_at", epoch).join(statuses.select("hotkey", F.col("epoch").alias("_at"), "status"), ["hotkey", "_at"], "left")
-    return met.withColumn("status", F.coalesce("status", F.lit(default))).drop("_at")
+    """board with the status (hotkey, epoch, status) at an epoch of its own or a fixed one. Other columns keep any name; a status that it had is replaced."""
+    at, found = (free([*board.columns, "status"], x) for x in ("_at", "_found"))
+    met = board.withColumn(at, epoch).join(statuses.select("hotkey", F.col("epoch").alias(at), F.col("status").alias(found)), ["hotkey", at], "left")
+    return met.select(*(F.col(f"`{c}`") for c in board.columns if c != "status"), F.coalesce(found, F.lit(default)).alias("status"))
 
 
 def code_at(asked: DataFrame, codes: DataFrame) -> DataFrame:
-    """asked (hotkey, epoch) with its code (hotkey, epoch, code) at that epoch, else at the one before (never below 0)."""
-    now = codes.select("hotkey", F.col("epoch").alias("_e"), F.col("code").alias("_code"))
-    rows = asked.join(now.withColumnRenamed("_e", "epoch"), ["hotkey", "epoch"], "left").withColumn("_e", F.greatest(F.col("epoch") - 1, F.lit(0)))
-    return rows.join(now.withColumnRenamed("_code", "_before"), ["hotkey", "_e"], "left").withColumn("code", F.coalesce("_code", "_before")).drop("_e", "_code", "_before")
+    """asked (hotkey, epoch) with its code (hotkey, epoch, code) at that epoch, else at the one before (never below 0). Other columns keep any name; a code that it had is replaced."""
+    at, now, before = (free([*asked.columns, "code"], x) for x in ("_e", "_code", "_before"))
+    own = lambda name: codes.select("hotkey", F.col("epoch").alias(at), F.col("code").alias(name))
+    rows = asked.withColumn(at, F.col("epoch")).join(own(now), ["hotkey", at], "left").withColumn(at, F.greatest(F.col("epoch") - 1, F.lit(0)))
+    met = rows.join(own(before), ["hotkey", at], "left")
+    return met.select(*(F.col(f"`{c}`") for c in asked.columns if c != "code"), F.coalesce(now, before).alias("code"))
 
 
 def gate(enabled: Column, pending: Column) -> Column:

@@ -1,13 +1,9 @@
-"""A cache whose entries expire, over a log of inserts and gets."""
+"""A cache whose entries expire, over a log of inserts and gets. cache_stream has the same over a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrymill.functions.scalars import free
 from quarrymill.operators.neighbours import ranges
@@ -35,31 +31,3 @@ def hits(events: DataFrame, key: str, at: str, order: str, insert: Column, ttl_s
 def alive(entries: DataFrame, inserted: str, now_s: float, ttl_s: float = 86_400.0) -> DataFrame:
     """Entries that haven't expired."""
     return entries.where(F.col(inserted) + ttl_s > now_s)
-
-
-def hits_stream(events: DataFrame, key: str, at: str, order: str, insert: str, ttl_s: float = 86_400.0) -> DataFrame:
-    """hits() over a stream of events: (key, at, order, hit) for each get. Per key the state is the time of the last insert, dropped when a later event finds it expired.
-
-    Events of a key must come in order of (at, order) from one batch to the next; within a batch they may come in any. Appends only.
-    """
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, at, order)}
-
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values([at, order])
-        last, out = state.get[0] if state.exists else None, []
-        for when, place, inserted in zip(rows[at], rows[order], rows[insert], strict=True):
-            if inserted:
-                last = float(when)
-            else:
-                out.append((name[0], when, place, last is not None and when - last < ttl_s))
-                if last is not None and when - last >= ttl_s:
-                    last = None
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, at, order, "hit"])
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", hit boolean"
-    return events.select(key, at, order, insert).groupBy(key).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.NoTimeout)

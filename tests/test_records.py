@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from quarrymill.functions import scalars
 from quarrymill.operators import neighbours, programs, reads, runner, state
 from quarrymill.sources import conversations
-from quarrymill.streaming import ttl_cache
 
 GOOD = '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}'
 
@@ -115,13 +114,23 @@ def test_reads_without_entries(spark):
     assert state.weights(board, empty.select("hotkey")).columns == ["hotkey", "score", "ord", "clamped", "weight"]
 
 
-def test_streamed_cache_equals_the_batch(spark, tmp_path):
-    rows = [(f"k{i % 3}", float(t), i, i % 4 == 0) for i, t in enumerate([0, 1, 2, 5, 90, 91, 100, 101, 102, 150, 205, 206, 207, 208, 300, 301])]
-    schema = "key string, at double, ord int, is_insert boolean"
-    for i in range(0, len(rows), 6):
-        spark.createDataFrame(rows[i : i + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = ttl_cache.hits_stream(stream, "key", "at", "ord", "is_insert", 100.0).writeStream.format("memory").queryName("cache").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    want = ttl_cache.hits(spark.createDataFrame(rows, schema), "key", "at", "ord", F.col("is_insert"), 100.0)
-    assert {(r["key"], r["ord"], r["hit"]) for r in spark.table("cache").collect()} == {(r["key"], r["ord"], r["hit"]) for r in want.collect()}
+def test_names_used_inside_are_free_for_users(spark):
+    log = spark.createDataFrame([("a", 1, 1.0, 7), ("a", 2, None, 8), ("a", 3, 2.0, 9)], "k string, seq int, value double, _gone int")
+    assert [tuple(r) for r in state.latest(log, ["k"]).collect()] == [("a", 2.0, 3)]
+    asked = spark.createDataFrame([("h", 3, 1, 2, 3, "old")], "hotkey string, epoch int, _e int, _code int, _at int, code string")
+    codes = spark.createDataFrame([("h", 2, "c2")], "hotkey string, epoch int, code string")
+    assert state.code_at(asked, codes).first().asDict() == {"hotkey": "h", "epoch": 3, "_e": 1, "_code": 2, "_at": 3, "code": "c2"}
+    statuses = spark.createDataFrame([("h", 3, "s")], "hotkey string, epoch int, status string")
+    assert state.status_at(asked, statuses, F.col("epoch"), "none").first().asDict() == {"hotkey": "h", "epoch": 3, "_e": 1, "_code": 2, "_at": 3, "code": "old", "status": "s"}
+    rows = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "b", 5, 6, 7)], "k int, v string, _range int, _head int, next int")
+    got = sorted(neighbours.with_next(rows, "k", "v").collect())
+    assert [(r["k"], r["_range"], r["_head"], r["next"] and tuple(r["next"])) for r in got] == [(1, 5, 6, (2, "b")), (2, 5, 6, None)]
+
+
+def test_ranges_of_strings_that_begin_alike(spark):
+    names = [f"Customer#{i:09d}" for i in range(400)] + [None, "Customer#"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(4)
+    got = df.withColumn("part", neighbours.ranges(df, "n")[0]).collect()
+    parts = {r["n"]: r["part"] for r in got}
+    assert len(set(parts.values())) == 4 and max(list(parts.values()).count(x) for x in set(parts.values())) < 150
+    assert all(parts[a] <= parts[b] for a, b in zip(names[:399], names[1:400]))
