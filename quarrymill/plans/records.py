@@ -37,15 +37,23 @@ def jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
     return conversations.parse(talk.select("line", value.alias("value"))).select("line", F.size("messages").cast("long").alias("n_messages"), "error.kind")
 
 
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, stdout): five conversations each as lines of JSON; a conversation loses its last character if its first text has a length of sevens, its first turn is said by the assistant if that length is one of fives, and a blank line follows where it is even."""
+    n = F.length(F.col("messages")[0]["content"])
+    swapped = F.transform("messages", lambda m, i: F.when(i == 0, m.withField("role", F.lit("assistant"))).otherwise(m))
+    talk = conversations.table(spark, d).withColumn("n", n).withColumn("messages", F.when(n % 5 == 0, swapped).otherwise(F.col("messages"))).select("conv_id", "n", scalars.compact_json(F.struct("messages")).alias("json"))
+    line = F.concat(F.when(F.col("n") % 7 == 0, F.expr("left(json, length(json) - 1)")).otherwise(F.col("json")), F.when(F.col("n") % 2 == 0, "\n").otherwise(""))
+    lines = talk.groupBy(F.expr("conv_id div 5").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("conv_id", line.alias("line")))).alias("lines"))
+    return lines.select("ord", F.array_join("lines.line", "\n").alias("stdout"))
+
+
 def output_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ids(spark, d).withColumn("stdout", _by(F.col("ord"), f"{GOOD}\n{GOOD}\n", f"{GOOD}\n\n{SHORT}", " \n", f"{GOOD} x", f"{GOOD}\r\n"))
-    return conversations.output_problems(rows).select("ord", "n_conversations", "error.kind", "error.line")
+    return conversations.output_problems(_outputs(spark, d)).select("ord", "n_conversations", "error.kind", "error.line")
 
 
 def dataset_mode(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ids(spark, d).withColumn("content", F.encode(_by(F.col("ord"), f"{GOOD}\n{GOOD}", f"{GOOD}\n{{", f"{GOOD}\n{SWAPPED}", f"{GOOD}\n", ""), "UTF-8"))
-    rows = rows.withColumn("content", F.when(F.col("ord") % 5 == 3, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
-    return conversations.datasets(rows, "ord").select("ord", "line", F.size("messages").cast("long").alias("n_messages"))
+    rows = _outputs(spark, d).select("ord", F.encode("stdout", "UTF-8").alias("content"))
+    return conversations.datasets(rows, "ord").select("ord", F.col("line").cast("long").alias("line"), F.size("messages").cast("long").alias("n_messages"))
 
 
 def line_search(spark: SparkSession, d: str) -> DataFrame:
@@ -130,11 +138,12 @@ def status_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 def challenge_params(spark: SparkSession, d: str) -> DataFrame:
-    kind = "min_conversations long, max_conversations long, max_size_bytes long, model string"
-    info = "id string, name string, conversation_count long, total_messages long, size_bytes long, created_at long, is_active boolean"
-    given = spark.sql("SELECT 5L AS min_conversations, 9L AS max_conversations, 7L AS max_size_bytes, 'm' AS model")
-    both = reads.params(spark.createDataFrame([], kind)).withColumn("which", F.lit("default")).union(reads.params(given).withColumn("which", F.lit("stored")))
-    return both.crossJoin(reads.dataset_info(spark.createDataFrame([], info)).select("id", "is_active"))
+    """Parameters and dataset as they are stored, from what the tables hold, and where nothing is stored."""
+    s, c = _table(spark, d, "supplier"), _table(spark, d, "conversations")
+    given = s.agg(F.min("s_nationkey").cast("long").alias("min_conversations"), F.max("s_nationkey").cast("long").alias("max_conversations"), F.floor(F.sum("s_acctbal")).cast("long").alias("max_size_bytes"), F.max("s_name").alias("model"))
+    info = c.agg(F.md5(F.min("text")).alias("id"), F.max("role").alias("name"), F.countDistinct("conv_id").alias("conversation_count"), F.count("*").alias("total_messages"), F.sum(F.octet_length("text")).alias("size_bytes"), F.max("turn").alias("created_at"), F.lit(True).alias("is_active"))
+    out = [(name, reads.params(p).withColumn("which", F.lit(name)).join(reads.dataset_info(i).withColumn("which", F.lit(name)), "which")) for name, p, i in (("stored", given, info), ("default", given.where("false"), info.where("false")))]
+    return out[0][1].union(out[1][1])
 
 
 def code_store(spark: SparkSession, d: str) -> DataFrame:
@@ -154,28 +163,30 @@ def direct_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_views(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    body = _by(k, "{}", '{"submission_id":"s","miner_hotkey":"h","status":"done","score":0.25,"submitted_at":"t","evaluation_time_ms":12}', '{"status":"run","progress":{"total_tasks":4,"completed_tasks":1,"pending_tasks":3,"percentage":25.0}}')
+    """Replies about suppliers: finished ones have a score and a miner, those of small balance are under way, those of nation 0 say nothing."""
+    k, share = F.col("s_suppkey"), F.round(F.col("s_acctbal") / 10000, 4)
+    done = F.format_string('{"submission_id":"%s","miner_hotkey":"n%d","status":"done","score":%s,"submitted_at":"t%d","evaluation_time_ms":%d}', "s_name", "s_nationkey", share.cast("string"), k, k * 3)
+    under_way = F.format_string('{"status":"run","progress":{"total_tasks":%d,"completed_tasks":%d,"pending_tasks":%d,"percentage":%s}}', k + 1, k % 4, k + 1 - k % 4, F.round(F.col("s_nationkey") * 1.5, 1).cast("string"))
+    body = F.when(F.col("s_nationkey") == 0, "{}").when(F.col("s_acctbal") >= 3000, done).otherwise(under_way)
     return reads.status_view(_table(spark, d, "supplier").select(k.cast("string").alias("id"), body.alias("body")))
 
 
-def _criteria(overall: str, first: str) -> str:
-    return f'{{"overall":{overall},"criteria":{{"diversity_thematic":{first},"diversity_structural":0.6,"uniqueness":0.7,"quality_semantic":0.8}},"reasoning":"r","summary":"s"}}'
-
-
 def reviewer_scores(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    replies = _table(spark, d, "part").select(k, _by(k, _criteria("0.5", "0.5"), _criteria("1.5", "0.5"), _criteria("0.5", "-0.1"), "not json", '{"overall":0.5}', _criteria("2", "2")).alias("reply"))
-    out = runner.parse_scores(replies)
+    """Replies whose overall score is the price of a part over 980 and whose criteria come from its size and name; promotions lack the summary, standard parts aren't JSON."""
+    size, overall = F.col("p_size"), F.round(F.col("p_retailprice") / 980, 4)
+    criteria = F.format_string('{"diversity_thematic":%s,"diversity_structural":0.5,"uniqueness":%s,"quality_semantic":%s}', F.round(size / 48, 4).cast("string"), F.round(size / 50, 4).cast("string"), F.round(F.length("p_name") / 20, 4).cast("string"))
+    full = F.format_string('{"overall":%s,"criteria":%s,"reasoning":"%s"%s}', overall.cast("string"), criteria, F.col("p_name"), F.when(F.col("p_type") == "PROMO", "").otherwise(',"summary":"s"'))
+    out = runner.parse_scores(_table(spark, d, "part").select("p_partkey", F.when(F.col("p_type") == "STANDARD", F.col("p_name")).otherwise(full).alias("reply")))
     mean = scalars.criteria_mean(*(F.col(f"score.criteria.{c}") for c in ("diversity_thematic", "diversity_structural", "uniqueness", "quality_semantic")))
     return out.select("p_partkey", "score.overall", F.round(mean, 6).alias("mean"), "score_error")
 
 
 def reviewer_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    say = lambda c, r: f'Well: {{"is_plagiarism":true,"confidence":{c},"reasoning":"{r}"}} so.'
-    out = runner.verdicts(_table(spark, d, "part").select(k, _by(k, say("0.9", "same"), say("1.5", "same"), say("0.9", ""), "no").alias("reply")))
-    return out.select("p_partkey", F.when(F.col("verdict_error").isNull(), F.col("verdict.confidence")).alias("confidence"), "verdict_error")
+    """Replies with a verdict somewhere in the text: confidence is the size of a part over 45, the reasoning its name, none for small parts; large ones say nothing."""
+    say = F.format_string('Well: {"is_plagiarism":%s,"confidence":%s,"reasoning":"%s"} so.', (F.col("p_retailprice") >= 950).cast("string"), F.round(F.col("p_size") / 45, 4).cast("string"), F.when(F.col("p_type") == "SMALL", "").otherwise(F.col("p_name")))
+    out = runner.verdicts(_table(spark, d, "part").select("p_partkey", F.when(F.col("p_type") == "LARGE", F.col("p_name")).otherwise(say).alias("reply")))
+    good = F.col("verdict_error").isNull()
+    return out.select("p_partkey", F.when(good, F.col("verdict.is_plagiarism")).alias("is_plagiarism"), F.when(good, F.col("verdict.confidence")).alias("confidence"), "verdict_error")
 
 
 def similarity_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -238,11 +249,16 @@ _NODES = {
 }
 _HASHED = " ".join(f"WHEN {k} THEN sha256({' || chr(0) || '.join(repr(n) for n in nodes)} || chr(0))" for k, nodes in _NODES.items())
 
+# lines of outputs with their number, blank lines counted, and what is wrong with them
+_OUTPUTS = """c AS (SELECT conv_id, conv_id // 5 AS ord, count(*) AS n, length(min_by(coalesce(text, ''), turn)) AS size, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id),
+o AS (SELECT ord, n, coalesce(sum(1 + (size % 2 = 0)::INT) OVER (PARTITION BY ord ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS line, size % 7 = 0 OR n < 2 AS bad, size % 5 = 0 AS swapped,
+  list_reduce(list_prepend('u', roles), lambda st, r: CASE WHEN st = 'u' AND r = 'user' THEN 'a' WHEN st = 'u' AND r = 'system' THEN 'u' WHEN st = 'a' AND r IN ('assistant', 'function') THEN 'u' ELSE 'x' END) <> 'x' AS alternate FROM c)"""
+
 ORACLE_SQL: dict[str, str] = {
     "jsonl_lines": """WITH c AS (SELECT conv_id AS line, count(*) AS n FROM conversations GROUP BY conv_id)
 SELECT line, CASE WHEN line % 6 = 0 AND n >= 2 THEN n END AS n_messages, CASE line % 6 WHEN 0 THEN CASE WHEN n < 2 THEN 'InvalidFormat' END WHEN 2 THEN 'MissingField' WHEN 3 THEN 'InvalidFormat' ELSE 'InvalidJson' END AS kind FROM c WHERE line % 6 <> 4""",
-    "output_validation": """SELECT DISTINCT conv_id AS ord, CASE conv_id % 5 WHEN 0 THEN 2 WHEN 4 THEN 1 ELSE 0 END::BIGINT AS n_conversations, CASE WHEN conv_id % 5 IN (1, 2, 3) THEN 'invalid_output' END AS kind, CASE conv_id % 5 WHEN 1 THEN 3 WHEN 3 THEN 1 END::BIGINT AS line FROM conversations""",
-    "dataset_mode": "SELECT ord, unnest([1, 2])::INT AS line, 2::BIGINT AS n_messages FROM (SELECT DISTINCT conv_id AS ord FROM conversations) WHERE ord % 5 = 0",
+    "output_validation": f"""WITH {_OUTPUTS} SELECT ord, CASE WHEN min(line) FILTER (WHERE bad) IS NULL THEN count(*) ELSE 0 END AS n_conversations, CASE WHEN bool_or(bad) THEN 'invalid_output' END AS kind, min(line) FILTER (WHERE bad) AS line FROM o GROUP BY ord""",
+    "dataset_mode": f"""WITH {_OUTPUTS} SELECT ord, line, n AS n_messages FROM o WHERE ord NOT IN (SELECT ord FROM o WHERE bad OR swapped OR NOT alternate)""",
     "line_search": r"""WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
 SELECT path, line::BIGINT AS line, md5(path || ':' || line || ':' || regexp_replace(text, '\r$', '')) AS shown FROM l WHERE regexp_matches(text, '(?i)licen[sc]e')""",
     "conversation_hashes": """SELECT conv_id, sha256('{"messages":[' || string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(coalesce(text, ''))::VARCHAR || '}', ',' ORDER BY turn) || ']}') AS hash FROM conversations GROUP BY conv_id""",
@@ -262,14 +278,20 @@ SELECT c_custkey AS hotkey, c_custkey % 10 AS epoch, coalesce((SELECT code FROM
 SELECT a.hotkey, coalesce(e.epoch, {CURRENT})::BIGINT AS epoch, round(score, 6) AS score, t.status, CASE WHEN s.ord % 2 = 0 THEN hash END AS code_hash FROM a LEFT JOIN s USING (hotkey) LEFT JOIN e ON e.hotkey = a.hotkey LEFT JOIN t ON t.hotkey = a.hotkey AND t.epoch = {CURRENT}""",
     "agent_logs": f"WITH {_STATE} SELECT hotkey, {CURRENT}::INT AS epoch, CASE WHEN ord % 3 = 1 THEN 'began,' || hash ELSE '' END AS logs FROM s",
     "status_row": f"SELECT {CURRENT}::INT AS epoch, true AS evaluation_enabled, 'pending' AS upload_state, false AS upload_enabled, count(*) AS total_submissions, 7::INT AS active_miners, 3::INT AS validator_count FROM customer",
-    "challenge_params": "SELECT * FROM (VALUES (10::BIGINT, 50::BIGINT, 104857600::BIGINT, NULL, 'default', '', false), (5, 9, 7, 'm', 'stored', '', false)) v(min_conversations, max_conversations, max_size_bytes, model, which, id, is_active)",
+    "challenge_params": """SELECT 'stored' AS which, min(s_nationkey)::BIGINT AS min_conversations, max(s_nationkey)::BIGINT AS max_conversations, floor(sum(s_acctbal))::BIGINT AS max_size_bytes, max(s_name) AS model, (SELECT md5(min(text)) FROM conversations) AS id, (SELECT max(role) FROM conversations) AS name,
+  (SELECT count(DISTINCT conv_id) FROM conversations) AS conversation_count, (SELECT count(*) FROM conversations) AS total_messages, (SELECT sum(strlen(text))::BIGINT FROM conversations) AS size_bytes, (SELECT max(turn) FROM conversations) AS created_at, true AS is_active FROM supplier
+UNION ALL SELECT 'default', 10, 50, 104857600, NULL, '', '', 0, 0, 0, 0, false""",
     "code_store": "SELECT c_custkey AS hotkey, 2::BIGINT AS epoch, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 = 2 AND o_orderstatus = 'F') AS submitted FROM customer",
     "submission_deletions": f"SELECT unnest(['agent_code', 'submission_data', 'agent_hash', 'eval_status']) AS namespace, s_suppkey AS hotkey, {CURRENT}::INT AS epoch, '(none)' AS value FROM supplier",
     "direct_scores": f"""WITH {_STATE} SELECT CASE WHEN ord % 2 = 0 THEN hash ELSE 'r' || hash END AS hash, hotkey, round(score, 6) AS score, {CURRENT}::INT AS epoch, 'scored' AS status FROM s WHERE ord % 11 <> 0 AND ord % 5 <> 0 AND (ord % 2 = 0 OR ord % 3 = 0)""",
-    "status_views": """SELECT CASE s_suppkey % 3 WHEN 1 THEN 's' ELSE s_suppkey::VARCHAR END AS submission_id, CASE s_suppkey % 3 WHEN 1 THEN 'h' ELSE '-' END AS hotkey, ['-', 'done', 'run'][s_suppkey % 3 + 1] AS status, CASE s_suppkey % 3 WHEN 2 THEN 4 END::BIGINT AS total,
-CASE s_suppkey % 3 WHEN 2 THEN 1 END::BIGINT AS completed, CASE s_suppkey % 3 WHEN 2 THEN 3 END::BIGINT AS pending, CASE s_suppkey % 3 WHEN 2 THEN '25.0%' END AS progress, CASE s_suppkey % 3 WHEN 1 THEN '0.2500' END AS score, CASE s_suppkey % 3 WHEN 1 THEN 't' END AS submitted, CASE s_suppkey % 3 WHEN 1 THEN 12 END::BIGINT AS evaluation_ms FROM supplier""",
-    "reviewer_scores": "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 0.5::DOUBLE END AS overall, CASE WHEN p_partkey % 6 = 0 THEN 0.65::DOUBLE END AS mean, [NULL, 'overall', 'criteria', 'no_json', 'no_json', 'criteria'][p_partkey % 6 + 1] AS score_error FROM part",
-    "reviewer_verdicts": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0.9::DOUBLE END AS confidence, [NULL, 'confidence', 'reasoning', 'no_json'][p_partkey % 4 + 1] AS verdict_error FROM part",
+    "status_views": """WITH r AS (SELECT *, s_nationkey = 0 AS nothing, s_nationkey <> 0 AND s_acctbal >= 3000 AS done, s_nationkey <> 0 AND s_acctbal < 3000 AS run FROM supplier)
+SELECT CASE WHEN done THEN s_name ELSE s_suppkey::VARCHAR END AS submission_id, CASE WHEN done THEN 'n' || s_nationkey ELSE '-' END AS hotkey, CASE WHEN nothing THEN '-' WHEN done THEN 'done' ELSE 'run' END AS status, CASE WHEN run THEN s_suppkey + 1 END::BIGINT AS total, CASE WHEN run THEN s_suppkey % 4 END::BIGINT AS completed,
+  CASE WHEN run THEN s_suppkey + 1 - s_suppkey % 4 END::BIGINT AS pending, CASE WHEN run THEN printf('%.1f%%', s_nationkey * 1.5::DOUBLE) END AS progress, CASE WHEN done THEN printf('%.4f', round(s_acctbal / 10000, 4)) END AS score, CASE WHEN done THEN 't' || s_suppkey END AS submitted, CASE WHEN done THEN s_suppkey * 3 END::BIGINT AS evaluation_ms FROM r""",
+    "reviewer_scores": """WITH r AS (SELECT p_partkey, p_type, round(p_retailprice / 980, 4) AS overall, round(p_size / 48::DOUBLE, 4) AS a, round(p_size / 50::DOUBLE, 4) AS b, round(length(p_name) / 20::DOUBLE, 4) AS c FROM part),
+e AS (SELECT *, CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'no_json' WHEN a > 1 OR b > 1 OR c > 1 THEN 'criteria' WHEN overall > 1 THEN 'overall' END AS score_error FROM r)
+SELECT p_partkey, CASE WHEN score_error IS NULL THEN overall END AS overall, CASE WHEN score_error IS NULL THEN round((a + 0.5::DOUBLE + b + c) / 4, 6) END AS mean, score_error FROM e""",
+    "reviewer_verdicts": """WITH r AS (SELECT p_partkey, p_retailprice >= 950 AS p, round(p_size / 45::DOUBLE, 4) AS c, CASE WHEN p_type = 'LARGE' THEN 'no_json' WHEN p_size > 45 THEN 'confidence' WHEN p_type = 'SMALL' THEN 'reasoning' END AS verdict_error FROM part)
+SELECT p_partkey, CASE WHEN verdict_error IS NULL THEN p END AS is_plagiarism, CASE WHEN verdict_error IS NULL THEN c END AS confidence, verdict_error FROM r""",
     "similarity_labels": "SELECT p_partkey, p_partkey % 101 / 100.0::DOUBLE AS share, (p_partkey % 101)::VARCHAR || '%' AS shown, CASE WHEN p_partkey % 101 >= 97 THEN 'plagiarized' WHEN p_partkey % 101 >= 30 THEN 'needs_verification' ELSE 'clean' END AS status, p_partkey % 101 >= 97 AS is_plagiarism FROM part",
     "error_labels": "SELECT p_partkey, ['process_spawn', 'timeout', 'memory_exceeded', 'invalid_output', 'sandbox_violation', 'security_violation', 'security_validation', 'io_error', NULL][p_partkey % 9 + 1] AS label FROM part",
     "fallback_hashes": "SELECT c_name AS hotkey, c_name || ':' || c_custkey AS id, list_aggregate(list_transform(range(1, length(c_name || ':' || c_custkey) + 1), lambda i: printf('%02x', (ord(substr(c_name || ':' || c_custkey, i::INT, 1)) + i - 1) % 256)), 'string_agg', '') AS hash FROM customer",
