@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymill.functions import scalars
 from quarrymill.operators import reviews, script_table, workflow
-from quarrymill.sources import conversations, shared
+from quarrymill.sources import conversations, jsonl_format, shared
 from quarrymill.sources.state_table import StateTable
 from quarrymill.streaming import cache_stream
 
@@ -102,7 +103,23 @@ def plagiarism_reviews(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", "verdict.is_plagiarism", F.round("verdict.confidence", 6).alias("confidence"), "verdict.reasoning", "audit.recommendation", F.round("audit.structural_match", 6).alias("structural_match"), "error.kind", "calls")
 
 
-QUERIES = {f.__name__: f for f in (ttl_cache_stream, compacted_state, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
+def jsonl_source(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations as one file of lines, each text a line of its own, read in parts of 100,000 bytes: every third is cut short, and every seventh has a blank line before it."""
+    talk = conversations.table(spark, d).select("conv_id", scalars.compact_json(F.struct("messages")).alias("json"))
+    cut = F.when(F.col("conv_id") % 3 == 1, F.expr("left(json, length(json) - 2)")).otherwise(F.col("json"))
+    line = F.concat(F.when(F.col("conv_id") % 7 == 0, "\n").otherwise(""), cut)
+    folder = shared.fresh(spark, "lines")
+    # a file for each range of conversations, in order of their names
+    talk.select("conv_id", line.alias("value")).repartitionByRange(4, "conv_id").sortWithinPartitions("conv_id").select("value").write.text(folder)
+    out = jsonl_format.read(spark, folder, splitBytes=100_000)
+    rows = out.select(F.substring_index("path", "/", -1).alias("file"), "line", F.size("messages").cast("long").alias("n_messages"), F.md5(F.array_join("messages.content", "\n")).alias("texts"), "error.kind")
+    # files hold unknown numbers of lines, so lines are shown by what comes before them in all files
+    sizes = rows.groupBy("file").agg(F.max("line").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("file", earlier.alias("earlier")), "file").select((F.col("earlier") + F.col("line")).alias("line"), "n_messages", "texts", "kind")
+
+
+QUERIES = {f.__name__: f for f in (jsonl_source, ttl_cache_stream, compacted_state, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
 
 # the gates and events, and each submission's events gone through one after another
 _FLOW = """RECURSIVE e AS (SELECT event_id, user_id AS key, event_id // 100 AS epoch, CASE WHEN event_type IN ('signup', 'view') THEN 'submit' WHEN event_type = 'click' THEN 'evaluate' WHEN event_type = 'purchase' THEN 'score' ELSE 'fail' END AS kind,
@@ -120,6 +137,8 @@ w AS (
     FROM w JOIN n ON n.key = w.key AND n.epoch = w.epoch AND n.i = w.i + 1))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "jsonl_source": """WITH c AS (SELECT conv_id, count(*) AS n, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS texts, CASE WHEN conv_id % 3 = 1 THEN 'InvalidJson' WHEN count(*) < 2 THEN 'InvalidFormat' END AS kind FROM conversations GROUP BY conv_id)
+SELECT sum(1 + (conv_id % 7 = 0)::INT) OVER (ORDER BY conv_id)::BIGINT AS line, CASE WHEN kind IS NULL THEN n END AS n_messages, CASE WHEN kind IS NULL THEN texts END AS texts, kind FROM c""",
     "ttl_cache_stream": """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS t FROM events),
 w AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ins FROM e)
 SELECT event_id, coalesce(t - ins < 86400, false) AS hit FROM w WHERE event_type <> 'purchase'""",
