@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-MAGIC = b"PFOR1\0\0\0"
+MAGIC = b"PFOR2\0\0\0"
 BLOCK = 512
 _HEAD = struct.Struct("<8s6Q")
 
@@ -38,8 +38,9 @@ def _pad(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % 8)
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.95) -> bytes:
-    """One shard. ids: uint32, the documents' ids on end."""
+def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile: float = 0.95, missing: np.ndarray | None = None) -> bytes:
+    """One shard. ids: uint32, the documents' ids on end; missing: which documents have no doc id (theirs counts as 0)."""
+    missing = np.zeros(doc_ids.size, bool) if missing is None else missing
     ids = np.ascontiguousarray(ids, np.uint32)
     blocks = -(-ids.size // BLOCK)
     table = np.zeros((blocks, BLOCK), np.uint32)
@@ -61,7 +62,7 @@ def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, percentile:
     rows, places = np.nonzero(high)
     over = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=blocks)))).astype("<u8")
     body = b"".join(
-        (doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), _pad(low.astype("<u4").tobytes()), _pad(width.tobytes()), starts.tobytes(), over.tobytes(), _pad(planes.tobytes()), _pad(places.astype("<u2").tobytes()), high[rows, places].astype("<u4").tobytes())
+        (doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), _pad(missing.astype("u1").tobytes()), _pad(low.astype("<u4").tobytes()), _pad(width.tobytes()), starts.tobytes(), over.tobytes(), _pad(planes.tobytes()), _pad(places.astype("<u2").tobytes()), high[rows, places].astype("<u4").tobytes())
     )
     return _HEAD.pack(MAGIC, doc_ids.size, ids.size, BLOCK, rows.size, planes.size, _HEAD.size + len(body)) + body
 
@@ -75,6 +76,7 @@ class Shard:
             raise ValueError("not a whole shard of this format")
         self.blocks, self._at, self._raw = -(-self.size // BLOCK), _HEAD.size, raw
         self.doc_ids, self.lengths = self._view("<i8", docs), self._view("<u8", docs).astype(np.int64)
+        self.missing = self._view("u1", docs).astype(bool)
         self.low, self.width = self._view("<u4", self.blocks), self._view("u1", self.blocks)
         self.starts, self.over = self._view("<u8", self.blocks + 1).astype(np.int64), self._view("<u8", self.blocks + 1).astype(np.int64)
         self.planes, self.places, self.high = self._view("u1", planes), self._view("<u2", over), self._view("<u4", over)
@@ -107,12 +109,11 @@ def write(docs: DataFrame, make_encode, end_id: int | None, key: str = "doc_id",
     """Encodes and writes all documents in ascending key order; the written table (part, seq, local_start, n_ids, shard).
 
     make_encode(): on an executor, a function from a list of texts to an iterator of little-endian
-    uint32 byte strings. Null texts count as empty; end_id, if any, ends each document. Null keys come first, as the lowest
-    int64 (Spark orders them so). A shard closes after shard_ids ids, or with a document that is longer, which is
+    uint32 byte strings. Null texts count as empty; end_id, if any, ends each document. Null keys come first
+    and are marked in the shard, so any int64 may be a key. A shard closes after shard_ids ids, or with a document that is longer, which is
     encoded whole. Repeated rows are documents of their own; other columns are ignored, whatever their names; an empty table gives no shard.
     One range shuffle of (key, text); the texts of one key are in order, and tasks may part them by their first 64 characters.
     """
-    lowest = -(1 << 63)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +122,13 @@ def write(docs: DataFrame, make_encode, end_id: int | None, key: str = "doc_id",
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
-            raw = pack(np.array(keys, np.int64), np.array(lengths, np.uint64), ids)
+            raw = pack(np.array([k or 0 for k in keys], np.int64), np.array(lengths, np.uint64), ids, missing=np.array([k is None for k in keys]))
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((part, pa.int32()), (seq, pa.int64()), (start, pa.int64()), (ids.size, pa.int64()), (raw, pa.binary()))], names=["part", "seq", "local_start", "n_ids", "shard"])
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for name, ids in zip(names, encode(texts), strict=True):
-                keys.append(lowest if name is None else name)
+                keys.append(name)
                 held.append(ids + end)
                 lengths.append(len(held[-1]) // 4)
                 size += lengths[-1]
@@ -150,7 +151,6 @@ def read(files: DataFrame, key: str = "doc_id", with_ids: bool = False) -> DataF
     one number for each task that wrote.
     """
     spark = files.sparkSession
-    lowest = -(1 << 63)
     sizes = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     bases, total = [], 0
     for part, n in sizes:
@@ -165,8 +165,7 @@ def read(files: DataFrame, key: str = "doc_id", with_ids: bool = False) -> DataF
                 ids = shard.read()
                 stops = np.cumsum(shard.lengths)
                 cuts = [ids[a:b].tobytes() for a, b in zip((stops - shard.lengths).tolist(), stops.tolist(), strict=True)]
-                keys = shard.doc_ids
-                columns = [pa.array(keys, pa.int64(), mask=keys == lowest), pa.array(first + stops - shard.lengths), pa.array(shard.lengths), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+                columns = [pa.array(shard.doc_ids, pa.int64(), mask=shard.missing), pa.array(first + stops - shard.lengths), pa.array(shard.lengths), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
                 if with_ids:
                     columns.append(pa.array(cuts, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])

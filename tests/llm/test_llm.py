@@ -118,6 +118,8 @@ def test_op4(docs, rows, none):
         start += len(ids)
     assert [tuple(r) for r in got] == want
     assert token_files.read(token_files.write(none, word_pieces.maker(WORDS), 1)).collect() == []
+    ends = docs.sparkSession.createDataFrame([(-(1 << 63), "a"), ((1 << 63) - 1, "b"), (None, "c"), (0, "d")], "doc_id long, text string")
+    assert [r["doc_id"] for r in token_files.read(token_files.write(ends, word_pieces.maker(WORDS), 1)).orderBy("start").collect()] == [None, -(1 << 63), 0, (1 << 63) - 1]
 
 
 def test_chunks_with_equal_hashes(monkeypatch):
