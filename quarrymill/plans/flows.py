@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars
-from quarrymill.operators import reviews, script_table, workflow
+from quarrymill.operators import reads, reviews, script_table, workflow
 from quarrymill.sources import conversations, jsonl_format, shared
 from quarrymill.sources.state_table import StateTable
 from quarrymill.streaming import cache_stream
 
+from . import records
+
 #: The streamed replay delays events by up to this, and waits as long for them.
 LATE_S = 7200
 
@@ -119,7 +121,15 @@ def jsonl_source(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(sizes.select("file", earlier.alias("earlier")), "file").select((F.col("earlier") + F.col("line")).alias("line"), "n_messages", "texts", "kind")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_source, ttl_cache_stream, compacted_state, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
+def agent_info_in_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """agent_info over state tables that are kept in buckets by hotkey."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scores, epochs, statuses, hashes = (shared.bucketed(f(spark, d), name, "hotkey", buckets) for name, f in (("scores", records._scores), ("epochs", records._epochs), ("statuses", records._statuses), ("hashes", records._hashes)))
+    asked = scores.select("hotkey").union(spark.sql("SELECT 'nobody'"))
+    return reads.agents(asked, scores, epochs, statuses, hashes, records.CURRENT).withColumn("score", F.round("score", 6))
+
+
+QUERIES = {f.__name__: f for f in (jsonl_source, agent_info_in_buckets, ttl_cache_stream, compacted_state, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
 
 # the gates and events, and each submission's events gone through one after another
 _FLOW = """RECURSIVE e AS (SELECT event_id, user_id AS key, event_id // 100 AS epoch, CASE WHEN event_type IN ('signup', 'view') THEN 'submit' WHEN event_type = 'click' THEN 'evaluate' WHEN event_type = 'purchase' THEN 'score' ELSE 'fail' END AS kind,
@@ -137,6 +147,7 @@ w AS (
     FROM w JOIN n ON n.key = w.key AND n.epoch = w.epoch AND n.i = w.i + 1))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "agent_info_in_buckets": records.ORACLE_SQL["agent_info"],
     "jsonl_source": """WITH c AS (SELECT conv_id, count(*) AS n, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS texts, CASE WHEN conv_id % 3 = 1 THEN 'InvalidJson' WHEN count(*) < 2 THEN 'InvalidFormat' END AS kind FROM conversations GROUP BY conv_id)
 SELECT sum(1 + (conv_id % 7 = 0)::INT) OVER (ORDER BY conv_id)::BIGINT AS line, CASE WHEN kind IS NULL THEN n END AS n_messages, CASE WHEN kind IS NULL THEN texts END AS texts, kind FROM c""",
     "ttl_cache_stream": """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS t FROM events),

@@ -173,3 +173,44 @@ def test_consensus_of_large_and_odd_groups(spark):
     got = evaluation.consensus(spark.createDataFrame(rows, "g string, i int, s double"), "g", "s", "i").collect()
     assert {r["g"]: (r["final_score"] and round(r["final_score"], 6), r["n_scores"], r["outliers"]) for r in got} == want
     assert evaluation.consensus(spark.createDataFrame(rows, "g string, i int, s double").where("false"), "g", "s", "i").collect() == []
+
+
+def _looped(contents):
+    kept = []
+    for raw in dict.fromkeys((c or "").encode() for c in contents):
+        if not any(quality._near(k, raw) for k in kept):
+            kept.append(raw)
+    return len(kept)
+
+
+def test_leaders_of_long_conversations_equal_the_loop():
+    """Edited copies of every length, edits on the border of a tenth, few letters: 200 conversations, and one of 3,000 messages."""
+    import random
+    import time
+
+    rng = random.Random(6)
+
+    def edited(x):
+        out = list(x)
+        for i in rng.sample(range(len(out)), min(len(out), max(0, len(out) // 10 + rng.choice((-1, 0, 0, 1))))):
+            out[i] = rng.choice("ab")
+        return "".join(out) + "b" * rng.choice((0, 0, 1, len(x) // 10))
+
+    for letters in ("ab", "abcdefgh "):
+        for _ in range(100):
+            words = []
+            for _ in range(rng.randint(1, 40)):
+                words.append(edited(rng.choice(words)) if words and rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 3, 5, 6, 7, 9, 10, 11, 20, 45, 89, 90, 99, 100, 111, 112, 300)))))
+            assert quality._kept(words) == _looped(words)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(80, 400))) for _ in range(2400)]
+    texts += [edited(rng.choice(texts)) for _ in range(600)]
+    rng.shuffle(texts)
+    assert quality._kept(texts) == _looped(texts)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(n)]
+    times = []
+    for n in (5000, 20_000):
+        many = fresh(n)
+        began = time.perf_counter()
+        assert quality._kept(many) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 12 * times[0]

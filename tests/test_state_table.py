@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quarrymill.operators import state
+from quarrymill.operators import reads, state
 from quarrymill.sources import shared
 from quarrymill.sources.state_table import StateTable
 
@@ -92,3 +92,22 @@ def test_a_stream_writes_each_batch_once(spark, tmp_path):
         stream.writeStream.foreachBatch(table.sink()).option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start().awaitTermination()
         assert shown(table.read()) == plain(log)
     assert table._numbers("log") == [0, 1, 2]
+
+
+def test_reads_of_bucketed_state_dont_shuffle(spark):
+    rows = [(f"h{i}", f"k{i % 40}", i / 50, i) for i in range(50)]
+    tables = {
+        "scores": spark.createDataFrame(rows, "hash string, hotkey string, score double, ord int"), "epochs": spark.createDataFrame([(f"k{i}", i) for i in range(30)], "hotkey string, epoch long"),
+        "statuses": spark.createDataFrame([(f"k{i}", 5, "s") for i in range(20)], "hotkey string, epoch long, status string"), "hashes": spark.createDataFrame([(f"k{i}", 5, f"x{i}") for i in range(10)], "hotkey string, epoch long, hash string"),
+    }
+    kept = {name: shared.bucketed(df, name, "hotkey", 4) for name, df in tables.items()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for read in (lambda t: reads.submissions(t["scores"], t["epochs"], t["statuses"], 5), lambda t: reads.agents(t["scores"].select("hotkey"), t["scores"], t["epochs"], t["statuses"], t["hashes"], 5), lambda t: reads.logs(t["scores"], t["hashes"].selectExpr("hotkey", "array(hash) AS logs"), 5)):
+            out = read(kept)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan, plan
+            assert sorted(map(str, out.collect())) == sorted(map(str, read(tables).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
