@@ -57,3 +57,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers N of the tables name=N in a folder that were written to their end."""
+    return sorted(int(n.partition("=")[2]) for n in children(spark, path) if "=" in n and exists(spark, f"{path}/{n}/_SUCCESS"))
