@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarrymill.functions import scalars
 from quarrymill.operators import reads, reviews, script_table, workflow
 from quarrymill.sources import conversations, jsonl_format, shared
+from quarrymill.sources.consensus_table import ConsensusTable
+from quarrymill.sources.rank_table import RankTable
 from quarrymill.sources.state_table import StateTable
 from quarrymill.streaming import cache_stream
 
@@ -56,6 +58,37 @@ def compacted_state(spark: SparkSession, d: str) -> DataFrame:
     return table.read().select("user_id", "event_type", "value", "ord")
 
 
+def ranks_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of the last values of users' event types, kept by five batches in order of event_id, one of them sent twice."""
+    log = _table(spark, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("value") >= 20, F.col("value")).alias("value"))
+    # ranges of a 16th of the keys, so that there are some at any size
+    most = max(1, log.select("user_id", "event_type").distinct().count() // 16)
+    board = RankTable(spark, shared.fresh(spark, "ranks"), "user_id long, event_type string, value double, event_id long", ["user_id", "event_type"], "value", "event_id", most)
+    n = log.agg(F.max("event_id")).first()[0] or 0
+    for i in range(5):
+        part = log.where(F.col("event_id").between(n * i // 5 + (i > 0), n * (i + 1) // 5))
+        board.append(part, i)
+        if i == 2:
+            board.append(part, i)
+            board.vacuum()
+    return board.ranks()
+
+
+def consensus_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """consensus_by_group by way of batches: three are added up, one is sent twice, the rest is the tail."""
+    log = _table(spark, d, "events").select("user_id", "event_id", (F.col("value") / 500).alias("score"))
+    kept = ConsensusTable(spark, shared.fresh(spark, "consensus"), "user_id long, score double, event_id long", "user_id", "score", "event_id")
+    n = log.agg(F.max("event_id")).first()[0] or 0
+    for i in range(4):
+        part = log.where(F.col("event_id").between(n * i // 4 + (i > 0), n * (i + 1) // 4))
+        kept.append(part, i)
+        if i == 2:
+            kept.append(part, i)
+            kept.compact()
+    out = kept.read()
+    return out.select("user_id", F.round("final_score", 6).alias("final_score"), F.round("agreement", 6).alias("agreement"), "n_scores", F.array_join("outliers", ",").alias("outliers"))
+
+
 def _submissions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Events as what happens to submissions, and the strongest errors as changes of the upload gate. An epoch is 100 events."""
     e = _table(spark, d, "events")
@@ -129,7 +162,7 @@ def agent_info_in_buckets(spark: SparkSession, d: str) -> DataFrame:
     return reads.agents(asked, scores, epochs, statuses, hashes, records.CURRENT).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_source, agent_info_in_buckets, ttl_cache_stream, compacted_state, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
+QUERIES = {f.__name__: f for f in (jsonl_source, agent_info_in_buckets, ttl_cache_stream, compacted_state, ranks_by_batches, consensus_by_batches, workflow_outcomes, workflow_states, workflow_scores, script_rows, plagiarism_reviews)}
 
 # the gates and events, and each submission's events gone through one after another
 _FLOW = """RECURSIVE e AS (SELECT event_id, user_id AS key, event_id // 100 AS epoch, CASE WHEN event_type IN ('signup', 'view') THEN 'submit' WHEN event_type = 'click' THEN 'evaluate' WHEN event_type = 'purchase' THEN 'score' ELSE 'fail' END AS kind,
@@ -155,6 +188,12 @@ w AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN t END IGNORE N
 SELECT event_id, coalesce(t - ins < 86400, false) AS hit FROM w WHERE event_type <> 'purchase'""",
     "compacted_state": """WITH e AS (SELECT *, max(CASE WHEN value < 20 THEN event_id END) OVER (PARTITION BY user_id, event_type) AS gone FROM events)
 SELECT user_id, event_type, max_by(value, event_id) AS value, min(event_id) AS ord FROM e WHERE gone IS NULL OR event_id > gone GROUP BY user_id, event_type""",
+    "ranks_by_batches": """WITH e AS (SELECT *, max(CASE WHEN value < 20 THEN event_id END) OVER (PARTITION BY user_id, event_type) AS gone FROM events),
+l AS (SELECT user_id, event_type, max_by(value, event_id) AS value, min(event_id) AS ord FROM e WHERE gone IS NULL OR event_id > gone GROUP BY user_id, event_type)
+SELECT *, row_number() OVER (ORDER BY value DESC, ord) AS rank FROM l""",
+    "consensus_by_batches": """WITH m AS (SELECT user_id, value / 500 AS s, avg(value / 500) OVER (PARTITION BY user_id) AS mean, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)
+SELECT user_id, round(coalesce(avg(s) FILTER (WHERE abs(s - mean) <= 0.2::DOUBLE), any_value(mean)), 6) AS final_score, round(1 - least(max(abs(s - mean)) / 0.2::DOUBLE, 1), 6) AS agreement, count(*) AS n_scores,
+coalesce(string_agg(place, ',' ORDER BY place) FILTER (WHERE abs(s - mean) > 0.2::DOUBLE), '') AS outliers FROM m GROUP BY user_id""",
     "workflow_outcomes": f"WITH {_FLOW} SELECT event_id, gate, outcome, target FROM w WHERE i > 0",
     "workflow_states": f"""WITH {_FLOW} SELECT key, epoch, max_by(state, i) AS state, nullif(max_by(known, i), '') AS hash, max_by(last, i) AS score, max(submissions) AS submissions, max(rejected) AS rejected FROM w GROUP BY key, epoch HAVING max_by(state, i) IS NOT NULL""",
     "workflow_scores": f"WITH {_FLOW} SELECT target AS hash, max_by(key, event_id) AS key, max_by(last, event_id) AS score, min(event_id) AS ord FROM w WHERE outcome = 'scored' GROUP BY target",
