@@ -20,8 +20,16 @@ def latest(log: DataFrame, keys: list[str], seq: str = "seq", value: str = "valu
 
 
 def first_only(submissions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Every submission with accepted: the first of its key."""
-    return submissions.withColumn("accepted", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    """Every submission with accepted: the first of its key in order; of rows that are equal in all of order any one. Null keys are keys, null orders come first. Other columns keep any name; one called accepted is replaced.
+
+    Submissions are dealt by key and range of the first of order (a number, date, time or string), so a key that a third of them have is spread over the ranges; a key's first range comes from partial counts.
+    """
+    whole, part, first, n = (free([*submissions.columns, "accepted"], x) for x in ("_key", "_part", "_first", "_n"))
+    rows = submissions.withColumns({whole: F.struct(*(F.col(f"`{k}`") for k in keys)), part: ranges(submissions, order[0])[0]})
+    firsts = rows.groupBy(whole, part).agg(F.count("*").alias(n)).select(whole, part, (F.col(part) == F.min(part).over(Window.partitionBy(whole))).alias(first))
+    inside = F.row_number().over(Window.partitionBy(whole, part).orderBy(*(F.col(f"`{c}`") for c in order)))
+    met = rows.join(firsts, [whole, part]).withColumn(first, F.col(first) & (inside == 1))
+    return met.select(*(F.col(f"`{c}`") for c in submissions.columns if c != "accepted"), F.col(first).alias("accepted"))
 
 
 def ranked(scores: DataFrame, score: str = "score", order: str = "ord") -> DataFrame:

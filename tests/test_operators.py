@@ -171,3 +171,17 @@ def test_runner(spark):
     assert {r["overall"] for r in out} == {0.5}
     replies = spark.createDataFrame([('x {"is_plagiarism": true, "confidence": 0.5, "reasoning": "r"} y',), ("none",), ('{"is_plagiarism": true, "confidence": 2.0, "reasoning": "r"}',)], "reply string")
     assert [r["verdict_error"] for r in runner.verdicts(replies).collect()] == [None, "no_json", "confidence"]
+
+
+def test_first_only_spreads_a_hot_key(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(40)]), i) for i in range(300)] + [("a", 0, 7), ("a", 0, 7)]
+    df = spark.createDataFrame(rows, "k string, at long, _part int").withColumn("accepted", F.lit("x"))
+    out = state.first_only(df, ["k"], ["at", "_part"])
+    assert out.columns == ["k", "at", "_part", "accepted"] and out.count() == len(rows)
+    order = lambda r: [(x is not None, x or 0) for x in r[1:]]
+    firsts = [min((r for r in rows if r[0] == k), key=order) for k in ("hot", "a", None)]
+    assert sorted(map(str, (tuple(r)[:3] for r in out.where("accepted").collect()))) == sorted(map(str, firsts))
+    texts = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", None), ("b", "")], "k string, at string")
+    assert sorted(map(str, state.first_only(texts, ["k"], ["at"]).where("accepted").select("k", "at").collect())) == ["Row(k='a', at='x')", "Row(k='b', at=None)"]
+    assert state.first_only(texts.where("false"), ["k"], ["at"]).collect() == []
