@@ -168,8 +168,16 @@ def report(programs: DataFrame, key: str = "ord", source: str = "source") -> Dat
 
 def clusters(programs: DataFrame, key: str = "ord", source: str = "source") -> DataFrame:
     """(prefix, members) of structure hashes with the same first 16 hex digits, groups of 2 or more."""
-    rows = programs.select(F.col(key).alias("id"), F.substring(structure_hash(normalised(F.col(source))), 1, 16).alias("prefix")).where("prefix IS NOT NULL")
-    return rows.groupBy("prefix").agg(F.array_sort(F.collect_list("id")).alias("members")).where(F.size("members") >= 2)
+    return _prefixes(programs, key, source).groupBy("prefix").agg(F.array_sort(F.collect_list("id")).alias("members")).where(F.size("members") >= 2)
+
+
+def cluster_sizes(programs: DataFrame, key: str = "ord", source: str = "source") -> DataFrame:
+    """(prefix, n, first) of the same groups: their number of programs and least key, from partial counts, whatever their size."""
+    return _prefixes(programs, key, source).groupBy("prefix").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n >= 2")
+
+
+def _prefixes(programs: DataFrame, key: str, source: str) -> DataFrame:
+    return programs.select(F.col(key).alias("id"), F.substring(structure_hash(normalised(F.col(source))), 1, 16).alias("prefix")).where("prefix IS NOT NULL")
 
 
 # fixed values: calls that the scan reports

@@ -1,4 +1,4 @@
-"""Queries of programs that are written from the conversations' words, and the SQL that works out their nodes, subsequences, places and calls."""
+"""Queries of programs that are written from the words of conversations and documents, and the SQL that works out their nodes, subsequences, places and calls."""
 
 from __future__ import annotations
 
@@ -16,14 +16,24 @@ FIXED = "a = 1\na(1)\nimport b\na.b"
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """(ord, source): a program for each conversation, of the long words of its first message."""
-    w = F.regexp_extract_all(F.lower(F.col("messages")[0]["content"]), F.lit(f"([a-z]{{{LONG},}})"), 1)
+    return written(conversations.table(spark, d).select(F.col("conv_id").alias("ord"), F.col("messages")[0]["content"].alias("text")))
+
+
+def document_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, source): a program for each document, of all its long words; copies of a document are copies of a program."""
+    return written(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("ord"), "text"))
+
+
+def written(texts: DataFrame) -> DataFrame:
+    """(ord, source) of (ord, text)."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(f"([a-z]{{{LONG},}})"), 1)
 
     def statement(x):
         k, name = F.length(x) % 5, F.concat(F.lit("x_"), x)
         call = F.when(F.substring(x, 1, 1) < "h", F.concat(F.lit("os.system('"), name, F.lit("')"))).otherwise(F.concat(F.lit("requests.get("), name, F.lit(")")))
         return F.when(k == 0, F.concat(name, F.lit(" = 1"))).when(k == 1, F.concat(name, F.lit("(1)"))).when(k == 2, F.concat(F.lit("import "), name)).when(k == 3, F.concat(name, F.lit("."), name)).otherwise(call)
 
-    talk = conversations.table(spark, d).select(F.col("conv_id").alias("ord"), w.alias("w"))
+    talk = texts.select("ord", w.alias("w"))
     broken = F.size("w") % 5 == 4
     return talk.select("ord", F.concat(F.array_join(F.transform("w", statement), "\n"), F.when(broken, "\ndef f(:").otherwise("")).alias("source"))
 
@@ -46,6 +56,17 @@ def security_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ord", programs.blocked(F.col("v")).alias("blocked"), F.explode_outer("v").alias("x")).select("ord", "blocked", "x.*")
 
 
+def program_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and the gate of the programs of whole documents."""
+    found = document_sources(spark, d).withColumn("v", programs.scanned("source"))
+    return found.select("ord", programs.blocked(F.col("v")).alias("blocked"), F.col("v").isNotNull().alias("parses"), F.explode_outer("v").alias("x")).select("ord", "blocked", "parses", "x.*")
+
+
+def program_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose programs have one structure."""
+    return programs.cluster_sizes(document_sources(spark, d))
+
+
 def plagiarism_report(spark: SparkSession, d: str) -> DataFrame:
     """Of all programs, of those that parse, of one, of none."""
     rows = sources(spark, d)
@@ -66,11 +87,10 @@ def program_scores(spark: SparkSession, d: str) -> DataFrame:
     return sources(spark, d).select("ord", score.cast("long").alias("score")).withColumn("status", scalars.status(F.col("score")))
 
 
-QUERIES = {f.__name__: f for f in (ast_similarity, structure_clusters, program_nodes, security_scan, plagiarism_report, program_flags, program_scores)}
+QUERIES = {f.__name__: f for f in (ast_similarity, structure_clusters, program_nodes, security_scan, program_scan, program_clusters, plagiarism_report, program_flags, program_scores)}
 
 # nodes of each program: statements by the length of their word, names numbered as they come first
-_NODES = f"""t AS (SELECT conv_id AS ord, min_by(lower(text), turn) AS text FROM conversations GROUP BY conv_id),
-s AS (SELECT ord, regexp_extract_all(text, '[a-z]{{{LONG},}}') AS w, len(w) % 5 = 4 AS broken FROM t),
+_WRITTEN = f"""s AS (SELECT ord, regexp_extract_all(text, '[a-z]{{{LONG},}}') AS w, len(w) % 5 = 4 AS broken FROM t),
 l AS (SELECT ord, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS line FROM s),
 u AS (SELECT ord, line, 'x_' || word AS name, CASE WHEN length(word) % 5 < 4 THEN length(word) % 5 WHEN substr(word, 1, 1) < 'h' THEN 4 ELSE 5 END AS kind FROM l),
 n AS (SELECT ord, line, 1 AS spot, CASE kind WHEN 4 THEN 'os' WHEN 5 THEN 'requests' ELSE name END AS name FROM u WHERE kind <> 2 UNION ALL SELECT ord, line, 2, name FROM u WHERE kind = 5),
@@ -79,6 +99,8 @@ x AS (SELECT u.ord, line, CASE kind WHEN 0 THEN ['Assign', a.var, 'Constant'] WH
     WHEN 4 THEN ['Expr', 'Call', 'Attribute', o.var, '.system', 'Constant'] ELSE ['Expr', 'Call', 'Attribute', r.var, '.get', a.var] END AS part
   FROM u LEFT JOIN v a ON a.ord = u.ord AND a.name = u.name LEFT JOIN v o ON o.ord = u.ord AND o.name = 'os' LEFT JOIN v r ON r.ord = u.ord AND r.name = 'requests'),
 p AS MATERIALIZED (SELECT s.ord, CASE WHEN any_value(broken) THEN NULL ELSE coalesce(flatten(list(part ORDER BY line) FILTER (WHERE part IS NOT NULL)), []) END AS nodes FROM s LEFT JOIN x USING (ord) GROUP BY s.ord)"""
+_NODES = f"t AS (SELECT conv_id AS ord, min_by(lower(text), turn) AS text FROM conversations GROUP BY conv_id), {_WRITTEN}"
+_DOCUMENT_NODES = f"t AS (SELECT doc_id AS ord, lower(text) AS text FROM documents), {_WRITTEN}"
 _FIXED = "['Assign', 'Name(var_0)', 'Constant', 'Expr', 'Call', 'Name(var_0)', 'Constant', 'Import', 'import:b', 'Expr', 'Attribute', 'Name(var_0)', '.b']"
 
 
@@ -101,6 +123,9 @@ ORACLE_SQL: dict[str, str] = {
     "program_nodes": f"WITH {_NODES} SELECT ord, array_to_string(nodes, ' ') AS nodes, {_HASH} AS hash FROM p",
     "security_scan": f"""WITH {_NODES}, f AS (SELECT ord, line, kind FROM u WHERE kind >= 4 AND ord NOT IN (SELECT ord FROM s WHERE broken))
 SELECT s.ord, coalesce(bool_or(kind = 4) OVER (PARTITION BY s.ord), false) AS blocked, CASE kind WHEN 4 THEN 'os.system' WHEN 5 THEN 'requests.get' END AS pattern, CASE kind WHEN 4 THEN 'critical' WHEN 5 THEN 'info' END AS severity, line::INT AS line, CASE WHEN line IS NOT NULL THEN 0 END::INT AS "column" FROM s LEFT JOIN f USING (ord)""",
+    "program_scan": f"""WITH {_DOCUMENT_NODES}, f AS (SELECT ord, line, kind FROM u WHERE kind >= 4 AND ord NOT IN (SELECT ord FROM s WHERE broken))
+SELECT s.ord, coalesce(bool_or(kind = 4) OVER (PARTITION BY s.ord), false) AS blocked, NOT broken AS parses, CASE kind WHEN 4 THEN 'os.system' WHEN 5 THEN 'requests.get' END AS pattern, CASE kind WHEN 4 THEN 'critical' WHEN 5 THEN 'info' END AS severity, line::INT AS line, CASE WHEN line IS NOT NULL THEN 0 END::INT AS "column" FROM s LEFT JOIN f USING (ord)""",
+    "program_clusters": f"WITH {_DOCUMENT_NODES} SELECT left({_HASH}, 16) AS prefix, count(*) AS n, min(ord) AS first FROM p WHERE nodes IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "plagiarism_report": f"""WITH RECURSIVE {_NODES}, {_PAIRS},
 k AS (SELECT a, b, CASE WHEN score >= 97 THEN 'plagiarized' WHEN score >= 30 THEN 'verify' END AS status FROM q WHERE score >= 30),
 y AS (SELECT status, place, min(f) AS f FROM (SELECT status, a AS place, (a, b, 0) AS f FROM k UNION ALL SELECT status, b, (a, b, 1) FROM k) GROUP BY status, place),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars
@@ -20,11 +20,6 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _by(key: Column, *values: str) -> Column:
-    """The value of a row by its key modulo their number."""
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (key % len(values) + 1).cast("int"))
-
-
 def _ids(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "conversations").select(F.col("conv_id").alias("ord")).distinct()
 
@@ -195,7 +190,12 @@ def similarity_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "part").select("p_partkey", scalars.error_label(_by(F.col("p_partkey"), *scalars.ERROR_LABELS, "Other")).alias("label"))
+    """How runs end whose time, memory and output are an order's: the first limit that one breaks, as a kind of error and its label; finished orders within the limits have none."""
+    price, key = F.col("o_totalprice"), F.col("o_custkey")
+    broken = state.limits_problem(price / 40, price * 9_000, F.length("o_orderpriority") - 5, key * 200_000)
+    kinds = {"cpu": "Timeout", "memory": "MemoryExceeded", "processes": "ProcessSpawn", "file_size": "IoError"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), broken), F.when(F.col("o_orderstatus") == "O", "InvalidOutput").when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")))
+    return _table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), scalars.error_label(kind).alias("label"))
 
 
 def fallback_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -213,28 +213,11 @@ def cache_alive(spark: SparkSession, d: str) -> DataFrame:
     return ttl_cache.alive(e, "at", 1_706_000_000e6, 86_400e6 * 7).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-_TEMPLATES = ("x = %d\ny = x + 2", "a = %d\nb = a + %d", "def foo(): return %d", "import os\nos.system('ls %d')", "def broken(: %d", "eval('%d')")
-
-
-def _part_programs(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return _table(spark, d, "part").select(k.alias("ord"), F.replace(_by(k, *_TEMPLATES), F.lit("%d"), k.cast("string")).alias("source"))
-
-
-def program_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = _part_programs(spark, d).withColumn("v", programs.scanned("source"))
-    return found.select("ord", programs.blocked(F.col("v")).alias("blocked"), F.col("v").isNotNull().alias("parses"), F.explode_outer("v").alias("x")).select("ord", "blocked", "parses", "x.*")
-
-
-def program_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return programs.clusters(_part_programs(spark, d)).select("prefix", F.size("members").cast("long").alias("n"), F.element_at("members", 1).alias("first"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         jsonl_lines, output_validation, dataset_mode, line_search, conversation_hashes, request_messages, submission_checks, config_checks, codes_at, submissions_list, submission_by_hash, submission_by_hotkey, agent_info, agent_logs, status_row,
-        challenge_params, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive, program_scan, program_clusters,
+        challenge_params, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive,
     )
 }
 
@@ -243,11 +226,6 @@ e AS (SELECT hotkey, ord, count(*) AS epoch FROM s JOIN orders ON o_custkey = or
 t AS (SELECT hotkey, {CURRENT}::BIGINT AS epoch, 'evaluating' AS status FROM s WHERE ord % 3 = 0 UNION ALL SELECT hotkey, epoch, 'done' FROM e WHERE ord % 4 = 1 AND epoch <> {CURRENT})"""
 _ONE = f"""WITH {_STATE} SELECT hash, s.hotkey, round(score, 6) AS score, coalesce(e.epoch, 0)::BIGINT AS epoch, coalesce(t.status, 'scored') AS status
 FROM s LEFT JOIN e USING (hotkey) LEFT JOIN t ON t.hotkey = s.hotkey AND t.epoch = coalesce(e.epoch, 0) WHERE """
-_NODES = {
-    0: ("Assign", "Name(var_0)", "Constant", "Assign", "Name(var_1)", "BinOp", "Name(var_0)", "Constant"), 2: ("FunctionDef", "var_0", "Return", "Constant"), 3: ("Import", "import:os", "Expr", "Call", "Attribute", "Name(var_0)", ".system", "Constant"),
-    5: ("Expr", "Call", "Name(var_0)", "Constant"),
-}
-_HASHED = " ".join(f"WHEN {k} THEN sha256({' || chr(0) || '.join(repr(n) for n in nodes)} || chr(0))" for k, nodes in _NODES.items())
 
 # lines of outputs with their number, blank lines counted, and what is wrong with them
 _OUTPUTS = """c AS (SELECT conv_id, conv_id // 5 AS ord, count(*) AS n, length(min_by(coalesce(text, ''), turn)) AS size, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id),
@@ -293,11 +271,10 @@ SELECT p_partkey, CASE WHEN score_error IS NULL THEN overall END AS overall, CAS
     "reviewer_verdicts": """WITH r AS (SELECT p_partkey, p_retailprice >= 950 AS p, round(p_size / 45::DOUBLE, 4) AS c, CASE WHEN p_type = 'LARGE' THEN 'no_json' WHEN p_size > 45 THEN 'confidence' WHEN p_type = 'SMALL' THEN 'reasoning' END AS verdict_error FROM part)
 SELECT p_partkey, CASE WHEN verdict_error IS NULL THEN p END AS is_plagiarism, CASE WHEN verdict_error IS NULL THEN c END AS confidence, verdict_error FROM r""",
     "similarity_labels": "SELECT p_partkey, p_partkey % 101 / 100.0::DOUBLE AS share, (p_partkey % 101)::VARCHAR || '%' AS shown, CASE WHEN p_partkey % 101 >= 97 THEN 'plagiarized' WHEN p_partkey % 101 >= 30 THEN 'needs_verification' ELSE 'clean' END AS status, p_partkey % 101 >= 97 AS is_plagiarism FROM part",
-    "error_labels": "SELECT p_partkey, ['process_spawn', 'timeout', 'memory_exceeded', 'invalid_output', 'sandbox_violation', 'security_violation', 'security_validation', 'io_error', NULL][p_partkey % 9 + 1] AS label FROM part",
+    "error_labels": """WITH k AS (SELECT o_orderkey, CASE WHEN o_totalprice / 40 > 7200 THEN 'Timeout' WHEN o_totalprice * 9000 > 4000000000 THEN 'MemoryExceeded' WHEN length(o_orderpriority) < 6 THEN 'ProcessSpawn' WHEN o_custkey * 200000 > 200000000 THEN 'IoError'
+  WHEN o_orderstatus = 'O' THEN 'InvalidOutput' WHEN o_orderstatus = 'P' THEN o_orderpriority END AS kind FROM orders)
+SELECT *, CASE kind WHEN 'Timeout' THEN 'timeout' WHEN 'MemoryExceeded' THEN 'memory_exceeded' WHEN 'ProcessSpawn' THEN 'process_spawn' WHEN 'IoError' THEN 'io_error' WHEN 'InvalidOutput' THEN 'invalid_output' END AS label FROM k""",
     "fallback_hashes": "SELECT c_name AS hotkey, c_name || ':' || c_custkey AS id, list_aggregate(list_transform(range(1, length(c_name || ':' || c_custkey) + 1), lambda i: printf('%02x', (ord(substr(c_name || ':' || c_custkey, i::INT, 1)) + i - 1) % 256)), 'string_agg', '') AS hash FROM customer",
     "dataset_scores": "SELECT o_orderpriority, round(avg(o_totalprice / 400000), 6) AS dataset_score, round(least(greatest(avg(o_totalprice / 400000), 0), 1), 6) AS clamped FROM orders GROUP BY o_orderpriority",
     "cache_alive": "SELECT event_type, count(*) AS n FROM events WHERE epoch_us(ts) + 604800000000 > 1706000000000000 GROUP BY event_type",
-    "program_scan": """SELECT p_partkey AS ord, p_partkey % 6 IN (3, 5) AS blocked, p_partkey % 6 <> 4 AS parses, CASE p_partkey % 6 WHEN 3 THEN 'os.system' WHEN 5 THEN 'eval' END AS pattern, CASE WHEN p_partkey % 6 IN (3, 5) THEN 'critical' END AS severity,
-CASE p_partkey % 6 WHEN 3 THEN 2 WHEN 5 THEN 1 END::INT AS line, CASE WHEN p_partkey % 6 IN (3, 5) THEN 0 END::INT AS "column" FROM part""",
-    "program_clusters": f"SELECT left(CASE CASE WHEN p_partkey % 6 = 1 THEN 0 ELSE p_partkey % 6 END {_HASHED} END, 16) AS prefix, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey % 6 <> 4 GROUP BY 1 HAVING count(*) > 1",
 }

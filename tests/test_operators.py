@@ -146,6 +146,7 @@ def test_similarities_and_report(spark):
     assert programs.report(of("x = 1")).first()["kind"] == "insufficient_data"
     assert programs.report(of("x").where("false")).first()["kind"] == "no_submissions"
     assert programs.report(of("x = 1", "def (")).first()["first_error"] == 1
+    assert [(r["n"], r["first"]) for r in programs.cluster_sizes(of("x = 1", "a = 1", "def f(): pass", "def (")).collect()] == [(2, 0)]
     assert [r["members"] for r in programs.clusters(of("x = 1", "a = 1", "def f(): pass")).collect()] == [[0, 1]]
 
 
