@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import lookup
+from quarrymill.functions.scalars import free
+
+from .neighbours import as_of
+from .state import latest, lookup
 
 #: Packages above this size aren't stored.
 MOST_CODE = 4 << 20
 # fixed values: namespaces of a submission, and defaults of the challenge's parameters
 NAMESPACES = ("agent_code", "submission_data", "agent_hash", "eval_status")
 PARAMS = {"min_conversations": 10, "max_conversations": 50, "max_size_bytes": 104_857_600, "model": None}
+# fixed values: defaults of the global state and of the reviews' timeouts
+STATE = {"evaluation_enabled": True, "upload_state": "enabled", "sudo_owner": ""}
+TIMEOUTS = {"llm_review_timeout_blocks": 3600, "ast_review_timeout_blocks": 1800, "basilica_timeout_blocks": 7200}
 
 
 def _last(rows: DataFrame, epochs: DataFrame, default: Column) -> DataFrame:
@@ -66,6 +72,28 @@ def params(stored: DataFrame) -> DataFrame:
     return found.select(*(F.when(F.col("_n") > 0, F.col(c)).otherwise(F.lit(v)).cast(kinds[c]).alias(c) for c, v in PARAMS.items()))
 
 
+def settings_at(asked: DataFrame, stored: DataFrame, defaults: dict, order: str = "seq") -> DataFrame:
+    """asked with the settings that held at its order: those last stored (order, one column for each of defaults) at or before it, else the defaults.
+
+    Settings are stored whole, so a null among them is null. Of two stored at one order the larger counts, compared column by column; those without order don't count, and an ask without order gets the defaults.
+    Other columns keep any name; those that are called as a setting are replaced. Both sides are dealt by ranges of order.
+    """
+    held = free([*asked.columns, *stored.columns, *defaults], "_held")
+    marks = stored.select(order, F.struct(*defaults).alias(held))
+    met = as_of(asked.select(*(F.col(f"`{c}`") for c in asked.columns if c not in defaults)), marks, order, held, held)
+    value = lambda c, v: F.when(F.col(held).isNull(), F.lit(v)).otherwise(F.col(held)[c]).cast(stored.schema[c].dataType).alias(c)
+    return met.select(*(F.col(f"`{c}`") for c in met.columns if c != held), *(value(c, v) for c, v in defaults.items()))
+
+
+def hotkey_values(asked: DataFrame, log: DataFrame, namespaces: tuple[str, ...] = ("score", "wta_weight")) -> DataFrame:
+    """asked (hotkey) with a column for each namespace: the value last written to the log (namespace, hotkey, value, seq); null if there is none or it was deleted (null value).
+
+    The log is summed by hotkey and namespace before it is shuffled; only what was deleted meets its deletion. A hotkey that is asked twice is answered twice, a null one has no values."""
+    kept = latest(log.where(F.col("namespace").isin(*namespaces)), ["hotkey", "namespace"])
+    wide = kept.groupBy("hotkey").agg(*(F.max(F.when(F.col("namespace") == n, F.col("value"))).alias(n) for n in namespaces))
+    return asked.select("hotkey").join(wide, "hotkey", "left").select("hotkey", *namespaces)
+
+
 def dataset_info(stored: DataFrame) -> DataFrame:
     """One row of the active dataset: the stored one, at most one row, else an inactive one without a name."""
     defaults = {"id": "", "name": "", "conversation_count": 0, "total_messages": 0, "size_bytes": 0, "created_at": 0, "is_active": False}

@@ -141,6 +141,23 @@ def challenge_params(spark: SparkSession, d: str) -> DataFrame:
     return out[0][1].union(out[1][1])
 
 
+def settings_history(spark: SparkSession, d: str) -> DataFrame:
+    """The global state and the timeouts that held at each event; strong errors store a state, large purchases timeouts."""
+    e = _table(spark, d, "events").withColumnRenamed("event_id", "seq")
+    state_of = F.when(F.col("value") < 80, "disabled").when(F.col("value") < 100, "pending").otherwise("enabled")
+    states = e.where("event_type = 'error' AND value >= 60").select("seq", (F.col("value") < 120).alias("evaluation_enabled"), state_of.alias("upload_state"), F.concat(F.lit("u"), "user_id").alias("sudo_owner"))
+    blocks = F.floor(F.col("value") * 10).cast("long")
+    timeouts = e.where("event_type = 'purchase' AND value >= 100").select("seq", blocks.alias("llm_review_timeout_blocks"), (blocks * 2).alias("ast_review_timeout_blocks"), F.col("user_id").alias("basilica_timeout_blocks"))
+    held = reads.settings_at(reads.settings_at(e.select("seq"), states, reads.STATE), timeouts, reads.TIMEOUTS)
+    return held.withColumn("upload_enabled", F.col("upload_state") == "enabled")
+
+
+def hotkey_values(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and weights of users, from clicks and purchases; small values delete."""
+    log = _table(spark, d, "events").select(F.when(F.col("event_type") == "click", "score").when(F.col("event_type") == "purchase", "wta_weight").otherwise("other").alias("namespace"), F.col("user_id").alias("hotkey"), F.when(F.col("value") >= 3, F.col("value")).alias("value"), F.col("event_id").alias("seq"))
+    return reads.hotkey_values(_table(spark, d, "customer").select(F.col("c_custkey").alias("hotkey")), log)
+
+
 def code_store(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders").select(F.col("o_custkey").alias("hotkey"), (F.col("o_orderkey") % 4).alias("epoch"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("").alias("package"))
     asked = _table(spark, d, "customer").select(F.col("c_custkey").alias("hotkey"), F.lit(2).cast("long").alias("epoch"))
@@ -217,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         jsonl_lines, output_validation, dataset_mode, line_search, conversation_hashes, request_messages, submission_checks, config_checks, codes_at, submissions_list, submission_by_hash, submission_by_hotkey, agent_info, agent_logs, status_row,
-        challenge_params, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive,
+        challenge_params, settings_history, hotkey_values, code_store, submission_deletions, direct_scores, status_views, reviewer_scores, reviewer_verdicts, similarity_labels, error_labels, fallback_hashes, dataset_scores, cache_alive,
     )
 }
 
@@ -259,6 +276,13 @@ SELECT a.hotkey, coalesce(e.epoch, {CURRENT})::BIGINT AS epoch, round(score, 6)
     "challenge_params": """SELECT 'stored' AS which, min(s_nationkey)::BIGINT AS min_conversations, max(s_nationkey)::BIGINT AS max_conversations, floor(sum(s_acctbal))::BIGINT AS max_size_bytes, max(s_name) AS model, (SELECT md5(min(text)) FROM conversations) AS id, (SELECT max(role) FROM conversations) AS name,
   (SELECT count(DISTINCT conv_id) FROM conversations) AS conversation_count, (SELECT count(*) FROM conversations) AS total_messages, (SELECT sum(strlen(text))::BIGINT FROM conversations) AS size_bytes, (SELECT max(turn) FROM conversations) AS created_at, true AS is_active FROM supplier
 UNION ALL SELECT 'default', 10, 50, 104857600, NULL, '', '', 0, 0, 0, 0, false""",
+    "settings_history": """WITH s AS (SELECT event_id AS since, value < 120 AS evaluation_enabled, CASE WHEN value < 80 THEN 'disabled' WHEN value < 100 THEN 'pending' ELSE 'enabled' END AS upload_state, 'u' || user_id AS sudo_owner FROM events WHERE event_type = 'error' AND value >= 60),
+t AS (SELECT event_id AS since, floor(value * 10)::BIGINT AS blocks, user_id FROM events WHERE event_type = 'purchase' AND value >= 100)
+SELECT event_id AS seq, coalesce(evaluation_enabled, true) AS evaluation_enabled, coalesce(upload_state, 'enabled') AS upload_state, coalesce(sudo_owner, '') AS sudo_owner, coalesce(upload_state, 'enabled') = 'enabled' AS upload_enabled,
+  coalesce(blocks, 3600) AS llm_review_timeout_blocks, coalesce(blocks * 2, 1800) AS ast_review_timeout_blocks, coalesce(t.user_id, 7200) AS basilica_timeout_blocks FROM events e ASOF LEFT JOIN s ON e.event_id >= s.since ASOF LEFT JOIN t ON e.event_id >= t.since""",
+    "hotkey_values": """WITH e AS (SELECT *, CASE WHEN value >= 3 THEN value END AS kept FROM events),
+l AS (SELECT user_id, event_type, arg_max_null(kept, event_id) AS value FROM e GROUP BY user_id, event_type)
+SELECT c_custkey AS hotkey, max(value) FILTER (WHERE event_type = 'click') AS score, max(value) FILTER (WHERE event_type = 'purchase') AS wta_weight FROM customer LEFT JOIN l ON user_id = c_custkey GROUP BY c_custkey""",
     "code_store": "SELECT c_custkey AS hotkey, 2::BIGINT AS epoch, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 = 2 AND o_orderstatus = 'F') AS submitted FROM customer",
     "submission_deletions": f"SELECT unnest(['agent_code', 'submission_data', 'agent_hash', 'eval_status']) AS namespace, s_suppkey AS hotkey, {CURRENT}::INT AS epoch, '(none)' AS value FROM supplier",
     "direct_scores": f"""WITH {_STATE} SELECT CASE WHEN ord % 2 = 0 THEN hash ELSE 'r' || hash END AS hash, hotkey, round(score, 6) AS score, {CURRENT}::INT AS epoch, 'scored' AS status FROM s WHERE ord % 11 <> 0 AND ord % 5 <> 0 AND (ord % 2 = 0 OR ord % 3 = 0)""",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import scalars
-from quarrymill.operators import evaluation, programs, runner, state
+from quarrymill.operators import evaluation, programs, reads, runner, state
 from quarrymill.streaming import ttl_cache
 
 
@@ -186,3 +186,23 @@ def test_first_only_spreads_a_hot_key(spark):
     texts = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", None), ("b", "")], "k string, at string")
     assert sorted(map(str, state.first_only(texts, ["k"], ["at"]).where("accepted").select("k", "at").collect())) == ["Row(k='a', at='x')", "Row(k='b', at=None)"]
     assert state.first_only(texts.where("false"), ["k"], ["at"]).collect() == []
+
+
+def test_settings_hold_from_when_they_were_stored(spark):
+    defaults = {"a": 1, "b": "x"}
+    stored = spark.createDataFrame([(5, 2, "y"), (9, None, "z"), (9, None, "w"), (None, 7, "q")], "seq long, a int, b string")
+    asked = spark.createDataFrame([(4, "p", 0), (5, "q", 0), (8, None, 0), (9, "r", 0), (40, "r", 0), (40, "r", 0), (None, "s", 0)], "seq long, _held string, a int")
+    got = reads.settings_at(asked, stored, defaults)
+    assert got.columns == ["seq", "_held", "a", "b"]
+    want = [(4, "p", 1, "x"), (5, "q", 2, "y"), (8, None, 2, "y"), (9, "r", None, "z"), (40, "r", None, "z"), (40, "r", None, "z"), (None, "s", 1, "x")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {tuple(r)[2:] for r in reads.settings_at(asked, stored.where("false"), defaults).collect()} == {(1, "x")}
+    assert reads.settings_at(asked.where("false"), stored, defaults).collect() == []
+
+
+def test_values_of_hotkeys(spark):
+    log = spark.createDataFrame([("score", "a", 0.5, 1), ("score", "a", 0.7, 2), ("wta_weight", "a", 1.0, 3), ("wta_weight", "a", None, 4), ("score", "b", None, 5), ("wta_weight", "b", 0.2, 6), ("other", "c", 9.0, 7), ("score", None, 1.0, 8)], "namespace string, hotkey string, value double, seq long")
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "hotkey string")
+    got = sorted(map(str, map(tuple, reads.hotkey_values(asked, log).collect())))
+    assert got == sorted(map(str, [("a", 0.7, None), ("b", None, 0.2), ("b", None, 0.2), ("c", None, None), (None, None, None)]))
+    assert reads.hotkey_values(asked, log.where("false")).where("score IS NOT NULL OR wta_weight IS NOT NULL").count() == 0
