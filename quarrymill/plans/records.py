@@ -176,7 +176,8 @@ def direct_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def status_views(spark: SparkSession, d: str) -> DataFrame:
     """Replies about suppliers: finished ones have a score and a miner, those of small balance are under way, those of nation 0 say nothing."""
-    k, share = F.col("s_suppkey"), F.round(F.col("s_acctbal") / 10000, 4)
+    # the quotient's own bits are rounded, as in the SQL; F.round by itself takes the shortest decimal that stands for them
+    k, share = F.col("s_suppkey"), F.round(F.col("s_acctbal") / 10000 * 10000) / 10000
     done = F.format_string('{"submission_id":"%s","miner_hotkey":"n%d","status":"done","score":%s,"submitted_at":"t%d","evaluation_time_ms":%d}', "s_name", "s_nationkey", share.cast("string"), k, k * 3)
     under_way = F.format_string('{"status":"run","progress":{"total_tasks":%d,"completed_tasks":%d,"pending_tasks":%d,"percentage":%s}}', k + 1, k % 4, k + 1 - k % 4, F.round(F.col("s_nationkey") * 1.5, 1).cast("string"))
     body = F.when(F.col("s_nationkey") == 0, "{}").when(F.col("s_acctbal") >= 3000, done).otherwise(under_way)

@@ -34,3 +34,8 @@ def test_nodes_of_a_program_that_is_not_python(agree):
     rows = [(k, 0, "user", " ".join(words[:k])) for k in range(5)] + [(k, 1, "assistant", "so") for k in range(5)]
     got = agree("program_nodes", conversations=(rows, TALK))
     assert sum("None" in r for r in got) == 1
+
+
+def test_scores_of_replies_are_rounded_as_stored(agree):
+    rows = [(k, f"Supplier#{k}", 1 + k % 24, b) for k, b in enumerate((6395.5, 7151.5, 3000.5, 2999.5, 4000.25, 9999.5))]
+    agree("status_views", supplier=(rows, "s_suppkey long, s_name string, s_nationkey long, s_acctbal double"))
