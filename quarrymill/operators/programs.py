@@ -5,13 +5,18 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.scalars import status
+from quarrymill.sources.shared import written
 
 from .neighbours import numbered, with_next
 
@@ -126,24 +131,113 @@ def structure_hash(nodes: Column) -> Column:
     return F.sha2(F.array_join(F.transform(nodes, lambda t: F.concat(t, F.lit("\0"))), ""), 256)
 
 
+#: Programs of one structure in a row, programs of a block, and pairs of a batch of results.
+PACK, BLOCK, BATCH = 256, 8192, 1 << 17
+#: Nodes of a program that is compared in one machine word, and of those that it is compared with at once.
+WORD, LONGEST = 64, 512
+
+
+class _Many:
+    """Programs (arrays of numbered nodes) that one program at a time is compared with."""
+
+    def __init__(self, nodes: list[np.ndarray], vocabulary: int):
+        self.nodes, self.size = nodes, np.array([len(x) for x in nodes], np.int64)
+        self.short = np.flatnonzero(self.size <= LONGEST)
+        # a node of a column each; numbers begin at 1, and 0 stands behind a program's end
+        self.columns = np.zeros((int(self.size[self.short].max(initial=0)), self.short.size), np.int64)
+        for k, i in enumerate(self.short):
+            self.columns[: self.size[i], k] = nodes[i]
+        self.masks = np.zeros(vocabulary + 1, np.uint64)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """structural_score of x and each."""
+        common = np.zeros(self.size.size, np.int64)
+        if 0 < x.size <= WORD:
+            for bit, node in enumerate(x.tolist()):
+                self.masks[node] |= np.uint64(1 << bit)
+            full = np.uint64((1 << x.size) - 1)
+            row = np.full(self.short.size, full)
+            for column in self.columns:
+                hit = row & self.masks[column]
+                row = ((row + hit) | (row - hit)) & full
+            self.masks[x] = 0
+            common[self.short] = x.size - np.bitwise_count(row)
+            rest = np.flatnonzero(self.size > LONGEST)
+        else:
+            rest = np.arange(self.size.size) if x.size else []
+        for i in rest:
+            common[i] = lcs(x.tolist(), self.nodes[i].tolist())
+        most = np.maximum(self.size, x.size)
+        return np.where(most == 0, 100, common / np.maximum(most, 1) * 100.0).astype(np.int32)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, nodes, ids, group) of one block or two to the pairs (a, b, score) of their programs, a batch at a time."""
+    table = pa.Table.from_batches(batches).sort_by("block").combine_chunks()
+    block, numbers = table.column("block").to_numpy(), {}
+    nodes = [np.array([numbers.setdefault(t, len(numbers) + 1) for t in x], np.int64) for x in table.column("nodes").to_pylist()]
+    ids = table.column("ids").combine_chunks().flatten()
+    # where each row's programs begin and end
+    copies = pc.list_value_length(table.column("ids")).to_numpy()
+    ends = np.cumsum(copies)
+    starts, rank = ends - copies, pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    group = table.column("group")[0].as_py()
+    same = group["low"] == group["high"]
+    left = len(block) if same else int(np.searchsorted(block, group["high"]))
+    many = _Many(nodes if same else nodes[left:], len(numbers))
+    at = 0 if same else left
+    held: list[tuple] = []
+    n = 0
+    for r in range(left):
+        if at == len(block):
+            break
+        scores = np.repeat(many.scores(nodes[r]), copies[at:])
+        for p in range(starts[r], ends[r]):
+            # in one block each program meets those after it
+            first = p + 1 if same else starts[at]
+            q = np.arange(first, len(rank))
+            less = rank[p] < rank[q]
+            differ = rank[p] != rank[q]
+            held.append((np.where(less, p, q)[differ], np.where(less, q, p)[differ], scores[first - starts[at] :][differ]))
+            n += q.size
+            if n >= BATCH or (r == left - 1 and p == ends[r] - 1):
+                a, b, score = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score)], names=["a", "b", "score"])
+                held, n = [], 0
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, score), a < b, of a written table (id, nodes, hash).
+
+    Programs of one structure travel in rows of about PACK ids with their nodes once, dealt to blocks; each pair of blocks is a group, which compares structures and hands on the pairs of programs
+    in batches. A row is sent as often as there are blocks: about the root of twice the shuffle partitions, more from BLOCK programs a block on, so what a group holds is bounded.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.where("id IS NOT NULL")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, round((2 * tasks) ** 0.5), -(-rows.count() // BLOCK))
+    parts = rows.groupBy("hash").agg(F.ceil(F.count("*") / PACK).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part")
+    packed = rows.join(parts, "hash", "left").select("hash", part, "id", "nodes").groupBy("hash", "part").agg(F.first("nodes").alias("nodes"), F.collect_list("id").alias("ids"))
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high")))
+    dealt = packed.select(F.pmod(F.xxhash64("hash", "part"), F.lit(blocks)).cast("int").alias("block"), "nodes", "ids").withColumn("group", F.explode(met))
+    # small rows are much work: tasks aren't merged by size
+    return dealt.repartition(tasks, "group").groupBy("group").applyInArrow(_compared, f"a {kind}, b {kind}, score int")
+
+
+def _parsed(programs: DataFrame, key: str, source: str) -> DataFrame:
+    return programs.select(F.col(key).alias("id"), normalised(F.col(source)).alias("nodes")).where("nodes IS NOT NULL").withColumn("hash", structure_hash(F.col("nodes")))
+
+
 def similarities(programs: DataFrame, key: str = "ord", source: str = "source", reindex: bool = True) -> DataFrame:
-    """(a, b, score), a < b, for all pairs of programs that parse; equal structures are 100 without a comparison.
+    """(a, b, score), a < b, for all pairs of programs that parse; each two structures are compared once for many programs that have them.
 
-    reindex: places count the programs that parse, from 0; else they are the keys. Programs are dealt to blocks, and each pair of blocks meets in
-    one group of an equi-join: no nested loop, and each program is sent as often as there are blocks (about the root of twice the shuffle partitions).
+    reindex: places count the programs that parse, from 0; else they are the keys. Equal and null keys make no pair. The pairs grow with the square of the programs, the tables that are shuffled don't.
     """
-    rows = programs.select(F.col(key).alias("id"), normalised(F.col(source)).alias("nodes")).where("nodes IS NOT NULL").withColumn("hash", structure_hash(F.col("nodes")))
+    rows = _parsed(programs, key, source)
     if reindex:
         rows = numbered(rows, "id", "place").withColumn("id", F.col("place")).drop("place")
-    blocks = max(1, round((2 * int(programs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
-    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high")))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(met))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    # programs of one block meet in the block's own group alone
-    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.group.low") == F.col("a.group.high"))
-    differ = F.col("a.hash") != F.col("b.hash")
-    score = score_of(F.when(differ, F.col("a.nodes")), F.when(differ, F.col("b.nodes")))
-    return a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.id") < F.col("b.id")) & once).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.coalesce(score, F.lit(100)).alias("score"))
+    return _all_pairs(written(rows, "programs"))
 
 
 def score_or_zero(a: Column, b: Column) -> Column:
