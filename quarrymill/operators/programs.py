@@ -246,18 +246,45 @@ def score_or_zero(a: Column, b: Column) -> Column:
 
 
 def report(programs: DataFrame, key: str = "ord", source: str = "source") -> DataFrame:
-    """One row: kind (no_submissions, insufficient_data, parse_error, results), first_error, n_pairs, plagiarized and to_verify (places, as pairs name them first), top_score and its pair, the last of equals."""
+    """One row: kind (no_submissions, insufficient_data, parse_error, results), first_error, n_pairs, plagiarized and to_verify (places, as pairs name them first), top_score and its pair, the last of equals.
+
+    Only structures are compared, each pair once: what their programs' pairs say follows from the two least and the two greatest keys of each. Without results nothing is compared.
+    """
     parsed = programs.select(F.col(key).alias("id"), normalised(F.col(source)).isNotNull().alias("ok"))
-    facts = parsed.agg(F.count("*").alias("n"), F.min(F.when(~F.col("ok"), F.col("id"))).alias("first_error"), F.lit(1).alias("one"))
-    scored = similarities(programs, key, source, reindex=False).withColumn("status", status(F.col("score")))
-    # places in the order in which pairs name them
-    named = scored.where("status <> 'clean'").select("status", F.explode(F.array(*(F.struct("a", "b", F.lit(i).alias("side"), F.col(c).alias("place")) for i, c in enumerate(("a", "b"))))).alias("x"))
-    named = named.groupBy("status", "x.place").agg(F.min("x").alias("first")).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("first")))), lambda x: x["place"]).alias(n) for n, s in (("plagiarized", "plagiarized"), ("to_verify", "needs_verification"))))
-    found = scored.agg(F.count("*").alias("n_pairs"), F.max(F.struct("score", "a", "b")).alias("top")).withColumn("one", F.lit(1)).join(named.withColumn("one", F.lit(1)), "one")
     kind = F.when(F.col("n") == 0, "no_submissions").when(F.col("n") == 1, "insufficient_data").when(F.col("first_error").isNotNull(), "parse_error").otherwise("results")
-    met = facts.join(found, "one").withColumn("kind", kind)
-    shown = lambda c: F.when(F.col("kind") == "results", F.col(c))
-    return met.select("kind", "first_error", shown("n_pairs").alias("n_pairs"), shown("plagiarized").alias("plagiarized"), shown("to_verify").alias("to_verify"), shown("top.score").alias("top_score"), shown("top.a").alias("top_a"), shown("top.b").alias("top_b"))
+    facts = written(parsed.agg(F.count("*").alias("n"), F.min(F.when(~F.col("ok"), F.col("id"))).alias("first_error")).select(kind.alias("kind"), "first_error"), "facts")
+    named = parsed.schema["id"].dataType.simpleString()
+    kinds = {"n_pairs": "bigint", "plagiarized": f"array<{named}>", "to_verify": f"array<{named}>", "top_score": "int", "top_a": named, "top_b": named}
+    if facts.where("kind = 'results'").isEmpty():
+        return facts.select("kind", "first_error", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    rows = written(_parsed(programs, key, source).where("id IS NOT NULL"), "programs")
+    ends = rows.groupBy("hash").agg(F.first("nodes").alias("nodes"), F.min("id").alias("low"), F.max("id").alias("high"))
+    inner = rows.join(ends.select("hash", "low", "high"), "hash").groupBy("hash").agg(F.min(F.when(F.col("id") > F.col("low"), F.col("id"))).alias("low2"), F.max(F.when(F.col("id") < F.col("high"), F.col("id"))).alias("high2"))
+    heads = written(ends.join(inner, "hash").withColumn("class", F.monotonically_increasing_id()), "classes")
+    scored = written(_all_pairs(heads.select(F.col("class").alias("id"), "nodes", "hash")), "scored")
+    own = heads.where("low2 IS NOT NULL").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(100).alias("score"))
+    # the last pair of each two structures: one of the two greatest keys of either
+    edge = heads.select("class", F.array("high", "high2").alias("keys"))
+    best = scored.union(own).join(scored.union(own).agg(F.max("score").alias("score")), "score")
+    crossed = best.join(edge.select(F.col("class").alias("a"), F.explode("keys").alias("x")), "a").join(edge.select(F.col("class").alias("b"), F.explode("keys").alias("y")), "b").where("x <> y")
+    top = crossed.agg(F.max(F.struct("score", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).alias("top"))
+    # of each structure, the least key that its programs pair with, and the next for the program that has that key itself
+    told = scored.union(own).withColumn("status", status(F.col("score"))).where("status <> 'clean'")
+    both = told.select(F.col("a").alias("class"), F.col("b").alias("other"), "status").union(told.select(F.col("b").alias("class"), F.col("a").alias("other"), "status"))
+    partners = both.join(heads.select(F.col("class").alias("other"), F.explode(F.array("low", "low2")).alias("key")), "other").where("key IS NOT NULL")
+    first = partners.groupBy("class", "status").agg(F.min("key").alias("first"))
+    partners = partners.join(first, ["class", "status"]).groupBy("class", "status").agg(F.first("first").alias("first"), F.min(F.when(F.col("key") > F.col("first"), F.col("key"))).alias("second"))
+    place = rows.select("id", "hash").join(heads.select("hash", "class"), "hash").join(partners, "class").withColumn("met", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))).where("met IS NOT NULL")
+    at = F.struct(F.least("id", "met").alias("a"), F.greatest("id", "met").alias("b"), (F.col("met") < F.col("id")).cast("int").alias("side"), F.col("id").alias("place"))
+    lists = place.groupBy("status", "id").agg(F.min(at).alias("first")).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("first")))), lambda x: x["place"]).alias(n) for n, s in (("plagiarized", "plagiarized"), ("to_verify", "needs_verification"))))
+    # programs with one key make no pair with each other
+    choose = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    shared = rows.groupBy("id").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.sum(choose("k")).alias("equal"))
+    count = shared.select(F.coalesce(choose("n") - F.col("equal"), F.lit(0)).cast("bigint").alias("n_pairs"))
+    met = facts.withColumn("one", F.lit(1))
+    for row in (count, lists, top):
+        met = met.join(row.withColumn("one", F.lit(1)), "one")
+    return met.select("kind", "first_error", "n_pairs", "plagiarized", "to_verify", F.col("top.score").alias("top_score"), F.col("top.a").alias("top_a"), F.col("top.b").alias("top_b"))
 
 
 def clusters(programs: DataFrame, key: str = "ord", source: str = "source") -> DataFrame:
