@@ -105,6 +105,16 @@ def _listed(most: int):
     return run
 
 
+def _summed(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, top = 0.0, 0.0
+        for _, _, similarity in _met(batches, most):
+            total, top = total + float(similarity.sum()), max(top, float(similarity.max(initial=0.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([top])], names=["s", "m"])
+
+    return run
+
+
 def pairs(conversations: DataFrame, key: str = "conv_id", most: int = 1024) -> DataFrame:
     """(a, b, similarity), a before b in order of key, for the pairs whose similarity isn't 0.
 
@@ -119,9 +129,10 @@ def step_penalty(mean: Column) -> Column:
     return F.when(mean > 0.8, mean * 0.5).when(mean > 0.5, mean * 0.2).otherwise(F.lit(0.0))
 
 
-def internal(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
-    """One row (n, n_pairs, mean_similarity, max_similarity, penalty) over all pairs; fewer than 2 conversations: 0."""
-    sums = pairs(conversations, key).agg(F.coalesce(F.sum("similarity"), F.lit(0.0)).alias("s"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("max_similarity"))
+def internal(conversations: DataFrame, key: str = "conv_id", most: int = 1024) -> DataFrame:
+    """One row (n, n_pairs, mean_similarity, max_similarity, penalty) over all pairs, each group of blocks adding up its own; fewer than 2 conversations: 0."""
+    groups = _dealt(conversations, key).groupBy("group").applyInArrow(_summed(most), "s double, m double")
+    sums = groups.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.max("m"), F.lit(0.0)).alias("max_similarity"))
     count = conversations.agg(F.count("*").alias("n"))
     both = count.select("n", F.lit(1).alias("one")).join(sums.withColumn("one", F.lit(1)), "one")
     mean = F.when(F.col("n") < 2, 0.0).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2))
