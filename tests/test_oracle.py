@@ -39,3 +39,9 @@ def test_nodes_of_a_program_that_is_not_python(agree):
 def test_scores_of_replies_are_rounded_as_stored(agree):
     rows = [(k, f"Supplier#{k}", 1 + k % 24, b) for k, b in enumerate((6395.5, 7151.5, 3000.5, 2999.5, 4000.25, 9999.5))]
     agree("status_views", supplier=(rows, "s_suppkey long, s_name string, s_nationkey long, s_acctbal double"))
+
+
+def test_evaluation_of_talks_with_a_common_token(agree):
+    rows = [(k, t, ("user", "assistant")[t % 2], " ".join(f"{'pqrstu'[t] * 3}{i * k % 11}" for i in range(8)) + (" so" if t == 0 else "")) for k in range(60) for t in range(2 + k % 4)]
+    agree("dataset_evaluation", conversations=(rows, TALK))
+    agree("conversation_pairs", conversations=(rows, TALK))
