@@ -267,15 +267,34 @@ def _blocks(n: Column, size: Column) -> Column:
 _LINK = "u bigint, v bigint"
 
 
+def _dealt(grouped: DataFrame, heads: DataFrame, places: DataFrame) -> DataFrame:
+    """What verified() compares of grouped (id, size, group): each group's texts in blocks, with its head (group, head) in each. places (id, print, file, row) may have the texts' roots; texts that have their head's root stay away, but for the head."""
+    root = F.col("root" if "root" in places.columns else "id")
+    named = grouped.join(heads, "group").join(places.select("id", root.alias("own")), "id").join(places.select(F.col("id").alias("head"), root.alias("top")), "head").where("own <> top")
+    sizes = named.groupBy("group").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    own = named.join(sizes, "group").select("group", "id", "head", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("one"))
+    both = own.select("group", "id", "one").union(own.select("group", F.col("head").alias("id"), "one").distinct())
+    return both.join(places, "id").select("file", "row", "group", root.alias("root"), "print", F.lit(0).alias("block"), "one", F.col("one").alias("two"))
+
+
+def _joined(roots: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node, root) after two rounds: roots (node, root), then tops (node, root) among these roots and the nodes that had none."""
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = roots.union(tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root"))
+    return named.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(id, root) for each id of distinct with another of its group: root is the group's smallest id.
 
     distinct (id, size, print, bands, file, row): a row for each distinct sequence of words, with the place of a text that has it; texts (file, row, text).
     Ids are linked where their sets of width-word shingles have a Jaccard similarity of at least `least`; every link is verified.
 
-    Texts are candidates of one another if they share one of BANDS classes (by least hashes of shingles, so wherever they differ) and their
-    SimHash fingerprints differ in at most APART bits, which the Manhattan distance of the segments' popcounts bounds from below.
-    First each text goes to the most central one of all its classes, that which shares classes with the most texts, and is compared with it and with others that went there, in
+    First the SimHash fingerprints of the sets are joined on the grid of segment popcounts, as in near_duplicates: texts whose fingerprints links of <= DISTANCE bits join are
+    candidates, dealt to blocks and compared there. Few texts of a similarity of 0.8 are that near (one bit in seven differs), so what the fingerprints leave apart follows by classes:
+    texts are candidates if they share one of BANDS classes (by least hashes of shingles, so wherever they differ) and their
+    fingerprints differ in at most APART bits, which the Manhattan distance of the segments' popcounts bounds from below.
+    There each text goes to the most central one of all its classes, that which shares classes with the most texts, and is compared with it and with others that went there, in
     blocks: work grows with the texts, not with the square of a group. Then each class whose texts aren't one group yet is compared in full, in pairs of blocks, without
     a row for each pair: every two candidates of a class are compared or linked by others. Sets are made where the texts are and shuffled only for texts that have
     candidates. What is missed are texts that share no class: at a similarity of 0.8, 2 in 1,000 pairs are expected, at 0.85 1 in 10,000.
@@ -294,6 +313,12 @@ def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float
         sets = texts.join(_sent(wanted), ["file", "row"]).select("text", "group", "root", "print", "block", "one", "two").mapInArrow(shingled, "group bigint, root bigint, print bigint, block int, one int, two int, set binary")
         return sets.groupBy("group", "one", "two").applyInArrow(lambda table: _join_within(table, least), _LINK)
 
+    # texts that the grid of fingerprints joins
+    places = distinct.select("id", "print", "file", "row")
+    prints = distinct.where("size > 0").select(F.col("print").alias("bits"), "id", "size")
+    linked = cc.components(links(prints.select("bits").distinct())).withColumnRenamed("node", "bits")
+    near = scratch.save(prints.join(linked, "bits", "left").select("id", "size", F.coalesce("root", "bits").alias("group")), "grid")
+    roots = cc.components(verified(scratch.save(_dealt(near, near.groupBy("group").agg(F.min("id").alias("head")), places), "near")))
     members = distinct.select("id", "size", "print", F.explode("bands").alias("class"))
     members = scratch.save(members.join(members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "class"), "members")
     # each text's centre, and the centres' texts dealt into blocks, each with the centre in it
@@ -301,12 +326,9 @@ def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float
     middle = members.join(central, "id").groupBy("class").agg(F.max(F.struct("central", "id")).alias("middle"))
     best = members.join(middle, "class").groupBy("id").agg(F.max("middle").alias("m"), F.first("size").alias("size")).select("id", "size", F.col("m.id").alias("group"))
     best = scratch.save(best, "centres")
-    sizes = best.groupBy("group").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
-    own = best.where("id <> group").join(sizes, "group").select("group", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("one"))
-    heads = own.select("group", F.col("group").alias("id"), "one").distinct()
-    places = distinct.select("id", "print", "file", "row")
-    dealt = own.union(heads).join(places, "id").select("file", "row", "group", F.col("id").alias("root"), "print", F.lit(0).alias("block"), "one", F.col("one").alias("two"))
-    roots = cc.components(verified(scratch.save(dealt, "dealt")))
+    labelled = places.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    dealt = _dealt(best, best.select("group", F.col("group").alias("head")).distinct(), labelled)
+    roots = scratch.save(_joined(roots, cc.components(verified(scratch.save(dealt, "dealt")))), "joined")
     # classes of several groups yet, each set of texts once
     inside = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     left = inside.groupBy("class").agg(F.max("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("texts"), F.sum("size").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
@@ -316,9 +338,7 @@ def similar(texts: DataFrame, distinct: DataFrame, width: int = 5, least: float
     cells = cells.select(F.col("class").alias("group"), "id", "root", "print", "size", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     schema = "group bigint, id bigint, root bigint, print bigint, size bigint, block int, one int, two int"
     more = scratch.save(cells.groupBy("group", "one", "two").applyInArrow(lambda table: _candidates(table, least), schema).join(places.drop("print"), "id"), "more")
-    tops = cc.components(verified(more)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = roots.select(F.col("node").alias("id"), "root").union(tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), "root"))
-    return scratch.save(named.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+    return scratch.save(_joined(roots, cc.components(verified(more))).withColumnRenamed("node", "id"), "roots")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
