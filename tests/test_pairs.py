@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import similarity
+from quarrymill.operators import evaluation, similarity
 
 
 def talks(rng, n):
@@ -51,3 +53,52 @@ def test_pairs_are_not_shuffled(spark):
     assert similarity.pairs(rows).count() == 1000 * 1999
     shown = plan.executedPlan().toString()
     assert "FlatMapGroupsInArrow" in shown
+
+
+def test_evaluation_gathers_texts_once(spark):
+    """400 conversations with short first messages and long replies: the replies are shuffled once, whatever is told of them."""
+    text = F.concat_ws("", *[F.sha2(F.concat_ws("/", "conv_id", "turn", F.lit(i)), 512) for i in range(39)])
+    rows = spark.range(1600).select((F.col("id") % 400).alias("conv_id"), F.floor(F.col("id") / 400).alias("turn"))
+    rows = rows.withColumn("text", F.when(F.col("turn") == 0, F.concat(F.lit("so "), F.col("conv_id") % 7)).otherwise(text)).localCheckpoint()
+    made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    message = "transform(turns, t -> struct(if(t.turn % 2 = 0, 'user', 'assistant') as role, t.text as content, null as function_call))"
+    made = made.select("conv_id", F.expr(message).alias("messages"))
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    once = made.write.format("noop").mode("overwrite").save() or shuffled() - before
+    got = evaluation.evaluate(made).first()
+    assert (got["n_conversations"], got["n_messages"]) == (400, 1600)
+    assert 0 < shuffled() - before - once < 1.3 * once
+
+
+def test_chunks_are_cut_by_rows_and_tokens(spark, monkeypatch):
+    rows = talks(random.Random(5), 60)
+    kept = similarity.written(similarity.firsts(frame(spark, rows), "conv_id"), "first_messages").coalesce(1)
+    parts = [{(r["block"], r["part"]) for r in similarity._dealt(kept, most).select("block", "part").collect()} for most in (1024, 4)]
+    assert len(parts[0]) < len(parts[1])
+    table = pa.table({"block": pa.array([0] * 5, pa.int32()), "id": range(5), "n": [2] * 5, "size": [9] * 5, "tokens": [[1, 2, 2], [2, 1 << 40], [3] * 9, [1], [2]]})
+    monkeypatch.setattr(similarity, "HELD", 5)
+    chunks = [similarity._Chunk(b.column("data")[0]) for b in similarity._chunks(3)(iter(table.to_batches()))]
+    assert [c.ids.to_pylist() for c in chunks] == [[0, 1], [2], [3, 4]]
+    entries = [sorted((c.ids[int(k)].as_py(), int(p), int(t)) for k, p, t in zip(c.row, c.tokens.repeat(c.counts), c.times, strict=True)) for c in chunks]
+    assert entries == [[(0, 1, 1), (0, 2, 2), (1, 2, 1), (1, 1 << 40, 1)], [(2, 3, 9)], [(3, 1, 1), (4, 2, 1)]]
+
+
+def test_frequent_and_rare_tokens_of_two_chunks(monkeypatch):
+    """Both ways of counting, in one go and in many, against a loop."""
+    rng = random.Random(11)
+    sides = [[[rng.randrange(4) if rng.random() < 0.3 else rng.randrange(4, 900) for _ in range(rng.randint(1, 30))] for _ in range(70)] for _ in range(2)]
+    a, b = (
+        similarity._Chunk(next(similarity._chunks(1024)(iter(pa.table({"block": pa.array([0] * 70, pa.int32()), "id": range(70), "n": [2] * 70, "size": [30] * 70, "tokens": rows}).to_batches()))).column("data")[0])
+        for rows in sides
+    )
+    before = np.array([[rng.random() < 0.5 for _ in range(70)] for _ in range(70)])
+    want = [[sum(w in (y if before[i, j] else x) for w in (x if before[i, j] else y)) for j, y in enumerate(sides[1])] for i, x in enumerate(sides[0])]
+    assert similarity._shared(a, b, before).tolist() == want
+    monkeypatch.setattr(similarity, "TOKENS", 2)
+    monkeypatch.setattr(similarity, "MEETINGS", 7)
+    assert similarity._shared(a, b, before).tolist() == want
