@@ -45,3 +45,11 @@ def test_evaluation_of_talks_with_a_common_token(agree):
     rows = [(k, t, ("user", "assistant")[t % 2], " ".join(f"{'pqrstu'[t] * 3}{i * k % 11}" for i in range(8)) + (" so" if t == 0 else "")) for k in range(60) for t in range(2 + k % 4)]
     agree("dataset_evaluation", conversations=(rows, TALK))
     agree("conversation_pairs", conversations=(rows, TALK))
+
+
+def test_similarity_of_a_half_is_rounded_as_in_the_sql(agree):
+    """41 / 640 is 0.0640625; the double's product with 10 ** 6 is below the half."""
+    words = [f"w{i}" for i in range(640)]
+    rows = [(k, t, ("user", "assistant")[t], " ".join(words[:n])) for k, n in ((1, 41), (2, 640), (3, 5)) for t in range(2)]
+    got = agree("conversation_pairs", conversations=(rows, TALK))
+    assert len(got) == 3 and "(1, 2, 0.064062)" in got

@@ -102,3 +102,47 @@ def test_frequent_and_rare_tokens_of_two_chunks(monkeypatch):
     monkeypatch.setattr(similarity, "TOKENS", 2)
     monkeypatch.setattr(similarity, "MEETINGS", 7)
     assert similarity._shared(a, b, before).tolist() == want
+
+
+def test_all_of_the_one_chunk_come_first(monkeypatch):
+    rng = random.Random(3)
+    sides = [[[rng.randrange(4) if rng.random() < 0.3 else rng.randrange(4, 300) for _ in range(rng.randint(1, 30))] for _ in range(40)] for _ in range(2)]
+    a, b = (
+        similarity._Chunk(next(similarity._chunks(1024)(iter(pa.table({"block": pa.array([0] * 40, pa.int32()), "id": range(40), "n": [2] * 40, "size": [30] * 40, "tokens": rows}).to_batches()))).column("data")[0])
+        for rows in sides
+    )
+    want = [[sum(w in y for w in x) for y in sides[1]] for x in sides[0]]
+    assert similarity._shared(a, b, True).tolist() == want
+    monkeypatch.setattr(similarity, "TOKENS", 2)
+    monkeypatch.setattr(similarity, "MEETINGS", 7)
+    assert similarity._shared(a, b, True).tolist() == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_are_ranges_of_keys(spark, kind):
+    """One key has half of the rows: it is dealt to the blocks that it fills, all others are in one block."""
+    key = F.when(F.col("id") % 2 == 0, F.lit(1500)).otherwise(F.col("id")).cast(kind)
+    rows = spark.range(4000).select(key.alias("conv_id"), F.array(F.struct(F.lit("user").alias("role"), F.lit("so").alias("content"))).alias("messages"))
+    kept = similarity.written(similarity.firsts(rows, "conv_id"), "first_messages")
+    found = {}
+    for r in similarity._dealt(kept, 1024).select("block", "part", "data").distinct().collect():
+        found.setdefault(r["block"], []).extend(similarity._Chunk(pa.scalar(bytes(r["data"]), pa.binary())).ids.to_pylist())
+    blocks = [found[b] for b in sorted(found)]
+    assert sum(map(len, blocks)) == 4000 and max(map(len, blocks)) < 1.5 * 4000 / 3
+    assert all(max(x) <= min(y) for x, y in zip(blocks, blocks[1:], strict=False))
+    total = similarity.pairs(rows).agg(F.count("*"), F.min("similarity"), F.sum((F.col("a") < F.col("b")).cast("long"))).first()
+    assert tuple(total) == (2000 * 2000 + 1000 * 1999, 1.0, 2000 * 2000 + 1000 * 1999)
+
+
+def test_python_hands_on_a_list_for_each_conversation(spark):
+    """A row for each pair is dear where rows come from Python."""
+    rows = spark.createDataFrame([(k, f"so t{k % 5}", 2) for k in range(50)], "conv_id long, text string, n int")
+    made = rows.select("conv_id", F.array_repeat(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")), 2).alias("messages"))
+    kept = similarity.written(similarity.firsts(made, "conv_id"), "first_messages")
+    batches = [r.asDict() for r in similarity._dealt(kept, 16).where("group.low = group.high").collect()]
+    table = pa.Table.from_pylist([b | {"group": b["group"].asDict(), "data": bytes(b["data"])} for b in batches if b["group"]["low"] == 0])
+    lists = [b for b in similarity._listed(iter(table.to_batches()))]
+    assert all(b.num_rows <= 16 for b in lists)
+    n = sum(len(x) for b in lists for x in b.column("b").to_pylist())
+    k = sum(len(similarity._Chunk(x).ids) for x in table.column("data"))
+    assert n == k * (k - 1) // 2 > 16
